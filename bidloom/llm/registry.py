@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from bidloom.llm import simhash
+from bidloom.llm import bpe, secrets, simhash
 
-MODULES = (simhash,)
+MODULES = (simhash, bpe, secrets)
 
 
 def queries() -> dict:
