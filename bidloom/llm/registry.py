@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from bidloom.llm import bpe, secrets, simhash
+from bidloom.llm import bpe, secrets, simhash, warc
 
-MODULES = (simhash, bpe, secrets)
+MODULES = (simhash, bpe, secrets, warc)
 
 
 def queries() -> dict:
