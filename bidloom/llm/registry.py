@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from bidloom.llm import bpe, decontaminate, langid, secrets, simhash, warc
+from bidloom.llm import bpe, decontaminate, langid, quality, secrets, simhash, warc
 
-MODULES = (simhash, bpe, secrets, warc, decontaminate, langid)
+MODULES = (simhash, bpe, secrets, warc, decontaminate, langid, quality)
 
 
 def queries() -> dict:
