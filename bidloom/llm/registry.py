@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from bidloom.llm import bpe, decontaminate, langid, quality, secrets, simhash, toxicity, warc
+from bidloom.llm import bpe, decontaminate, langid, quality, secrets, sharding, simhash, toxicity, warc
 
-MODULES = (simhash, bpe, secrets, warc, decontaminate, langid, quality, toxicity)
+MODULES = (simhash, bpe, secrets, warc, decontaminate, langid, quality, toxicity, sharding)
 
 
 def queries() -> dict:
