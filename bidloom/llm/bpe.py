@@ -251,13 +251,14 @@ def decode(encoded: DataFrame, ranks_path: str, id_col: str = "doc_id", ids_col:
     return encoded.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).alias("ids")).mapInArrow(run, "doc_id long, text string")
 
 
-def digests(encoded: DataFrame) -> DataFrame:
-    """Counts and digests of ``encode``'s ids and decoded texts."""
+def digests(encoded: DataFrame, *more: str) -> DataFrame:
+    """Counts and digests of ``encode``'s ids and decoded texts; ``more`` columns of it follow."""
     return encoded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")).cast("binary"), 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+        *more,
     )
 
 

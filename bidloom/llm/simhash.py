@@ -57,15 +57,16 @@ def fingerprint_text(text: str | None) -> int:
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        fp = np.array([fingerprint_text(t) for t in b.column(1).to_pylist()], dtype=np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], names=["doc_id", "fp"])
+        fp = np.array([fingerprint_text(t) for t in b.column(2).to_pylist()], dtype=np.uint64).view(np.int64)
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp)], names=["doc_id", "row", "fp"])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, fp)``: one row per input row; fp is the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+    """``(doc_id, row, fp)``: one row per input row; row is ``row_col`` or null, fp the fingerprint as a signed long."""
     common.small_batches(docs.sparkSession)
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return own.mapInArrow(_fingerprints, "doc_id long, fp long")
+    row = F.lit(None) if row_col is None else F.col(row_col)
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), row.cast("long").alias("row"), F.col(text_col).alias("text"))
+    return own.mapInArrow(_fingerprints, "doc_id long, row long, fp long")
 
 
 def references(n: int = PIVOTS) -> np.ndarray:
@@ -178,9 +179,9 @@ def links(fps: DataFrame, radius: int = RADIUS, max_bucket: int = MAX_BUCKET) ->
     return whole.select("mask", "key", "fp").groupBy("mask", "key").applyInPandas(forest, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, fp, component_id)``: each row's fingerprint and the least doc_id reachable from it."""
-    per_doc = common.cut(fingerprints(docs, id_col, text_col), "fingerprints")
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+    """``(doc_id, row, fp, component_id)``: each row's fingerprint and the least doc_id reachable from it."""
+    per_doc = common.cut(fingerprints(docs, id_col, text_col, row_col), "fingerprints")
     least = common.cut(per_doc.groupBy("fp").agg(F.min("doc_id").alias("low")), "least")
     roots = common.components(links(least.select("fp")))
     owned = (
@@ -190,7 +191,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     owned = common.cut(owned, "owned")
     lowest = owned.groupBy("root").agg(F.min("low").alias("component_id"))
     of_fp = common.cut(owned.join(lowest, "root").select("fp", "component_id"), "of-fp")
-    return per_doc.join(of_fp, "fp", "left").select("doc_id", "fp", "component_id")
+    return per_doc.join(of_fp, "fp", "left").select("doc_id", "row", "fp", "component_id")
+
+
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each component: the one with the least id. All columns stay.
+
+    Rows without an id never stand for others: of a component with ids they go, of one without any they stay.
+    Rows that repeat the least id count by a row number, which is written before it is used.
+    """
+    row = "row of deduplicate"
+    held = common.cut(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    found = common.cut(near_duplicates(held, id_col, text_col, row), "found")
+    heads = found.where("doc_id = component_id").groupBy("component_id").agg(F.min("row").alias("row"))
+    stay = heads.select("row").union(found.where("component_id is null").select("row"))
+    go = found.select("row").join(stay, "row", "left_anti").select(F.col("row").alias(row))
+    return held.join(go, row, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -280,6 +280,22 @@ def score(docs: DataFrame, net: Network | None, prior: float, id_col: str = "doc
     return own.mapInArrow(run, "doc_id long, score double")
 
 
+def keep(docs: DataFrame, net: Network | None, prior: float, text_col: str = "text", limit: float = 0.5) -> DataFrame:
+    """``docs`` without the rows that score ``limit`` or more; all columns stay."""
+    spark = docs.sparkSession
+    common.small_batches(spark)
+    held = spark.sparkContext.broadcast((net.p if net else None, prior))
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Network.__new__(Network)
+        own.p, base = held.value
+        for b in batches:
+            yield b.filter(pa.array(scores(own if own.p else None, base, b.column(at).to_pylist()) < limit))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def scores(net: Network | None, prior: float, texts: list[str | None]) -> np.ndarray:
     out = np.full(len(texts), -np.inf)
     if net:
