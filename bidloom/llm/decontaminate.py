@@ -5,6 +5,9 @@ space). An item of m characters has an error budget of ``k = floor(RATE * m)`` e
 into k + 1 pieces: a passage within k edits of the item must hold one piece unchanged. All pieces are
 found in whole texts by one Aho-Corasick pass; the surroundings of each hit are verified with Myers'
 bit-parallel distance, so every match within budget is found and nothing beyond it is reported.
+Verification climbs: the pieces are the leaves of a binary tree in which a node of j pieces has a budget of
+j - 1 edits. Of a node's two halves one must keep its own budget, so some leaf of a true match has all nodes
+above it within theirs, and a hit is given up at the first node that is not.
 
 Items reach the tasks in blocks of about ``BLOCK_CHARS`` characters, each broadcast and searched in its
 own pass, so a benchmark of any size never makes a large broadcast; texts are streamed and not shuffled.
@@ -43,8 +46,11 @@ def pieces(item: str, budget: int) -> list[tuple[int, str]]:
     return [(x, item[x:y]) for x, y in zip(at, at[1:], strict=False)]
 
 
-def myers(masks: dict[str, int], m: int, text: str) -> tuple[int, int]:
-    """Least edit distance of the pattern to any part of ``text`` and the end of the first such part."""
+def myers(masks: dict[str, int], m: int, text: str, enough: int = 0) -> tuple[int, int]:
+    """Least edit distance of the pattern to any part of ``text`` and the end of the first such part.
+
+    The search ends at the first distance of at most ``enough``.
+    """
     full, top = (1 << m) - 1, 1 << (m - 1)
     pv, mv, score, best, end = full, 0, m, m, 0
     for i, c in enumerate(text):
@@ -59,7 +65,7 @@ def myers(masks: dict[str, int], m: int, text: str) -> tuple[int, int]:
             score -= 1
             if score < best:
                 best, end = score, i + 1
-                if not best:
+                if best <= enough:
                     break
         ph, mh = ph << 1, mh << 1
         pv = (mh | ~(xv | ph)) & full
@@ -76,15 +82,12 @@ class Matcher:
             self.ids[t].append(i)
         self.items = sorted(self.ids)
         self.budget = [int(rate * len(t)) for t in self.items]
-        self.masks: list[dict[str, int]] = []
+        self.starts = [[o for o, _ in pieces(t, k)] + [len(t)] for t, k in zip(self.items, self.budget, strict=True)]
+        self.nodes: dict[tuple[int, int, int], dict[str, int]] = {}
         places = defaultdict(list)
         for n, t in enumerate(self.items):
-            mask: dict[str, int] = {}
-            for j, c in enumerate(t):
-                mask[c] = mask.get(c, 0) | 1 << j
-            self.masks.append(mask)
-            for offset, piece in pieces(t, self.budget[n]):
-                places[piece].append((n, offset))
+            for p, (_, piece) in enumerate(pieces(t, self.budget[n])):
+                places[piece].append((n, p))
         self.machine = ahocorasick.Automaton()
         for piece, at in places.items():
             self.machine.add_word(piece, (len(piece), at))
@@ -96,19 +99,43 @@ class Matcher:
         if not text or not self.items:
             return []
         for last, (size, at) in self.machine.iter(text):
-            for n, offset in at:
-                near[n].append(last + 1 - size - offset)
+            for n, p in at:
+                if self._climbs(n, p, text, last + 1 - size):
+                    near[n].append(last + 1 - size - self.starts[n][p])
         out = []
         for n, starts in near.items():
             k, m, best = self.budget[n], len(self.items[n]), None
             for lo, hi in self._windows(starts, m, k, len(text)):
-                d, end = myers(self.masks[n], m, text[lo:hi])
+                d, end = myers(self._masks(n, 0, k + 1), m, text[lo:hi])
                 if d <= k and (best is None or d < best[0]):
                     best = (d, lo + end)
             if best:
                 out += [(i, *best) for i in sorted(self.ids[self.items[n]])]
         return sorted(out)
 
+    def _masks(self, n: int, lo: int, hi: int) -> dict[str, int]:
+        """Where each character stands in the pieces lo to hi of an item."""
+        if (mask := self.nodes.get((n, lo, hi))) is None:
+            mask = self.nodes[n, lo, hi] = {}
+            for j, c in enumerate(self.items[n][self.starts[n][lo] : self.starts[n][hi]]):
+                mask[c] = mask.get(c, 0) | 1 << j
+        return mask
+
+    def _climbs(self, n: int, p: int, text: str, at: int) -> bool:
+        """Whether all nodes between the root and piece p, which stands at ``at``, keep their budgets."""
+        starts, path = self.starts[n], []
+        lo, hi = 0, self.budget[n] + 1
+        while hi - lo > 1:
+            mid = (lo + hi) // 2
+            lo, hi = (lo, mid) if p < mid else (mid, hi)
+            path.append((lo, hi))
+        for lo, hi in reversed(path[:-1]):  # the last is the piece itself
+            k = hi - lo - 1
+            a, b = at - (starts[p] - starts[lo]) - k, at + starts[hi] - starts[p] + k
+            if myers(self._masks(n, lo, hi), starts[hi] - starts[lo], text[max(0, a) : b], k)[0] > k:
+                return False
+        return True
+
     @staticmethod
     def _windows(starts: list[int], m: int, k: int, n: int) -> Iterator[tuple[int, int]]:
         """The stretches that may hold the item, overlapping ones as one."""
