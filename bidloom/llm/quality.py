@@ -54,9 +54,10 @@ def ratio_table(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", tex
         ids = F.broadcast(ids)
     own = docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text"))
     own = own.join(ids.withColumn("good", F.lit(1)), "key", "left")
+    # An outer explode: an inner one would have every n-gram computed again for a filter on the array's size.
     counts = (
         with_buckets(own)
-        .select("good", F.explode("buckets").alias("bucket"))
+        .select("good", F.explode_outer("buckets").alias("bucket"))
         .groupBy("bucket")
         .agg(F.count("*").alias("raw"), F.count("good").alias("target"))
     )
