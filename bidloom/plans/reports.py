@@ -8,6 +8,7 @@ from bidloom.functions import text as T
 from bidloom.operators import analytics as A
 from bidloom.operators import buckets as B
 from bidloom.operators import families as N
+from bidloom.operators import match as M
 from bidloom.operators import region as R
 from bidloom.operators import views as V
 from bidloom.sources import pages as G
@@ -151,6 +152,15 @@ def spec_struct(spark, d):
     return V.items(spark, d).groupBy(bore.alias("dn")).agg(F.count("*").alias("n"), F.min("item_id").alias("first_item"))
 
 
+def match_gate(spark, d):
+    """Offers of each item by the size that their text names, through the formal gate. Equal texts are judged once."""
+    o = V.read(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("item_id"), F.col("l_quantity").cast("int").alias("quantity")).agg(F.count("*").alias("n"))
+    size = F.concat(F.lit("规格型号：DN"), (F.col("quantity") * 10).cast("string"), F.lit(" PN16 供应商名称：S"))
+    j = o.join(V.items(spark, d).select("item_id", "name", "spec"), "item_id")
+    j = j.select("item_id", "quantity", "n", "name", "spec", F.col("name").alias("title"), size.alias("text"), F.lit("").alias("spec_seen"))
+    return M.matched(j).select("item_id", "quantity", "n", "name_ok", "outcome", "score")
+
+
 def pages_text(spark, d):
     return V.read(spark, d, "pages").select("page_id", G.title(F.col("html")).alias("title"), F.sha2(G.text(F.col("html")), 256).alias("text_sha256"), F.length(G.text(F.col("html"))).cast("long").alias("chars"))
 
@@ -195,7 +205,7 @@ def header_scores(spark, d):
 QUERIES = {f.__name__: f for f in (
     fail_reasons, fail_histogram, funnel, platform_stats, status_rollup, breaker_timeline, consecutive_rejects, event_fold_latest, conversation_fold,
     history_keep_n, ttl_cache, status_by_hour, region_gate, region_priority, bucket_matrix, families, family_shared_queries, alias_pairs,
-    name_gray_dice, alias_lookup, name_bag_equal, title_scores, spec_struct, pages_text, pages_links, domain_quality, url_dedupe, document_tokens,
+    name_gray_dice, alias_lookup, name_bag_equal, title_scores, spec_struct, match_gate, pages_text, pages_links, domain_quality, url_dedupe, document_tokens,
     document_phones, header_scores,
 )}
 
@@ -259,6 +269,7 @@ SELECT *, dice >= 0.45::DOUBLE OR shared_bigrams > 0 AS gray FROM d""",
     "name_bag_equal": f"WITH {V.ITEMS}, w AS (SELECT unnest(string_split(lower(name), ' ')) AS word FROM items) SELECT array_to_string(list_sort(string_split(word, '')), '') AS bag, count(*) AS n, count(DISTINCT word) AS words FROM w GROUP BY 1",
     "title_scores": f"WITH {V.ITEMS} SELECT item_id, CAST(len(list_filter(string_split(lower(name), ' '), lambda m: contains(lower(brand), m) OR contains(lower(name), m))) AS INTEGER) AS hits, CAST(len(string_split(lower(name), ' ')) AS INTEGER) AS asked FROM items",
     "spec_struct": f"WITH {V.ITEMS} SELECT CAST(regexp_extract(spec, '(?i)DN\\s*(\\d+)', 1) AS INTEGER) AS dn, count(*) AS n, min(item_id) AS first_item FROM items GROUP BY 1",
+    "match_gate": f"WITH {V.ITEMS}, o AS (SELECT l_partkey AS item_id, CAST(l_quantity AS INTEGER) AS quantity, count(*) AS n FROM lineitem GROUP BY 1, 2) SELECT item_id, quantity, n, true AS name_ok, CASE WHEN spec = 'DN' || CAST(quantity * 10 AS VARCHAR) THEN 'accept' ELSE 'reject' END AS outcome, CASE WHEN spec = 'DN' || CAST(quantity * 10 AS VARCHAR) THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END AS score FROM o JOIN items USING (item_id)",
     "pages_text": f"SELECT page_id, regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) AS title, sha256({_TEXT}) AS text_sha256, length({_TEXT}) AS chars FROM pages",
     "pages_links": """WITH l AS (SELECT page_id, regexp_extract_all(html, '(?i)<a\\s[^>]*href="([^"]*)"', 1) AS h FROM pages) SELECT page_id, unnest(range(0, len(h))) AS pos, unnest(h) AS href FROM l""",
     "domain_quality": "SELECT regexp_replace(lower(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)), '^www\\.', '') AS domain, CASE WHEN regexp_matches(lower(url), 'zhidao|wenku|passport|baidu\\.php|/login') THEN 'block' WHEN regexp_matches(lower(url), 'forum|bbs|tieba|/tag/|\\?page=') THEN 'low' WHEN starts_with(lower(url), 'https://') THEN 'high' ELSE 'medium' END AS quality, count(*) AS n, min(page_id) AS first_page FROM pages GROUP BY 1, 2",
