@@ -21,7 +21,7 @@ def parse_region(text: Column) -> Column:
     """``struct(province, city)`` named by a free text: the first city of the table that it holds, else 省 and 市 words."""
     t = F.coalesce(text, F.lit(""))
     out = F.struct(
-        F.regexp_extract(t, "([一-鿿]{2,3})省", 1).alias("province"), F.regexp_extract(t, "([一-鿿]{2,4}?)市", 1).alias("city")
+        F.regexp_extract(t, "([一-鿿]{2,3})省", 1).alias("province"), F.regexp_extract(F.regexp_replace(t, "^.*?省", ""), "([一-鿿]{2,4}?)市", 1).alias("city")
     )
     for city, province in reversed(CITIES.items()):
         out = F.when(F.contains(t, F.lit(city)), F.struct(F.lit(province).alias("province"), F.lit(city).alias("city"))).otherwise(out)
