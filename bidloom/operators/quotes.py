@@ -81,11 +81,20 @@ def rule_ranked(quotes: DataFrame, n: int = 12) -> DataFrame:
 
 
 def waterfall(quotes: DataFrame, k: int = K) -> DataFrame:
-    """What a collector keeps that asks platform after platform and stops at k formal quotes: a running count."""
-    order = W.partitionBy("item_id").orderBy(*KEEP_FIRST, "supplier_id", "price", "tax_mode")
-    formal = F.col("vs").isin("below_submit", "near_submit").cast("int")
-    before = F.coalesce(F.sum(formal).over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return quotes.withColumn("formal", formal == 1).withColumn("formal_before", before.cast("int")).where(F.col("formal_before") < k)
+    """What a collector keeps that asks platform after platform and stops at k formal quotes.
+
+    A row stays while fewer than k formal quotes stand before it. Only each item's first k formal quotes are
+    ranked, which tasks cut down before they are shuffled; their places then meet all rows of the
+    item in a join that can be split, so an item with a third of all offers needs no sort of its own.
+    """
+    place = F.struct(*KEEP_FIRST, "supplier_id", "price", "tax_mode")
+    own = quotes.withColumn("formal", F.col("vs").isin("below_submit", "near_submit")).withColumn("place", place)
+    order = W.partitionBy("item_id").orderBy("place")
+    first = own.where("formal").select("item_id", "place").withColumn("n", F.row_number().over(order)).where(F.col("n") <= k)
+    places = first.groupBy("item_id").agg(F.collect_list("place").alias("places"))
+    out = own.join(places, "item_id", "left")
+    before = F.size(F.filter(F.coalesce("places", F.array().cast(places.schema["places"].dataType)), lambda p: p < F.col("place")))
+    return out.withColumn("formal_before", before).where(F.col("formal_before") < k).drop("place", "places")
 
 
 def market_refs(quotes: DataFrame, limit: int = 5) -> DataFrame:
