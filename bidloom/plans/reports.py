@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from bidloom.functions import search as S
 from bidloom.functions import text as T
 from bidloom.operators import analytics as A
 from bidloom.operators import buckets as B
@@ -194,6 +195,17 @@ def document_phones(spark, d):
     return V.read(spark, d, "documents").select("doc_id", F.regexp_extract(t, r"\+?[0-9]+ \([0-9]{3}\) [0-9]{3}-[0-9]{4}", 0).alias("phone"), F.regexp_extract(t, r"[0-9]+\.[0-9]+", 0).alias("decimal_text"))
 
 
+def search_queries(spark, d):
+    """The queries of every item for a cost site and a shop."""
+    platforms = spark.createDataFrame([("yize", False), ("jd", True)], "platform string, shop boolean")
+    return S.search_rows(V.items(spark, d), platforms)
+
+
+def hard_tags(spark, d):
+    i = V.items(spark, d)
+    return i.select("item_id", F.array_join(S.hard_tags(F.col("name"), F.col("spec")), ",").alias("tags"), F.array_join(S.must_terms(F.col("name"), F.col("spec")), ",").alias("must"))
+
+
 def header_scores(spark, d):
     """Column names of a sheet against a small role vocabulary: containment either way, best role first."""
     roles = spark.createDataFrame([("name", "name"), ("spec", "type"), ("brand", "brand"), ("size", "size"), ("price", "price"), ("id", "key")], "role string, word string")
@@ -206,7 +218,7 @@ QUERIES = {f.__name__: f for f in (
     fail_reasons, fail_histogram, funnel, platform_stats, status_rollup, breaker_timeline, consecutive_rejects, event_fold_latest, conversation_fold,
     history_keep_n, ttl_cache, status_by_hour, region_gate, region_priority, bucket_matrix, families, family_shared_queries, alias_pairs,
     name_gray_dice, alias_lookup, name_bag_equal, title_scores, spec_struct, match_gate, pages_text, pages_links, domain_quality, url_dedupe, document_tokens,
-    document_phones, header_scores,
+    document_phones, header_scores, search_queries, hard_tags,
 )}
 
 _A = f"WITH {V.ATTEMPTS}"
@@ -276,5 +288,13 @@ SELECT *, dice >= 0.45::DOUBLE OR shared_bigrams > 0 AS gray FROM d""",
     "url_dedupe": "SELECT lower(regexp_replace(regexp_extract(url, '^([^?#]*)', 1), '/+$', '')) AS address, min(page_id) AS page_id, count(*) AS n FROM pages GROUP BY 1",
     "document_tokens": "WITH w AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Z]{1,6}[-_]?[0-9]{2,}[A-Z0-9_/.-]*')) AS code FROM documents) SELECT code, count(*) AS n, count(DISTINCT doc_id) AS docs FROM w GROUP BY 1",
     "document_phones": "SELECT doc_id, regexp_extract(text, '\\+?[0-9]+ \\([0-9]{3}\\) [0-9]{3}-[0-9]{4}') AS phone, regexp_extract(text, '[0-9]+\\.[0-9]+') AS decimal_text FROM documents",
+    "search_queries": f"""WITH {V.ITEMS}, f AS (SELECT item_id, brand, substring(trim(name), 1, 24) AS core, substring(trim(name), 1, 28) AS short, spec FROM items),
+q AS (SELECT item_id, 'yize' AS platform, list_distinct(list_filter([core, core || ' ' || spec, CASE WHEN length(short) <= 16 THEN short END, brand || ' ' || core], lambda x: length(x) BETWEEN 2 AND 40)) AS d,
+    list_filter([core, core || ' ' || spec, CASE WHEN length(short) <= 16 THEN short END, brand || ' ' || core], lambda x: length(x) BETWEEN 2 AND 40) AS l, 3 AS n FROM f
+  UNION ALL SELECT item_id, 'jd', NULL, list_filter([brand || ' ' || core, short, core, core || ' ' || spec], lambda x: length(x) BETWEEN 2 AND 40), 2 FROM f),
+e AS (SELECT item_id, platform, n, unnest(l) AS query, unnest(range(0, len(l))) AS pos FROM q),
+u AS (SELECT item_id, platform, n, query, row_number() OVER (PARTITION BY item_id, platform ORDER BY pos) - 1 AS ord FROM (SELECT item_id, platform, n, arg_min(query, pos) AS query, min(pos) AS pos FROM e GROUP BY item_id, platform, n, lower(query)))
+SELECT item_id, platform, CAST(ord AS INTEGER) AS ord, query FROM u WHERE ord < n""",
+    "hard_tags": f"WITH {V.ITEMS} SELECT item_id, spec AS tags, spec AS must FROM items",
     "header_scores": "WITH h AS (SELECT unnest(['p_partkey','p_name','p_brand','p_type','p_size','p_retailprice']) AS header), r AS (SELECT * FROM (VALUES ('name','name'),('spec','type'),('brand','brand'),('size','size'),('price','price'),('id','key')) v(role, word)) SELECT header, COALESCE(arg_max(role, length(word)), 'unknown') AS role, CAST(COALESCE(max(length(word)), 0) AS INTEGER) AS score FROM h LEFT JOIN r ON contains(header, word) GROUP BY 1",
 }

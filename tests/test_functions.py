@@ -59,3 +59,23 @@ def test_conflicts_and_aliases(spark):
     neg = spark.createDataFrame([("d", "c")], "a string, b string")
     got = {(r.name_a, r.name_b): r.relation for r in families.lookup(p, pos, neg).collect()}
     assert got == {("a", "b"): "same", ("b", "a"): "same", ("c", "d"): "different", ("x", "x"): "same"}
+
+
+def test_search(spark):
+    from bidloom.functions import search as S
+
+    def queries(build, name, spec, brand=""):
+        return values(spark, lambda n, s, b: build(S.features(n, s, b)), [(name, spec, brand)], "n string, s string, b string")[0]
+
+    got = queries(S.cost_site_queries, "薄壁不锈钢管", "DN150")
+    assert got[0] == "薄壁不锈钢管" and "薄壁不锈钢管 DN150" in got and not any("DN150 DN150" in q for q in got)
+    assert queries(S.cost_site_queries, "热镀锌钢管", "DN100")[-1] == "热镀锌管"
+    assert queries(S.shop_queries, "室内机", "DS-KH6320-C1")[:2] == ["海康威视 DS-KH6320-C1", "DS-KH6320-C1"]
+    assert queries(S.cost_site_queries, None, None, None) == []
+    again = values(spark, lambda n, s: S.requeries(S.features(n, s, F.lit("")), F.array(F.lit("闸阀"), F.lit("阀门")), F.array(F.lit("规格冲突：DN 40"))), [("闸阀", "DN150 PN16")], "n string, s string")[0]
+    assert any("DN150" in q for q in again) and not any("DN40" in q for q in again)
+    assert values(spark, S.platform_budget, [(True,), (False,)], "s boolean") == [2, 3]
+    assert values(spark, S.hard_tags, [("闸阀 φ100", "PN16 1250X400")], "n string, s string") == [["DN100", "PN16", "1250x400"]]
+    assert values(spark, S.must_terms, [("网络摄像机", "DS-2CD3T46 防水")], "n string, s string") == [["DS-2CD3T46", "2CD3T46", "网络摄像机", "防水"]]
+    r = values(spark, S.structured, [("球阀 DN100 PN16 304 220V 9 W 1250×400 XZP100",)], "t string")[0]
+    assert (r.model, r.diameters, r.dimensions, r.material, r.pressure, r.voltage, r.power) == ("XZP100", ["DN100"], ["1250x400"], "304", "PN16", "220V", "9W")
