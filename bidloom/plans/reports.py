@@ -9,6 +9,7 @@ from bidloom.functions import text as T
 from bidloom.operators import analytics as A
 from bidloom.operators import buckets as B
 from bidloom.operators import families as N
+from bidloom.operators import history as H
 from bidloom.operators import match as M
 from bidloom.operators import region as R
 from bidloom.operators import views as V
@@ -206,6 +207,25 @@ def hard_tags(spark, d):
     return i.select("item_id", F.array_join(S.hard_tags(F.col("name"), F.col("spec")), ",").alias("tags"), F.array_join(S.must_terms(F.col("name"), F.col("spec")), ",").alias("must"))
 
 
+def history_upsert(spark, d):
+    """The last event of each user and kind, with later ones in place of earlier ones: a merge by key."""
+    e = V.read(spark, d, "events").select("user_id", "event_type", "event_id", "value")
+    last = lambda x: x.groupBy("user_id", "event_type").agg(F.max(F.struct("event_id", "value")).alias("m")).select("user_id", "event_type", "m.event_id", "m.value")
+    return H.upsert(last(e.where("event_id % 3 <> 0")), last(e.where("event_id % 3 = 0")), "user_id", "event_type")
+
+
+def history_delete(spark, d):
+    e = V.read(spark, d, "events").select("event_id", "user_id", "event_type", "value")
+    gone = e.where("event_type = 'error' and value > 150").select("user_id").distinct()
+    return H.delete(e, gone, "user_id")
+
+
+def alias_clusters(spark, d):
+    """Names of parts linked by a shared word, as clusters by their least name."""
+    pairs = N.name_pairs(V.items(spark, d)).where(F.length("name_a") == F.length("name_b"))
+    return H.clusters(pairs, "name_a", "name_b")
+
+
 def header_scores(spark, d):
     """Column names of a sheet against a small role vocabulary: containment either way, best role first."""
     roles = spark.createDataFrame([("name", "name"), ("spec", "type"), ("brand", "brand"), ("size", "size"), ("price", "price"), ("id", "key")], "role string, word string")
@@ -218,7 +238,8 @@ QUERIES = {f.__name__: f for f in (
     fail_reasons, fail_histogram, funnel, platform_stats, status_rollup, breaker_timeline, consecutive_rejects, event_fold_latest, conversation_fold,
     history_keep_n, ttl_cache, status_by_hour, region_gate, region_priority, bucket_matrix, families, family_shared_queries, alias_pairs,
     name_gray_dice, alias_lookup, name_bag_equal, title_scores, spec_struct, match_gate, pages_text, pages_links, domain_quality, url_dedupe, document_tokens,
-    document_phones, header_scores, search_queries, hard_tags,
+    document_phones, header_scores, search_queries, hard_tags, history_upsert, history_delete,
+    alias_clusters,
 )}
 
 _A = f"WITH {V.ATTEMPTS}"
@@ -295,6 +316,10 @@ q AS (SELECT item_id, 'yize' AS platform, list_distinct(list_filter([core, core
 e AS (SELECT item_id, platform, n, unnest(l) AS query, unnest(range(0, len(l))) AS pos FROM q),
 u AS (SELECT item_id, platform, n, query, row_number() OVER (PARTITION BY item_id, platform ORDER BY pos) - 1 AS ord FROM (SELECT item_id, platform, n, arg_min(query, pos) AS query, min(pos) AS pos FROM e GROUP BY item_id, platform, n, lower(query)))
 SELECT item_id, platform, CAST(ord AS INTEGER) AS ord, query FROM u WHERE ord < n""",
+    "history_upsert": """WITH k AS (SELECT user_id, event_type, event_id, value, row_number() OVER (PARTITION BY user_id, event_type, event_id % 3 = 0 ORDER BY event_id DESC, value DESC) AS n, event_id % 3 = 0 AS new FROM events),
+l AS (SELECT * FROM k WHERE n = 1) SELECT user_id, event_type, event_id, value FROM l WHERE new OR NOT EXISTS (SELECT 1 FROM l m WHERE m.new AND m.user_id = l.user_id AND m.event_type = l.event_type)""",
+    "history_delete": "SELECT event_id, user_id, event_type, value FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'error' AND value > 150)",
+    "alias_clusters": f"{_PAIRS.replace('WITH', 'WITH RECURSIVE', 1)}, e AS (SELECT name_a AS u, name_b AS v FROM pairs WHERE length(name_a) = length(name_b) UNION SELECT name_b, name_a FROM pairs WHERE length(name_a) = length(name_b)), reach AS (SELECT u AS name, u AS other FROM e UNION SELECT r.name, e.v FROM reach r JOIN e ON e.u = r.other) SELECT name, min(other) AS cluster FROM reach GROUP BY 1",
     "hard_tags": f"WITH {V.ITEMS} SELECT item_id, spec AS tags, spec AS must FROM items",
     "header_scores": "WITH h AS (SELECT unnest(['p_partkey','p_name','p_brand','p_type','p_size','p_retailprice']) AS header), r AS (SELECT * FROM (VALUES ('name','name'),('spec','type'),('brand','brand'),('size','size'),('price','price'),('id','key')) v(role, word)) SELECT header, COALESCE(arg_max(role, length(word)), 'unknown') AS role, CAST(COALESCE(max(length(word)), 0) AS INTEGER) AS score FROM h LEFT JOIN r ON contains(header, word) GROUP BY 1",
 }
