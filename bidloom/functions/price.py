@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 TAX_DIVISOR = 1.13
 #: Platforms whose unmarked prices exclude tax.
 COST_PLATFORMS = ("guangcai", "lingcai", "huixun", "yize", "zaojiatong")
-SENTINELS = (-1000.0, -1.0, 0.0, 0.01)
 
 
 def parse_price(text: Column) -> Column:

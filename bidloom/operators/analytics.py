@@ -75,10 +75,18 @@ def breaker_timeline(attempts: DataFrame) -> DataFrame:
 
 
 def consecutive_rejects(attempts: DataFrame) -> DataFrame:
-    """Longest run of attempts without a formal quote for each item: gaps and islands."""
-    order = W.partitionBy("item_id").orderBy("ts", "ord")
-    island = attempts.withColumn("island", F.sum(F.col("formal").cast("int")).over(order))
-    runs = island.where(~F.col("formal")).groupBy("item_id", "island").agg(F.count("*").alias("run"))
+    """Longest run of attempts without a formal quote for each item: gaps and islands.
+
+    Rows are sorted by item and day; an island's number is the formal quotes before it, those of earlier days from a
+    window over one row a day. Runs across days have one number and add up, so a busy item is not sorted whole in one task.
+    """
+    own = attempts.select("item_id", F.to_date("ts").alias("day"), "ts", "ord", F.col("formal").cast("int").alias("f"))
+    days = own.groupBy("item_id", "day").agg(F.sum("f").alias("formal"))
+    earlier = F.sum("formal").over(W.partitionBy("item_id").orderBy("day").rowsBetween(W.unboundedPreceding, -1))
+    days = days.select("item_id", "day", F.coalesce(earlier, F.lit(0)).alias("before"))
+    inside = F.sum("f").over(W.partitionBy("item_id", "day").orderBy("ts", "ord").rowsBetween(W.unboundedPreceding, 0))
+    local = own.withColumn("inside", inside).where("f = 0").groupBy("item_id", "day", "inside").agg(F.count("*").alias("run"))
+    runs = local.join(days, ["item_id", "day"]).groupBy("item_id", (F.col("before") + F.col("inside")).alias("island")).agg(F.sum("run").alias("run"))
     return runs.groupBy("item_id").agg(F.max("run").alias("longest"), F.count("*").alias("runs"))
 
 
