@@ -85,33 +85,32 @@ def bucket_links(fp: np.ndarray, refs: np.ndarray, radius: int = RADIUS, block:
     order = np.argsort(table[:, 0], kind="stable")
     fp, table = fp[order], table[order]
     first = table[:, 0].astype(np.int64)
-    parent = np.arange(len(fp))
-
-    def top(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
+    label = np.arange(len(fp))  # of the component so far: its least row
     out = []
     for lo in range(0, len(fp), block):
         hi = min(lo + block, len(fp))
         # Sorted by the first coordinate: later rows beyond its reach cannot link to this block.
         for at in range(lo, int(np.searchsorted(first, first[hi - 1] + radius, "right")), block):
             to = min(at + block, len(fp))
-            near = np.ones((hi - lo, to - at), dtype=bool)
+            near = label[lo:hi, None] != label[None, at:to]
             for k in range(table.shape[1]):
                 near &= np.abs(table[lo:hi, None, k] - table[None, at:to, k]) <= radius
             i, j = np.nonzero(near)
             i, j = i + lo, j + at
-            keep = j > i
-            i, j = i[keep], j[keep]
             linked = np.bitwise_count(fp[i] ^ fp[j]) <= radius
-            for x, y in zip(i[linked].tolist(), j[linked].tolist(), strict=True):
-                rx, ry = top(x), top(y)
-                if rx != ry:
-                    parent[max(rx, ry)] = min(rx, ry)
-                    out.append((int(fp[x]), int(fp[y])))
+            i, j = i[linked], j[linked]
+            while len(i):
+                # Each component joins one with a lesser label, so what is joined is a forest.
+                low, high = np.minimum(label[i], label[j]), np.maximum(label[i], label[j])
+                high, one = np.unique(high, return_index=True)
+                out += zip(fp[i[one]].tolist(), fp[j[one]].tolist(), strict=True)
+                to_low = np.arange(len(fp))
+                to_low[high] = low[one]
+                while (to_low[to_low] != to_low).any():
+                    to_low = to_low[to_low]
+                label = to_low[label]
+                apart = label[i] != label[j]
+                i, j = i[apart], j[apart]
     return out
 
 
@@ -176,7 +175,10 @@ def links(fps: DataFrame, radius: int = RADIUS, max_bucket: int = MAX_BUCKET) ->
         ab = np.array(found, dtype=np.uint64).reshape(-1, 2).view(np.int64)
         return pd.DataFrame({"a": ab[:, 0], "b": ab[:, 1]})
 
-    return whole.select("mask", "key", "fp").groupBy("mask", "key").applyInPandas(forest, "a long, b long").distinct()
+    # Small in bytes but heavy in work: a stated number of partitions keeps them from being joined in one task.
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = whole.select("mask", "key", "fp").repartition(parts, "mask", "key")
+    return dealt.groupBy("mask", "key").applyInPandas(forest, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:

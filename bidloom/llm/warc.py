@@ -48,12 +48,13 @@ def headers(pages: DataFrame, id_col: str = "page_id", payload_col: str = "html"
 
 
 def revisits(head: DataFrame, min_payload: int = MIN_PAYLOAD) -> DataFrame:
-    """``(row, refers_to)``: the headers ``(row, page_id, payload_bytes, payload_digest)`` that revisit another."""
+    """``(page_id, payload_digest, refers_to)``: the headers ``(page_id, payload_bytes, payload_digest)`` that revisit another."""
     large = head.where((F.col("payload_bytes") >= min_payload) & F.col("page_id").isNotNull())
     # Only digests seen twice or more move on; hot digests are summed up before they move.
     first = large.groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
     first = common.cut(first.select("payload_digest", "first"), "originals")
-    return large.join(first, "payload_digest").where("page_id <> first").select("row", F.col("first").alias("refers_to"))
+    found = large.join(first, "payload_digest").where("page_id <> first")
+    return found.select("page_id", "payload_digest", F.col("first").alias("refers_to")).distinct()
 
 
 def records(full: DataFrame) -> DataFrame:
@@ -85,11 +86,10 @@ def write_archives(
 ) -> None:
     """Writes one record a row under the folder ``to``, revisits without their payload."""
     whole = headers(pages, id_col, payload_col, url_col)
-    whole = common.cut(whole.withColumn("row", F.monotonically_increasing_id()), "pages")
-    head = whole.select("row", "page_id", "payload_bytes", "payload_digest")
+    head = common.cut(whole.select("page_id", "payload_bytes", "payload_digest"), "headers")
     visits = common.cut(revisits(head, min_payload), "revisits")
-    full = whole.join(visits, "row", "left")
-    size = full.agg(F.sum(F.when(F.col("refers_to").isNull(), F.col("payload_bytes")).otherwise(0) + 400)).first()[0]
+    full = whole.join(visits, ["page_id", "payload_digest"], "left")
+    size = head.agg(F.sum(F.col("payload_bytes") + 400)).first()[0]
     n = max(1, -(-int(size or 0) // ARCHIVE_BYTES))
     (
         records(full)
