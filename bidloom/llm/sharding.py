@@ -34,8 +34,8 @@ ROUNDS = 3
 BINS = 16
 #: Shorter lines do not link.
 LINE_CHARS = 40
-#: Parts of a text's rows that are numbered by tasks of their own.
-SALTS = 64
+#: Bits below the partition number in a row number of ``monotonically_increasing_id``.
+ROW_BITS = 33
 
 
 def nodes_and_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -133,7 +133,9 @@ def ranked(state: DataFrame) -> DataFrame:
 def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
     """``(doc_id, size, text_crc32, node, shard, slot)``: a row for each row, counts of shards at most one apart."""
     rows, links = nodes_and_lines(docs, id_col, text_col)
-    rows = rows.withColumn("salt", F.pmod("row", F.lit(SALTS)).cast("int"))
+    # A text's rows are numbered by input partition: however often it is copied, a task numbers no more than one
+    # partition holds, and there are more such parts the larger the input is.
+    rows = rows.withColumn("salt", F.shiftright("row", ROW_BITS))
     # Rows of a text by salt, and where each salt's rows begin within the text's.
     salted = common.cut(rows.groupBy("node", "salt").agg(F.count("*").alias("n")), "salted")
     nodes = common.cut(salted.groupBy("node").agg(F.sum("n").alias("n")), "nodes")
