@@ -62,3 +62,29 @@ def apply_to_bucket(bucket: Column, gate: Column) -> Column:
         .when((gate == "review") & bucket.isin("formal", "discard"), "candidate")
         .otherwise(bucket)
     )
+
+
+def hints(text: Column) -> Column:
+    """``struct(source_price_region, supplier_region)`` that labels of a text name; one never stands for the other."""
+    t = F.coalesce(text, F.lit(""))
+    first = lambda labels: F.trim(F.regexp_extract(t, rf"(?U)(?:{labels})\s*[:：]?\s*([^\n，,；;]{{2,20}})", 1))
+    price = F.coalesce(F.nullif(first("价格适用|适用地区|报价地区|地区价格|价格地区"), F.lit("")), first("交货地|到货地|收货城市"))
+    return F.struct(price.alias("source_price_region"), first("厂家所在地|供应商所在地|所在地区|发货地|商所在地").alias("supplier_region"))
+
+
+def verified(label: Column, city: Column, province: Column, actual: Column, exact: Column) -> Column:
+    """``struct(ok, match)``: whether the region that a page shows (``actual``, all its words) is the one that was asked for.
+
+    A region that is not asked for or cannot be read is ``unknown``; it passes unless ``exact`` asks for a readable one.
+    """
+    bare = lambda c: F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), "[省市]", ""))
+    shown, asked = bare(actual), F.concat(*[F.coalesce(c, F.lit("")) for c in (label, city, province)])
+    within = lambda c: (bare(c) != "") & F.contains(shown, bare(c))
+    result = lambda ok, match: F.struct(ok.alias("ok"), F.lit(match).alias("match"))
+    return (
+        F.when(asked == "", result(F.lit(True), "unknown"))
+        .when(F.trim(F.coalesce(actual, F.lit(""))) == "", result(~exact, "unknown"))
+        .when(within(city) | within(label), result(F.lit(True), "exact"))
+        .when(within(province), result(F.lit(True), "province"))
+        .otherwise(result(F.lit(False), "mismatch"))
+    )

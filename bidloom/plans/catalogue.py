@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from bidloom.plans import quotes, reports
+from bidloom.plans import quotes, reports, web
 
-MODULES = (quotes, reports)
+MODULES = (quotes, reports, web)
 
 
 def queries() -> dict:
