@@ -16,7 +16,11 @@ from bidloom.operators.match import core_name, every
 PREFIXES = r"(?:DS-|RG-|iDS-|HM-|JB-|MS-|LRS-|GTYQ-|ZN-|WDZN-)"
 IDENTITY = "脱机 联机 无线 有线 户外 户内 室外 室内 防水 防雨 防爆 阻燃 耐火 明装 暗装".split()
 MATERIALS = "304 316L 316 Q235 球墨铸铁 不锈钢 碳钢 铜".split()
+# Fixed value: hard values that an alias query keeps.
+HARD = r"(?iu)(?:DN|φ|PN)\s*[0-9]+(?:\.[0-9]+)?|[0-9]+(?:\.[0-9]+)?\s*(?:W(?:/m)?|V|K|mm|MPa)|IP\s*[0-9]{2}|(?:DS-|RG-|iDS-)[A-Z0-9/\-.]+|[A-Z]{1,6}[0-9]{2,}[A-Z0-9_-]*"
 SHOP_MOST, COST_MOST, LONGEST = 5, 4, 40
+#: A table of platforms of more rows is refused.
+PLATFORMS_MOST = 200
 
 
 def _first(text: Column, pattern: str, group: int = 0) -> Column:
@@ -144,9 +148,28 @@ def requeries(f: Column, tried: Column, reasons: Column, most: int = 3) -> Colum
 
 
 def search_rows(items: DataFrame, platforms: DataFrame) -> DataFrame:
-    """``(item_id, platform, ord, query)`` for a small table ``(platform, shop)``: queries within each platform's budget."""
+    """``(item_id, platform, ord, query)`` for a table ``(platform, shop)`` of at most ``PLATFORMS_MOST`` rows: queries within each platform's budget."""
+    known = platforms.select("platform", "shop").limit(PLATFORMS_MOST + 1).collect()
+    if len(known) > PLATFORMS_MOST:
+        raise ValueError(f"over {PLATFORMS_MOST} platforms")
     f = items.select("item_id", features(F.col("name"), F.col("spec"), F.col("brand")).alias("f"))
     q = f.select("item_id", cost_site_queries(F.col("f")).alias("cost"), shop_queries(F.col("f")).alias("shop_q"))
-    j = q.join(F.broadcast(platforms), F.lit(True))
+    every = F.array(*[F.struct(F.lit(r.platform).alias("platform"), F.lit(bool(r.shop)).alias("shop")) for r in known])
+    j = q.select("item_id", "cost", "shop_q", F.inline(every if known else F.array().cast("array<struct<platform:string,shop:boolean>>")))
     own = F.slice(F.when(F.col("shop"), F.col("shop_q")).otherwise(F.col("cost")), 1, platform_budget(F.col("shop")))
     return j.select("item_id", "platform", F.posexplode(own).alias("ord", "query"))
+
+
+def with_aliases(queries: Column, name: Column, aliases: Column, most: int = 2) -> Column:
+    """The queries, and after them the first aliases of the name with the hard values of the first query and the name.
+
+    An alias query that is too long is the alias alone; one that stands already is left out. No queries stay none.
+    """
+    asked = F.concat_ws(" ", F.get(queries, F.lit(0)), name)
+    hard = F.array_join(F.array_distinct(F.regexp_extract_all(asked, F.lit(HARD), F.lit(0))), " ")
+    whole = lambda a: F.trim(F.regexp_replace(F.concat_ws(" ", a, hard), r"(?U)\s+", " "))
+    some = F.slice(F.coalesce(aliases, F.array().cast("array<string>")), 1, most)
+    more = F.transform(some, lambda a: F.when(F.length(whole(a)).between(2, LONGEST), whole(a)).otherwise(F.substring(a, 1, LONGEST)))
+    keys = lambda xs: F.transform(xs, lambda x: F.lower(F.trim(F.regexp_replace(x, r"(?U)\s+", " "))))
+    fresh = F.filter(more, lambda q, i: ~F.array_contains(keys(queries), F.lower(q)) & (F.array_position(keys(more), F.lower(q)) == i + 1))
+    return F.when(F.size(queries) > 0, F.concat(queries, fresh)).otherwise(queries)

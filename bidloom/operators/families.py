@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from bidloom.functions import text as T
@@ -50,3 +51,15 @@ def lookup(pairs: DataFrame, positive: DataFrame, negative: DataFrame) -> DataFr
     out = own.join(pos, ["lo", "hi"], "left").join(neg, ["lo", "hi"], "left")
     relation = F.when(F.col("lo") == F.col("hi"), "same").when(F.col("neg"), "different").when(F.col("pos"), "same").otherwise("unknown")
     return out.withColumn("relation", relation).select(*pairs.columns, "relation")
+
+
+def aliases(clusters: DataFrame, most: int = 4) -> DataFrame:
+    """``(name, aliases)``: up to ``most`` other spellings of each name of ``(name, cluster)``, in order.
+
+    Each cluster's first ``most + 1`` spellings serve all of its names, so no pairs within a cluster are made.
+    """
+    names = clusters.select("name", "cluster").where("name is not null").distinct()
+    first = names.withColumn("n", F.row_number().over(W.partitionBy("cluster").orderBy("name"))).where(F.col("n") <= most + 1)
+    first = first.groupBy("cluster").agg(F.sort_array(F.collect_list("name")).alias("known"))
+    others = F.slice(F.filter("known", lambda x: x != F.col("name")), 1, most)
+    return names.join(first, "cluster").select("name", others.alias("aliases"))

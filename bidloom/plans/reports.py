@@ -157,6 +157,8 @@ def spec_struct(spark, d):
 def match_gate(spark, d):
     """Offers of each item by the size that their text names, through the formal gate. Equal texts are judged once."""
     o = V.read(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("item_id"), F.col("l_quantity").cast("int").alias("quantity")).agg(F.count("*").alias("n"))
+    # Few bytes but much work a row: a stated number of partitions by the join's key keeps them from being put in one task.
+    o = o.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "item_id")
     size = F.concat(F.lit("规格型号：DN"), (F.col("quantity") * 10).cast("string"), F.lit(" PN16 供应商名称：S"))
     j = o.join(V.items(spark, d).select("item_id", "name", "spec"), "item_id")
     j = j.select("item_id", "quantity", "n", "name", "spec", F.col("name").alias("title"), size.alias("text"), F.lit("").alias("spec_seen"))

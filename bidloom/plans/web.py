@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from bidloom.operators import families as N
 from bidloom.operators import quotes as Q
 from bidloom.operators import region as R
 from bidloom.operators import views as V
@@ -43,8 +44,17 @@ def region_hints(spark, d):
     return s.select("s_suppkey", R.hints(text).alias("h")).select("s_suppkey", "h.source_price_region", "h.supplier_region")
 
 
-QUERIES = {f.__name__: f for f in (fallback_items, visible_prices, region_verify, region_hints)}
+def alias_names(spark, d):
+    """Other names of parts that begin and end alike, four at most."""
+    names = V.items(spark, d).select("name", F.concat(F.substring("name", 1, 2), F.substring("name", -1, 1)).alias("cluster"))
+    return N.aliases(names).select("name", F.array_join("aliases", "|").alias("aliases"))
+
+
+QUERIES = {f.__name__: f for f in (fallback_items, visible_prices, region_verify, region_hints, alias_names)}
 ORACLE = {
+    "alias_names": f"""WITH {V.ITEMS}, c AS (SELECT DISTINCT name, substring(name, 1, 2) || right(name, 1) AS cluster FROM items),
+g AS (SELECT cluster, list_sort(list(name)) AS known FROM c GROUP BY 1)
+SELECT name, array_to_string(list_filter(known, lambda x: x <> name)[1:4], '|') AS aliases FROM c JOIN g USING (cluster)""",
     "fallback_items": f"""WITH {V.ITEMS}, {V.OFFERS}, n AS (SELECT item_id, count(*) AS n_formal FROM offers WHERE tax_mode = 'tax_incl' GROUP BY 1)
 SELECT item_id, COALESCE(n_formal, 0) AS n_formal FROM items LEFT JOIN n USING (item_id) WHERE brand <> 'Brand#11' AND COALESCE(n_formal, 0) < 3""",
     "visible_prices": """WITH p AS (SELECT CAST(l_linenumber * CASE WHEN l_returnflag = 'A' THEN 10000 ELSE 1 END AS DOUBLE) AS price, CAST(CAST(l_quantity AS INTEGER) AS DOUBLE) AS marked FROM lineitem)

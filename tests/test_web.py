@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from bidloom.operators import region, web
+from bidloom.functions import search
+from bidloom.operators import families, region, web
 from tests.test_functions import values
 
 
@@ -59,3 +60,15 @@ def test_regions(spark):
     ]
     got = [tuple(x) for x in values(spark, region.verified, rows, "l string, c string, p string, a string, e boolean")]
     assert got == [(True, "exact"), (True, "province"), (False, "mismatch"), (False, "unknown"), (True, "unknown"), (True, "unknown"), (True, "exact")]
+
+
+def test_aliases(spark):
+    rows = [("单向阀", 1), ("止回阀", 1), ("止回阀", 1), ("逆止阀", 1), ("水泵", 2), (None, 2)]
+    got = {r.name: r.aliases for r in families.aliases(spark.createDataFrame(rows, "name string, cluster int"), 1).collect()}
+    assert got == {"单向阀": ["止回阀"], "止回阀": ["单向阀"], "逆止阀": ["单向阀"], "水泵": []}
+    cases = [
+        (["单向阀 DN100"], "单向阀 DN100", ["止回阀", "逆止阀", "x"]), (["止回阀 DN100"], "DN100", ["止回阀"]), ([], "a", ["b"]), (["q"], None, None), (None, "a", ["b"]),
+        (["a"], "DN50", ["长" * 40]),
+    ]
+    got = values(spark, search.with_aliases, cases, "q array<string>, n string, a array<string>")
+    assert got == [["单向阀 DN100", "止回阀 DN100", "逆止阀 DN100"], ["止回阀 DN100"], [], ["q"], None, ["a", "长" * 40]]
