@@ -13,6 +13,10 @@
    gives a spanning forest of its links, never all pairs.
 4. Components of the links run over fingerprints, and documents take the least doc_id of theirs.
 
+``deduplicate`` links more than the query op9 does: besides those links, differing texts whose sets of five-word
+shingles have a Jaccard similarity of at least 0.8. Such texts differ by up to some 16 of 64 bits, where pigeonhole keys
+no longer tell anything apart, so they meet by MinHash bands (``copies``) and are verified on the whole sets.
+
 Defined results: null and empty texts, and texts without words, have fingerprint zero and link like
 any other; repeated rows with one id give one output row each; a null id takes no part in the choice
 of the least id; an empty table gives no rows; further columns of the input are ignored.
@@ -37,6 +41,17 @@ SHINGLE = 3
 RADIUS = 3
 PIVOTS = 16
 MAX_BUCKET = 4096
+#: Edited copies: words of a shingle, least Jaccard similarity, bands and minima a band. A pair of similarity s shares no
+#: band with probability (1 - s**4)**20: 3 in 100,000 at 0.8.
+COPY_SHINGLE = 5
+COPY_JACCARD = 0.8
+BANDS = 20
+BAND_ROWS = 4
+#: Bands of at most so many texts give all their pairs; larger ones give each text's pairs with ``HUBS`` of them.
+MAX_BAND = 32
+HUBS = 4
+#: Up to so many candidate rows are broadcast to find their texts; beyond that the texts are shuffled.
+BROADCAST_ROWS = 100_000
 #: Bit ranges [low, high) of the five blocks.
 BLOCKS = ((0, 13), (13, 26), (26, 39), (39, 52), (52, 64))
 
@@ -181,11 +196,100 @@ def links(fps: DataFrame, radius: int = RADIUS, max_bucket: int = MAX_BUCKET) ->
     return dealt.groupBy("mask", "key").applyInPandas(forest, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
-    """``(doc_id, row, fp, component_id)``: each row's fingerprint and the least doc_id reachable from it."""
-    per_doc = common.cut(fingerprints(docs, id_col, text_col, row_col), "fingerprints")
-    least = common.cut(per_doc.groupBy("fp").agg(F.min("doc_id").alias("low")), "least")
-    roots = common.components(links(least.select("fp")))
+def shingle_set(text: str | None) -> np.ndarray:
+    """The sorted distinct XXH64 hashes of a text's five-word shingles; a shorter text is one shingle, one without words none."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return np.empty(0, dtype=np.uint64)
+    n = min(COPY_SHINGLE, len(words))
+    shingles = map(b" ".join, zip(*(words[k:] for k in range(n)), strict=False))
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in shingles), dtype=np.uint64, count=len(words) - n + 1))
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / max(1, len(a) + len(b) - both)
+
+
+def _multipliers() -> tuple[np.ndarray, np.ndarray]:
+    own = [np.array([xxhash.xxh64_intdigest(f"{k}{i}".encode(), SEED) for i in range(BANDS * BAND_ROWS)], dtype=np.uint64) for k in "ab"]
+    return own[0] | np.uint64(1), own[1]
+
+
+def bands(own: np.ndarray, mul: np.ndarray, add: np.ndarray, block: int = 4096) -> list[int]:
+    """The keys of a shingle set's bands: hashes of ``BAND_ROWS`` minima each, as signed longs."""
+    if not len(own):
+        return []
+    # The high halves of the products: the low bits of a product depend on the low bits alone.
+    low = np.min([((own[at : at + block, None] * mul + add) >> np.uint64(32)).min(axis=0) for at in range(0, len(own), block)], axis=0)
+    keys = [xxhash.xxh64_intdigest(x.tobytes(), k) for k, x in enumerate(low.reshape(BANDS, BAND_ROWS))]
+    return np.array(keys, dtype=np.uint64).view(np.int64).tolist()
+
+
+def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    mul, add = _multipliers()
+    for b in batches:
+        texts = b.column(2).to_pylist()
+        sets = [shingle_set(t) for t in texts]
+        # Sets stand for texts here; equal sets give equal keys and equal bands.
+        same = [xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets]
+        longs = [np.array(x, dtype=np.uint64).view(np.int64) for x in ([fingerprint_text(t) for t in texts], same)]
+        yield pa.RecordBatch.from_arrays(
+            [b.column(0), b.column(1), *map(pa.array, longs), pa.array([len(x) for x in sets], pa.int32()), pa.array([bands(x, mul, add) for x in sets], pa.list_(pa.int64()))],
+            names=["doc_id", "row", "fp", "same", "n", "bands"],
+        )
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        texts = b.column(1).to_pylist()
+        fp = np.array([fingerprint_text(t) for t in texts], dtype=np.uint64).view(np.int64)
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp), pa.array([shingle_set(t).tobytes() for t in texts], pa.binary())], names=["row", "fp", "own"])
+
+
+def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        sets = [[np.frombuffer(x, dtype=np.uint64) for x in b.column(k).to_pylist()] for k in (2, 3)]
+        near = pa.array([jaccard(x, y) >= COPY_JACCARD for x, y in zip(*sets, strict=True)], pa.bool_())
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(near)
+
+
+def candidates(reps: DataFrame) -> DataFrame:
+    """``(x, y)``: rows of ``reps (row, n, bands)`` that share a band and whose sizes allow the similarity, x < y.
+
+    A band of over ``MAX_BAND`` rows is a large cluster of copies, or a line that many texts hold. It gives
+    each row's pairs with its ``HUBS`` least rows by fixed hashes, so that pairs grow with the rows: a cluster hangs
+    together by its hubs, and copies that merely share a frequent line meet in their other bands.
+    """
+    dealt = common.cut(reps.select("row", "n", F.explode("bands").alias("key")), "bands")
+    sizes = dealt.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
+    shared = common.cut(dealt.join(sizes, "key"), "shared")
+    small, large = shared.where(F.col("m") <= MAX_BAND), shared.where(F.col("m") > MAX_BAND)
+    pairs = small.select("key", F.col("row").alias("x"), F.col("n").alias("nx")).join(small.select("key", F.col("row").alias("y"), F.col("n").alias("ny")), "key").where("x < y")
+    least = [F.min(F.struct(F.xxhash64("row", F.lit(i)).alias("h"), "row", "n")) for i in range(HUBS)]
+    hubs = large.groupBy("key").agg(F.array(*least).alias("hubs")).select("key", F.explode("hubs").alias("hub"))
+    stars = large.join(hubs.distinct(), "key").where(F.col("row") != F.col("hub.row"))
+    stars = stars.select(F.least("row", "hub.row").alias("x"), F.greatest("row", "hub.row").alias("y"), F.col("n").alias("nx"), F.col("hub.n").alias("ny"))
+    both = pairs.select("x", "y", "nx", "ny").union(stars)
+    return both.where(F.least("nx", "ny") >= F.greatest("nx", "ny") * COPY_JACCARD - 1e-6).select("x", "y").distinct()
+
+
+def copies(held: DataFrame, profiles: DataFrame, row_col: str, text_col: str, most: int = BROADCAST_ROWS) -> DataFrame:
+    """``(a, b)``: fingerprints of texts in ``held`` that are edited copies of each other."""
+    reps = profiles.where("n > 0").groupBy("fp", "same", "n").agg(F.min("row").alias("row"), F.first("bands").alias("bands"))
+    pairs = common.cut(candidates(reps.select("row", "n", "bands")), "pairs")
+    rows = common.cut(pairs.select(F.explode(F.array("x", "y")).alias("row")).distinct(), "rows")
+    wanted = rows.select(F.col("row").alias(row_col))
+    texts = held.select(row_col, text_col).join(F.broadcast(wanted) if rows.count() <= most else wanted, row_col)
+    sets = common.cut(texts.mapInArrow(_sets, "row long, fp long, own binary"), "sets")
+    side = [sets.select(F.col("row").alias(r), F.col("fp").alias(f), F.col("own").alias(o)) for r, f, o in (("x", "a", "p"), ("y", "b", "q"))]
+    met = pairs.join(side[0], "x").join(side[1], "y").where("a <> b").select("a", "b", "p", "q")
+    return met.mapInArrow(_verified, "a long, b long")
+
+
+def _lowest(per_doc: DataFrame, least: DataFrame, edges: DataFrame) -> DataFrame:
+    """``(doc_id, row, fp, component_id)`` by the components of ``edges`` among the fingerprints of ``least (fp, low)``."""
+    roots = common.components(edges)
     owned = (
         least.join(roots, least["fp"] == roots["node"], "left")
         .select("fp", "low", F.coalesce("root", "fp").alias("root"))
@@ -196,15 +300,32 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return per_doc.join(of_fp, "fp", "left").select("doc_id", "row", "fp", "component_id")
 
 
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+    """``(doc_id, row, fp, component_id)``: each row's fingerprint and the least doc_id reachable from it."""
+    per_doc = common.cut(fingerprints(docs, id_col, text_col, row_col), "fingerprints")
+    least = common.cut(per_doc.groupBy("fp").agg(F.min("doc_id").alias("low")), "least")
+    return _lowest(per_doc, least, links(least.select("fp")))
+
+
+def edited_duplicates(docs: DataFrame, id_col: str, text_col: str, row_col: str) -> DataFrame:
+    """As ``near_duplicates``, with the links of ``copies`` besides."""
+    common.small_batches(docs.sparkSession)
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(row_col).cast("long").alias("row"), F.col(text_col).alias("text"))
+    profiles = common.cut(own.mapInArrow(_profiles, "doc_id long, row long, fp long, same long, n int, bands array<long>"), "profiles")
+    least = common.cut(profiles.groupBy("fp").agg(F.min("doc_id").alias("low")), "least")
+    return _lowest(profiles, least, links(least.select("fp")).union(copies(docs, profiles, row_col, text_col)))
+
+
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each component: the one with the least id. All columns stay.
 
+    Components are those of op9's links and of edited copies together (``edited_duplicates``).
     Rows without an id never stand for others: of a component with ids they go, of one without any they stay.
     Rows that repeat the least id count by a row number, which is written before it is used.
     """
     row = "row of deduplicate"
     held = common.cut(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
-    found = common.cut(near_duplicates(held, id_col, text_col, row), "found")
+    found = common.cut(edited_duplicates(held, id_col, text_col, row), "found")
     heads = found.where("doc_id = component_id").groupBy("component_id").agg(F.min("row").alias("row"))
     stay = heads.select("row").union(found.where("component_id is null").select("row"))
     go = found.select("row").join(stay, "row", "left_anti").select(F.col("row").alias(row))

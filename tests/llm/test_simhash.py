@@ -99,3 +99,36 @@ def test_pivot_tables_never_discard_a_link():
 def test_one_very_long_text():
     text = "a bb ccc dd " * 50_000
     assert simhash.fingerprint_text(text) == simhash.fingerprint_text(text.upper())
+
+
+def test_deduplicate_removes_edited_copies(spark):
+    rng = random.Random(3)
+    rows, gone, far = [], set(), 0
+    for i in range(60):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+        other = list(words)
+        for k in rng.sample(range(10, 190), 3):
+            other[k] = "edited"
+        apart = words[:100] + [f"v{rng.randrange(10**6)}" for _ in range(100)]
+        texts = [" ".join(x) for x in (words, other, apart)]
+        far += bin(slow_fingerprint(texts[0]) ^ slow_fingerprint(texts[1])).count("1") > simhash.RADIUS
+        assert simhash.jaccard(*map(simhash.shingle_set, texts[:2])) >= 0.8 > 0.5 > simhash.jaccard(*map(simhash.shingle_set, texts[::2]))
+        rows += [(3 * i + k, t, "x", 1) for k, t in enumerate(texts)]
+        gone.add(3 * i + 1)
+    # One cluster far above MAX_BAND: copies of one text, each edited elsewhere.
+    words = [f"u{rng.randrange(10**6)}" for _ in range(200)]
+    for i in range(300):
+        rows.append((1000 + i, " ".join([*words[: 10 + i % 180], f"edit{i}", *words[11 + i % 180 :]]), "x", 1))
+    gone |= set(range(1001, 1300))
+    assert far > 10
+    got = [r.doc_id for r in simhash.deduplicate(spark.createDataFrame(rows, SCHEMA)).collect()]
+    assert sorted(got) == sorted({r[0] for r in rows} - gone)
+
+
+def test_edited_copies_without_a_broadcast(spark):
+    words = [f"w{i}" for i in range(100)]
+    rows = [(1, " ".join(words), "x", 1), (2, " ".join(words[:50] + ["new"] + words[51:]), "x", 1)]
+    df = spark.createDataFrame(rows, SCHEMA).selectExpr("doc_id", "text", "doc_id as row")
+    profiles = df.select("doc_id", "row", "text").mapInArrow(simhash._profiles, "doc_id long, row long, fp long, same long, n int, bands array<long>")
+    want = {tuple(r) for r in simhash.copies(df, common.cut(profiles, "p"), "row", "text").collect()}
+    assert len(want) == 1 and want == {tuple(r) for r in simhash.copies(df, common.cut(profiles, "p"), "row", "text", most=0).collect()}
