@@ -6,6 +6,10 @@ and its canonical value alone, so an entity has one surrogate wherever it stands
 a name its own. It keeps what the kind shows: a number's punctuation, country code, issuer digit and Luhn
 validity, a private address's range, a name's script, gender by the form of address, and case.
 
+Phone numbers are: + and 8 to 15 digits, in one run or in groups; national numbers with a trunk 0 and 9 to 12 digits, ten bare
+digits that 0 or 1 does not lead, and 3-3-4 groups. Thousands after + and three digits that are no country code, decimal fractions,
+dates and other bare runs are spared; national numbers without a trunk 0 in other groups (912 345 678) cannot be told from plain numbers and stay.
+
 Distinctness is checked over the corpus: the distinct entities (never the texts) are gathered, and one whose
 surrogate another entity has, or that is itself an entity of the corpus, tries its next one, round by
 round, until none collides. Entities that are not on their first try are ``overrides``; they are rare,
@@ -62,6 +66,41 @@ _SSN = re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])", re.A)
 _CARD = re.compile(r"(?<![\w.+-])\d(?:[ -]?\d){12,18}(?![\w]|[-.]\d)", re.A)
 _PHONE = re.compile(r"(?<![\w.])(?:\+(\d{1,3})[ .-]?)?(?:\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}|\d{3}[ .-]\d{3}[ .-]\d{4})(?![\w]|-\d)|\+(\d{1,2})(?:[ .-]\d{2,4}){2,5}(?![\w]|-\d)", re.A)
 
+# Further phone forms: + and groups, of which the first is a country code, or one run of 8 to 15 digits; national numbers with a
+# trunk 0; and ten bare digits that 0 or 1 does not lead.
+_PLUS = re.compile(r"(?<![\w+])\+(?:(\d{1,3})(?:[ ./-]?\(\d{1,5}\)[ ./-]?|[ ./-])\d{1,8}(?:[ ./-]\d{1,8})*|\d{1,3}\.\d{9,12}|\d{4,7}(?:[ ./-]\d{1,8})+|\d{8,15})(?!\w)", re.A)
+_NATIONAL = re.compile(r"(?<![\w.,+/$€£-])(?!\d{3}-\d\d-\d{4}(?![\w-])|\d\d([ ./-])\d\d\1\d{4})(?:0\d{1,4}[ ./-]\d{2,8}(?:([ .-])\d{2,4}(?:\2\d{2,4}){0,3})?|0\d{9,10}|[2-9]\d{9})(?!\w|[.,/-]\d)", re.A)
+_LONGER = re.compile(r"[ ./-]\d+\Z", re.A)
+# Country codes of one and two digits, and the first two digits of those of three.
+_CODES = frozenset("1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
+_CODES_OF_3 = frozenset("21 22 23 24 25 26 29 35 37 38 42 50 59 67 68 69 80 85 87 88 96 97 99".split())
+
+
+def country_code(digits: str) -> str:
+    """The country code at the start of an international number, empty where no country has it."""
+    return next((digits[:n] for n in (1, 2) if digits[:n] in _CODES), digits[:3] if digits[:2] in _CODES_OF_3 else "")
+
+
+def _plus(m: re.Match, others: list[int]) -> tuple[int, str] | None:
+    """End and canonical value of a ``_PLUS`` match, without groups beyond 15 digits or from the start of another entity on.
+
+    None where it is a plain number.
+    """
+    own = m.string[m.start() : min([m.end(), *(x for x in others if x > m.start())])].rstrip(" ./-")
+    while sum(map(str.isdigit, own)) > 15 and (tail := _LONGER.search(own)):
+        own = own[: tail.start()]
+    digits, groups = re.sub(r"\D", "", own), re.findall(r"\d+", own)
+    if not 8 <= len(digits) <= 15:
+        return None
+    code = country_code(digits)
+    if m[1] and code != m[1]:
+        if all(len(x) == 3 for x in groups[1:]):  # thousands
+            return None
+        code = m[1]
+    if len(groups) == 2 and own.count(".") == 1 and len(groups[1]) < 9:  # a decimal fraction
+        return None
+    return m.start() + len(own), f"{code} {digits[len(code):]}"
+
 
 def luhn(digits: str) -> bool:
     total = sum(x if i % 2 == 0 else (2 * x - 9 if x > 4 else 2 * x) for i, x in enumerate(int(c) for c in reversed(digits)))
@@ -166,9 +205,20 @@ def find(text: str | None) -> list[tuple[int, int, str, str]]:
                 found.append((*m.span(), "ip", ".".join(str(int(x)) for x in m[0].split("."))))
         found += [(*m.span(), "ssn", m[0].replace("-", "")) for m in _SSN.finditer(text)]
         found += [(*m.span(), "card", re.sub(r"\D", "", m[0])) for m in _CARD.finditer(text)]
+        others, whole = [x[0] for x in found if x[2] in ("ip", "ssn")], set()
         for m in _PHONE.finditer(text):
             code, digits = m[1] or m[2] or "", re.sub(r"\D", "", m[0])
             found.append((*m.span(), "phone", f"{code} {digits[len(code):]}"))
+            if len(digits) >= 8:
+                whole.add(m.start())
+        if "+" in text:
+            plus = (m for m in _PLUS.finditer(text) if m.start() not in whole)
+            found += [(m.start(), x[0], "phone", x[1]) for m in plus if (x := _plus(m, others))]
+        for m in _NATIONAL.finditer(text):
+            digits = re.sub(r"\D", "", m[0])
+            if 9 <= len(digits) <= 12:
+                trunk = "0" if digits[0] == "0" else ""
+                found.append((*m.span(), "phone", f"{trunk} {digits[len(trunk):]}"))
     parts: dict[str, str] = {}
     for m in _NAME.finditer(text):
         given, family = (m[2], m[3]) if m[3] else (None, m[2])

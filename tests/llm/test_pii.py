@@ -2,6 +2,8 @@ from __future__ import annotations
 
 import re
 
+import pytest
+
 from bidloom.llm import common, pii
 
 KEY = b"test key"
@@ -63,3 +65,28 @@ def test_collisions_are_resolved_and_both_ways_agree(spark):
     got = {r.doc_id: r.text for r in pii.anonymise(df, KEY).collect()}
     assert len(set(got.values())) == 3000 and not set(got.values()) & {t for _, t, _, _ in rows}
     assert got == {r.doc_id: r.text for r in pii.anonymise(df, KEY, most=0).collect()}
+
+
+@pytest.mark.parametrize(
+    "number",
+    ["+15551234567", "+442071234567", "+351 912 345 678", "+33 1 23 45 67 89", "+49 30 1234567", "+44 (0)20 7946 0958", "+1.7035551234", "+1555 123 4567", "5551234567", "030 1234567", "06 12 34 56 78", "020 7946 0958", "02079460958", "+1 (743) 555-3824", "+34 912 345 678", "555-123-4567"],
+)
+def test_phone_forms(number):
+    text = f"call {number}, or {number}. In 2024 too"
+    found = [x for x in pii.find(text) if x[2] == "phone"]
+    assert [text[a:b] for a, b, _, _ in found] == [number, number]
+    out = re.fullmatch(r"call (.+), or (.+)\. In 2024 too", plain(text))
+    assert out[1] == out[2] != number
+    assert re.sub(r"\d", "9", out[1]) == re.sub(r"\d", "9", number)  # the punctuation stays
+    if number[0] in "+0":
+        code = pii.country_code(re.sub(r"\D", "", number)) if number[0] == "+" else "0"
+        assert re.sub(r"\D", "", out[1]).startswith(code)
+
+
+def test_phone_forms_corefer_and_spare_plain_numbers():
+    assert len({x[3] for x in pii.find("+15551234567 or +1 555 123 4567 or +1 (555) 123-4567")}) == 1
+    assert plain("ssn 012-34-5678") != "ssn 012-34-5678" and pii.find("ssn 012-34-5678")[0][2] == "ssn"
+    two = "+33 1 23 45 67 89 190.137.223.204", "+49 30 1234567 123-45-6789", "+1 (826) 555-4081 190.137.223.204"
+    assert [[x[2] for x in pii.find(t)] for t in two] == [["phone", "ip"], ["phone", "ssn"], ["phone", "ip"]]
+    for t in ("+100 000 000", "+12.345678", "+1234.5678", "at 1700000000 s", "05.01.2024", "0.123456789", "12345678901", "912 345 678", "$5551234567", "1,234,567,890", "x5551234567", "3141592653.58"):
+        assert plain(t) == t, t
