@@ -19,20 +19,23 @@ ordinary text. Vocabulary files are read on the driver and broadcast: their size
 from __future__ import annotations
 
 import base64
+import hashlib
 import heapq
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bidloom.llm import common
 
 MAX_VOCAB_BYTES = 64_000_000
-#: Pieces a worker remembers between batches; beyond it starts afresh, results do not change.
-MEMORY = 200_000
+#: Pieces, and ids of them, that a worker remembers between batches; beyond either it starts afresh, results do not change.
+MEMORY, MEMORY_IDS = 200_000, 4_000_000
 LONG = 512
 WIDTHS = (4, 8, 12, 16, 24, 32, 64, 128, 256, LONG)
 #: Cells of one matrix.
@@ -86,7 +89,13 @@ class Codec:
             todo = np.setdiff1d(todo, won, assume_unique=True)
             slot[todo] = (slot[todo] + 1) & (len(self.table) - 1)
             self.depth += 1
-        self.known: dict[str, list[int]] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        """No piece is known: ``number`` gives a piece's place in ``start``, the ends of its ids in ``ids``."""
+        self.number: dict[str, int] = {}
+        self.start = np.zeros(1, dtype=np.int64)
+        self.ids = np.zeros(0, dtype=np.int32)
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
@@ -196,18 +205,36 @@ class Codec:
 
     def learn(self, pieces: set[str]) -> None:
         """Encodes the pieces that are not known yet."""
-        if len(self.known) > MEMORY:
-            self.known.clear()
-        new = [p for p in pieces if p not in self.known]
-        for p, ids in zip(new, self.encode_pieces([p.encode("utf-8") for p in new]), strict=True):
-            self.known[p] = ids
-
-
-def _codec(tokens, pattern: str) -> Codec:
-    """One codec a worker process: the pair table is built once, not for every task."""
-    key = (tokens.value[0], len(tokens.value), pattern)
-    if _codec.__dict__.get("key") != key:
-        _codec.codec, _codec.key = Codec(tokens.value, pattern), key
+        if len(self.number) > MEMORY or len(self.ids) > MEMORY_IDS:
+            self._forget()
+        new = [p for p in pieces if p not in self.number]
+        rows = self.encode_pieces([p.encode("utf-8") for p in new])
+        self.number.update(zip(new, range(len(self.number), len(self.number) + len(new)), strict=True))
+        ends = np.cumsum([len(r) for r in rows], dtype=np.int64)
+        self.start = np.concatenate([self.start, self.start[-1] + ends])
+        self.ids = np.concatenate([self.ids, np.array([x for r in rows for x in r], dtype=np.int32)])
+
+    def gather(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of known pieces one after another, and how many ids stand before each piece and in all."""
+        at = np.fromiter(map(self.number.__getitem__, pieces), dtype=np.int64, count=len(pieces))
+        size = self.start[at + 1] - self.start[at]
+        before = np.concatenate([np.zeros(1, dtype=np.int64), np.cumsum(size)])
+        place = np.arange(before[-1]) + np.repeat(self.start[at] - before[:-1], size)
+        return self.ids[place], before
+
+
+def digest(tokens: list[bytes]) -> str:
+    """What tells one vocabulary from another: a hash of all its tokens in order."""
+    h = hashlib.sha256()
+    for t in tokens:
+        h.update(len(t).to_bytes(4, "big") + t)
+    return h.hexdigest()
+
+
+def _codec(tokens: Broadcast, name: str, pattern: str) -> Codec:
+    """One codec a worker process and vocabulary: the pair table is built once, not for every task."""
+    if _codec.__dict__.get("key") != (name, pattern):
+        _codec.codec, _codec.key = Codec(tokens.value, pattern), (name, pattern)
     return _codec.codec
 
 
@@ -215,21 +242,18 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     """``(doc_id, ids array<int>, decoded string)``: each row's token ids, and the text its ids decode to."""
     spark = docs.sparkSession
     common.small_batches(spark)
-    tokens = spark.sparkContext.broadcast(load_ranks(ranks_path))
+    ranks = load_ranks(ranks_path)
+    tokens, name = spark.sparkContext.broadcast(ranks), digest(ranks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(tokens, pattern)
+        codec = _codec(tokens, name, pattern)
         for b in batches:
             split = [codec.split.findall(t) if t else [] for t in b.column(1).to_pylist()]
             codec.learn(set().union(*split))
-            known = codec.known
-            ids, starts = [], [0]
-            for pieces in split:
-                for p in pieces:
-                    ids.extend(known[p])
-                starts.append(len(ids))
+            ids, before = codec.gather(list(chain.from_iterable(split)))
+            starts = before[np.cumsum([0, *map(len, split)])]
             values = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(ids, pa.int32()))
-            decoded = [codec.decode(ids[x:y]).decode("utf-8") for x, y in zip(starts, starts[1:], strict=False)]
+            decoded = [codec.decode(ids[x:y].tolist()).decode("utf-8") for x, y in zip(starts, starts[1:], strict=False)]
             yield pa.RecordBatch.from_arrays([b.column(0), values, pa.array(decoded, pa.string())], names=["doc_id", "ids", "decoded"])
 
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import base64
 import hashlib
 
 import public_tokenizers
@@ -46,3 +47,24 @@ def test_edge_texts(spark, library):
 def test_heap_and_matrix_agree(codec, library):
     for p in (b"antidisestablishmentarianism", b"aaaaaaaaaaaaaaaa", b"thththehehe" * 9, "ñandúes".encode()):
         assert codec.merge_long(p) == codec.encode_pieces([p])[0] == library.encode_ordinary(p.decode())
+
+
+def test_two_vocabularies_of_one_size(spark, tmp_path):
+    tokens = bpe.load_ranks(PATH)
+    a, b = tokens.index(b" the"), tokens.index(b" and")
+    tokens[a], tokens[b] = tokens[b], tokens[a]
+    other = tmp_path / "other.tiktoken"
+    other.write_bytes(b"".join(base64.b64encode(t) + b" %d\n" % i for i, t in enumerate(tokens)))
+    df = spark.createDataFrame([(1, "x the y and")], "doc_id long, text string").coalesce(1)
+    one, two = (bpe.encode(df, p, public_tokenizers.PATTERN).first() for p in (PATH, str(other)))
+    swap = {a: b, b: a}
+    assert two.ids == [swap.get(i, i) for i in one.ids] != one.ids and one.decoded == two.decoded == "x the y and"
+
+
+def test_forgetting_does_not_change_ids(codec, library, monkeypatch):
+    monkeypatch.setattr(bpe, "MEMORY", 3)
+    for text in ("one two three", "four five six", "one six", "seven one"):
+        pieces = codec.split.findall(text)
+        codec.learn(set(pieces))
+        ids, before = codec.gather(pieces)
+        assert ids.tolist() == library.encode_ordinary(text) and before[-1] == len(ids)
