@@ -5,7 +5,8 @@ space). An item of m characters has an error budget of ``k = floor(RATE * m)`` e
 into k + 1 pieces: a passage within k edits of the item must hold one piece unchanged. All pieces are
 found in whole texts by one Aho-Corasick pass; the surroundings of each hit are verified with Myers'
 bit-parallel distance, so every match within budget is found and nothing beyond it is reported.
-Verification climbs: the pieces are the leaves of a binary tree in which a node of j pieces has a budget of
+A match begins and ends at a word's border (or beside a letter of a script that is written without spaces), so the item
+"no" is not found in "another". Verification climbs: the pieces are the leaves of a binary tree in which a node of j pieces has a budget of
 j - 1 edits. Of a node's two halves one must keep its own budget, so some leaf of a true match has all nodes
 above it within theirs, and a hit is given up at the first node that is not.
 
@@ -13,7 +14,7 @@ Items reach the tasks in blocks of about ``BLOCK_CHARS`` characters, each broadc
 own pass, so a benchmark of any size never makes a large broadcast; texts are streamed and not shuffled.
 
 Defined results: null and empty texts match nothing; null, empty and symbol-only items match nothing;
-items with equal texts are all reported; repeated rows are reported each; an empty table gives no
+items with equal texts are all reported; an item without an id is matched like any other and reported with a null id; repeated rows are reported each; an empty table gives no
 rows; extra columns do not matter. A text that only shares a part of an item is not a match.
 """
 
@@ -34,6 +35,8 @@ from bidloom.llm import common
 RATE = 0.1
 BLOCK_CHARS = 8_000_000
 _OTHER = re.compile(r"[\W_]+")
+#: Letters of scripts written without spaces between words: Thai to Myanmar, Khmer, kana, CJK.
+_UNSPACED = re.compile("[\u0e00-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 
 
 def normal(text: str | None) -> str:
@@ -73,10 +76,49 @@ def myers(masks: dict[str, int], m: int, text: str, enough: int = 0) -> tuple[in
     return best, end
 
 
+def bordered(text: str, at: int) -> bool:
+    """Whether a match may begin or end between the characters ``at - 1`` and ``at`` of a normalised text."""
+    if not 0 < at < len(text) or text[at - 1] == " " or text[at] == " ":
+        return True
+    return bool(_UNSPACED.match(text[at - 1]) or _UNSPACED.match(text[at]))
+
+
+def ends(masks: dict[str, int], m: int, text: str, k: int) -> list[tuple[int, int]]:
+    """(distance, end) of each end in ``text`` at which some part of it is within k edits of the pattern."""
+    full, top = (1 << m) - 1, 1 << (m - 1)
+    pv, mv, score, out = full, 0, m, []
+    for i, c in enumerate(text):
+        eq = masks.get(c, 0)
+        xv = eq | mv
+        xh = (((eq & pv) + pv) ^ pv) | eq
+        ph, mh = mv | (full & ~(xh | pv)), pv & xh
+        score += bool(ph & top) - bool(mh & top)
+        if score <= k:
+            out.append((score, i + 1))
+        ph, mh = ph << 1, mh << 1
+        pv, mv = (mh | ~(xv | ph)) & full, ph & xv & full
+    return out
+
+
+def prefixes(masks: dict[str, int], m: int, text: str) -> Iterator[int]:
+    """The edit distance of the pattern to the first 1, 2, ... characters of ``text``."""
+    full, top = (1 << m) - 1, 1 << (m - 1)
+    pv, mv, score = full, 0, m
+    for c in text:
+        eq = masks.get(c, 0)
+        xv = eq | mv
+        xh = (((eq & pv) + pv) ^ pv) | eq
+        ph, mh = mv | (full & ~(xh | pv)), pv & xh
+        score += bool(ph & top) - bool(mh & top)
+        yield score
+        ph, mh = ph << 1 | 1, mh << 1  # each further character of the text costs one
+        pv, mv = (mh | ~(xv | ph)) & full, ph & xv & full
+
+
 class Matcher:
     """One block of items inside a task."""
 
-    def __init__(self, items: list[tuple[int, str]], rate: float):
+    def __init__(self, items: list[tuple[int | None, str]], rate: float):
         self.ids = defaultdict(list)
         for i, t in items:
             self.ids[t].append(i)
@@ -84,6 +126,7 @@ class Matcher:
         self.budget = [int(rate * len(t)) for t in self.items]
         self.starts = [[o for o, _ in pieces(t, k)] + [len(t)] for t, k in zip(self.items, self.budget, strict=True)]
         self.nodes: dict[tuple[int, int, int], dict[str, int]] = {}
+        self.backward: dict[int, dict[str, int]] = {}
         places = defaultdict(list)
         for n, t in enumerate(self.items):
             for p, (_, piece) in enumerate(pieces(t, self.budget[n])):
@@ -93,7 +136,7 @@ class Matcher:
             self.machine.add_word(piece, (len(piece), at))
         self.machine.make_automaton()
 
-    def find(self, text: str | None) -> list[tuple[int, int, int]]:
+    def find(self, text: str | None) -> list[tuple[int | None, int, int]]:
         """(item id, distance, end in the normalised text) of each item within its budget, at its best place."""
         text, near = normal(text), defaultdict(list)
         if not text or not self.items:
@@ -106,12 +149,34 @@ class Matcher:
         for n, starts in near.items():
             k, m, best = self.budget[n], len(self.items[n]), None
             for lo, hi in self._windows(starts, m, k, len(text)):
-                d, end = myers(self._masks(n, 0, k + 1), m, text[lo:hi])
-                if d <= k and (best is None or d < best[0]):
-                    best = (d, lo + end)
+                found = self._bordered_match(n, text, lo, hi)
+                if found and (best is None or found[0] < best[0]):
+                    best = found
             if best:
-                out += [(i, *best) for i in sorted(self.ids[self.items[n]])]
-        return sorted(out)
+                out += [(i, *best) for i in self.ids[self.items[n]]]
+        return sorted(out, key=lambda x: (x[0] is not None, x))
+
+    def _bordered_match(self, n: int, text: str, lo: int, hi: int) -> tuple[int, int] | None:
+        """(distance, end) of the best match of an item in ``text[lo:hi]`` that has borders on both sides."""
+        item, k = self.items[n], self.budget[n]
+        found = [(d, lo + e) for d, e in ends(self._masks(n, 0, k + 1), len(item), text[lo:hi], k) if bordered(text, lo + e)]
+        best: tuple[int, int] | None = None
+        for least, end in sorted(found):  # a match that ends here has at least so many edits
+            if best is not None and least >= best[0]:
+                break
+            if k == 0:
+                if bordered(text, end - len(item)):
+                    return 0, end
+                continue
+            if (mask := self.backward.get(n)) is None:
+                mask = self.backward[n] = {}
+                for j, c in enumerate(reversed(item)):
+                    mask[c] = mask.get(c, 0) | 1 << j
+            back = text[max(0, end - len(item) - k) : end][::-1]
+            own = [d for j, d in enumerate(prefixes(mask, len(item), back)) if d <= k and bordered(text, end - j - 1)]
+            if own and (best is None or min(own) < best[0]):
+                best = min(own), end
+        return best
 
     def _masks(self, n: int, lo: int, hi: int) -> dict[str, int]:
         """Where each character stands in the pieces lo to hi of an item."""
@@ -152,12 +217,13 @@ class Matcher:
             yield lo, hi
 
 
-def blocks(bench: DataFrame, id_col: str, text_col: str, block_chars: int = BLOCK_CHARS) -> Iterator[Broadcast]:
-    """The items as broadcasts of (id, normal text), about ``block_chars`` each."""
-    own = bench.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).where("i is not null and t is not null")
+def blocks(bench: DataFrame, id_col: str | None, text_col: str, block_chars: int = BLOCK_CHARS) -> Iterator[Broadcast]:
+    """The items as broadcasts of (id, normal text), about ``block_chars`` each; without ids each text once."""
+    own = bench.select((F.lit(None) if id_col is None else F.col(id_col)).cast("long").alias("i"), F.col(text_col).alias("t")).where("t is not null")
+    own = own.distinct() if id_col is None else own
     n = -(-int(own.agg(F.sum(F.length("t"))).first()[0] or 0) // block_chars)
     for k in range(n):
-        part = own.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k).collect()
+        part = own.where(F.pmod(F.xxhash64("t", "i"), F.lit(n)) == k).collect()
         yield bench.sparkSession.sparkContext.broadcast([(r.i, x) for r in part if (x := normal(r.t))])
 
 
@@ -194,12 +260,12 @@ def matches(
 
 
 def decontaminate(
-    docs: DataFrame, bench: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", rate: float = RATE
+    docs: DataFrame, bench: DataFrame, text_col: str = "text", item_text_col: str = "text", rate: float = RATE
 ) -> DataFrame:
-    """``docs`` without the rows that hold a test item within the budget; all columns stay."""
+    """``docs`` without the rows that hold a test item within the budget; all columns stay. Items need no ids."""
     common.small_batches(docs.sparkSession)
     at = docs.columns.index(text_col)
-    for items in blocks(bench, item_col, item_text_col):
+    for items in blocks(bench, None, item_text_col):
 
         def run(batches: Iterator[pa.RecordBatch], items: Broadcast = items) -> Iterator[pa.RecordBatch]:
             found = _matcher(items, rate)
