@@ -17,9 +17,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where the session names none."""
+    """The folder that driver and executors share; a local one only where the session names none and runs on one machine."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = getattr(spark, "_bidloom_shared", None) or f"file://{tempfile.mkdtemp(prefix='bidloom-')}"
         spark._bidloom_shared = at
     return at.rstrip("/")
@@ -29,6 +31,12 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def unused(names: list[str], wanted: str) -> str:
+    """A column name that is not among ``names`` in any case."""
+    taken = {n.lower() for n in names}
+    return next(n for n in (wanted + "_" * k for k in range(len(names) + 1)) if n.lower() not in taken)
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read again: lineage ends here."""
     spark, at = df.sparkSession, scratch(df.sparkSession, name)
@@ -36,6 +44,20 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(at)
 
 
+def join_counted(rows: DataFrame, table: DataFrame, key: str, n: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined to ``table``, which has one row a ``key`` and in ``n`` how many of ``rows`` hold it.
+
+    Keys that hold over a thousandth of all counted rows are fewer than a thousand: they are broadcast, and their rows are not shuffled.
+    All others go through a shuffle, in which no key has more than a thousandth of the rows. ``how``: inner or left.
+    """
+    total = int(table.agg(F.sum(n)).first()[0] or 0)
+    hot, mark = F.col(n) * 1000 > total, unused([*rows.columns, *table.columns], "hot")
+    keys = table.where(hot).select(key, F.lit(True).alias(mark))
+    rows = rows.join(F.broadcast(keys), key, "left")
+    near = rows.where(mark).drop(mark).join(F.broadcast(table.where(hot)), key)
+    return near.unionByName(rows.where(F.col(mark).isNull()).drop(mark).join(table.where(~hot), key, how))
+
+
 def small_batches(spark: SparkSession) -> None:
     """Keeps Arrow batches at ``ARROW_ROWS`` rows unless the session asks for fewer."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
