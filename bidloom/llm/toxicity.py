@@ -1,7 +1,7 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling, trained in numpy.
 
 A text is its letter runs, lower-cased, in windows of ``WINDOW`` words that start every ``STRIDE`` words, so
-that all of it is scored and neighbouring windows overlap. A word's input is the sum of a hashed word
+that all of it is scored, neighbouring windows overlap, and every passage of up to ``WINDOW - STRIDE + 1`` words stands whole in one. A word's input is the sum of a hashed word
 vector and the mean of its hashed character 4-gram vectors. Two gated recurrent layers read the window
 in either direction, a learned query weighs their states by softmax, and a linear unit gives the window's
 score. A document scores as its highest window.
@@ -9,7 +9,9 @@ score. A document scores as its highest window.
 Learning is by multiple instances: in each epoch the present network picks every training document's
 highest window, the first time by log odds of its words, and Adam steps fit those windows to the
 documents' labels. The sample is bounded (parameters): about ``TRAIN_POS`` and ``TRAIN_NEG`` labelled
-documents chosen by a hash. Everything else covers whole texts and all rows. Training is seeded.
+documents chosen by a hash, of each the ``INSTANCES`` windows of highest log odds. Texts of the sample stay in tasks: what reaches the
+driver are counts of ``BUCKETS`` buckets and those windows, of at most ``WINDOW`` words of at most ``LETTERS`` letters. Everything else
+covers whole texts and all rows. Training is seeded; of rows that repeat a labelled id the least text is learnt from.
 
 Defined results: null texts and texts without letters score the share of label 1 among the labels learnt
 from; with no label, or labels of one kind, every text scores that share (0 without labels); repeated
@@ -31,7 +33,8 @@ from bidloom.llm import common
 from bidloom.llm.langid import fold
 
 TRAIN_POS, TRAIN_NEG = 1500, 3000
-WINDOW, STRIDE = 40, 30
+INSTANCES = 8
+WINDOW, STRIDE = 40, 20
 LETTERS = 24
 BUCKETS = 1 << 14
 DIM, HIDDEN = 16, 16
@@ -55,8 +58,8 @@ class Lexicon:
             np.array([number.setdefault(w, len(number)) for w in _WORDS.findall(t.lower())] if t else [], dtype=np.int32)
             for t in texts
         ]
-        self.n = len(number)
-        points = np.array(list(number), dtype=f"U{LETTERS}").view(np.uint32).reshape(self.n, LETTERS).astype(np.uint64)
+        self.n, self.words = len(number), list(number)
+        points = np.array(self.words, dtype=f"U{LETTERS}").view(np.uint32).reshape(self.n, LETTERS).astype(np.uint64)
         size = (points != 0).sum(axis=1)
         # Marked ends: 1 before, 2 after the word.
         wide = np.zeros((self.n, LETTERS + 2), dtype=np.uint64)
@@ -201,32 +204,60 @@ class Network:
         return g
 
 
-def log_odds(buckets: list[np.ndarray], y: np.ndarray) -> np.ndarray:
-    """How much a bucket's presence in a document raises the log odds of label 1."""
-    one, n = np.zeros(BUCKETS), np.zeros(BUCKETS)
-    for b, t in zip(buckets, y, strict=True):
-        b = np.unique(b)
-        n[b] += 1
-        one[b] += t
-    prior = y.mean()
-    p = (one + PRIOR * prior) / (n + PRIOR)
+def presence(texts: list[str | None], labels: list[int]) -> np.ndarray:
+    """How many texts, and how many of label 1, hold each bucket: ``[word or gram, all or label 1, bucket]``."""
+    lex, out = Lexicon(texts), np.zeros((2, 2, BUCKETS), dtype=np.int64)
+    for ids, y in zip(lex.docs, labels, strict=True):
+        own = np.unique(ids)
+        for k, buckets in enumerate((lex.word[own], lex.gram[own][lex.has[own]])):
+            some = np.unique(buckets)
+            out[k, 0, some] += 1
+            out[k, 1, some] += y
+    return out
+
+
+def log_odds(held: np.ndarray, prior: float) -> np.ndarray:
+    """How much a bucket's presence in a document raises the log odds of label 1: ``[word or gram, bucket]``."""
+    p = (held[:, 1] + PRIOR * prior) / (held[:, 0] + PRIOR)
     return np.log(p / (1 - p)) - np.log(prior / (1 - prior))
 
 
-def train(texts: list[str], labels: list[int], epochs: int = EPOCHS) -> Network | None:
-    """A network for these texts and labels; None unless both labels have texts with words."""
-    lex, y = Lexicon(texts), np.array(labels, dtype=np.float32)
+def _first_scores(lex: Lexicon, idx: np.ndarray, odds: np.ndarray) -> np.ndarray:
+    """Windows by the log odds of their highest word."""
+    word = odds[0][lex.word] + np.where(lex.has, odds[1][lex.gram], -9).max(axis=1) if lex.n else np.zeros(0)
+    return np.concatenate([word, [-9.0]])[idx].max(axis=1)
+
+
+def instances(texts: list[str | None], odds: np.ndarray) -> list[list[str]]:
+    """Each text's ``INSTANCES`` windows of highest log odds, in their order."""
+    lex = Lexicon(texts)
     idx, of = lex.windows()
+    score, words = _first_scores(lex, idx, odds), np.array([*lex.words, ""], dtype=object)
+    out: list[list[str]] = [[] for _ in texts]
+    for d in np.unique(of):
+        own = np.nonzero(of == d)[0]
+        for k in sorted(own[np.argsort(-score[own], kind="stable")[:INSTANCES]]):
+            out[d].append(" ".join(words[idx[k]]).rstrip())
+    return out
+
+
+def train(windows: list[list[str]], labels: list[int], odds: np.ndarray, epochs: int = EPOCHS, informed: bool = True) -> Network | None:
+    """A network for documents given as windows; None unless both labels have documents with windows.
+
+    ``informed``: whether the log odds of words and grams are a first value of their vectors.
+    """
+    y = np.array(labels, dtype=np.float32)
+    of = np.repeat(np.arange(len(windows)), [len(w) for w in windows])
     some = np.unique(of)
     if len(some) == 0 or len(set(y[some].tolist())) < 2:
         return None
+    lex = Lexicon([w for own in windows for w in own])
+    idx, _ = lex.windows()
     rng = np.random.default_rng(SEED)
     net = Network(rng)
-    word = log_odds([lex.word[d] for d in lex.docs], y)
-    gram = log_odds([lex.gram[u][lex.has[u]] for u in map(np.unique, lex.docs)], y)
-    net.p["word"][:, 0], net.p["gram"][:, 0] = 0.5 * word, 0.5 * gram
-    first = np.concatenate([word[lex.word] + np.where(lex.has, gram[lex.gram], -9).max(axis=1), [-9.0]])
-    score = first[idx].max(axis=1)
+    if informed:
+        net.p["word"][:, 0], net.p["gram"][:, 0] = 0.5 * odds
+    score = _first_scores(lex, idx, odds)
     m, v = ({k: np.zeros_like(x) for k, x in net.p.items()} for _ in range(2))
     step, epochs = 0, max(epochs, -(-LEAST_STEPS // -(-len(some) // BATCH)))
     for epoch in range(epochs):
@@ -246,21 +277,47 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS) -> Network
     return net
 
 
-def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[list[str], list[int], float]:
-    """(texts, labels, share of label 1): the bounded training sample of the labelled documents."""
+def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[DataFrame, float]:
+    """The bounded training sample ``(key, y, text)`` of the labelled documents, and the share of label 1 among all labels."""
     own = labels.select(F.col(id_col).alias("key"), F.col(label_col).cast("int").alias("y"))
     own = own.where("key is not null and y in (0, 1)").groupBy("key").agg(F.max("y").alias("y"))
     n = {r.y: r["count"] for r in own.groupBy("y").count().collect()}
-    total = sum(n.values())
-    if not total:
-        return [], [], 0.0
     share = F.when(F.col("y") == 1, TRAIN_POS / max(1, n.get(1, 0))).otherwise(TRAIN_NEG / max(1, n.get(0, 0)))
     own = own.where((F.pmod(F.xxhash64("key"), F.lit(1_000_000)) + 0.5) / 1_000_000 < share)
     texts = docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text")).where("key is not null and text is not null")
     # The sample has a fixed expected size, so its side of the join is safe to broadcast.
-    rows = texts.join(F.broadcast(own), "key").dropDuplicates(["key"]).collect()
-    rows.sort(key=lambda r: str(r.key))
-    return [r.text for r in rows], [r.y for r in rows], n.get(1, 0) / total
+    rows = texts.join(F.broadcast(own), "key").groupBy("key", "y").agg(F.min("text").alias("text"))
+    return common.cut(rows, "sample"), n.get(1, 0) / max(1, sum(n.values()))
+
+
+def fit(docs: DataFrame, labels: DataFrame, informed: bool = True) -> tuple[Network | None, float]:
+    """A network learnt from a sample, and the share of label 1."""
+    rows, prior = sample(docs, labels)
+    common.small_batches(rows.sparkSession)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = sum(presence(b.column(2).to_pylist(), b.column(1).to_pylist()) for b in batches)
+        if isinstance(held, np.ndarray):
+            kind, bucket = np.nonzero(held[:, 0])
+            cols = [kind, bucket, held[kind, 0, bucket], held[kind, 1, bucket]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["kind", "bucket", "n", "one"])
+
+    n, ones = rows.agg(F.count("*"), F.sum("y")).first()
+    if not n or not 0 < ones < n:
+        return None, prior
+    held = np.zeros((2, 2, BUCKETS), dtype=np.int64)
+    counts = rows.select("key", "y", "text").mapInArrow(count, "kind long, bucket long, n long, one long")
+    for r in counts.groupBy("kind", "bucket").agg(F.sum("n").alias("n"), F.sum("one").alias("one")).collect():  # 2 * BUCKETS rows at most
+        held[r.kind, :, r.bucket] = r.n, r.one
+    odds = rows.sparkSession.sparkContext.broadcast(log_odds(held, ones / n))
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(instances(b.column(2).to_pylist(), odds.value), pa.list_(pa.string()))], names=["key", "y", "windows"])
+
+    picked = rows.select(F.col("key").cast("string").alias("key"), "y", "text").mapInArrow(pick, "key string, y int, windows array<string>").collect()
+    picked.sort(key=lambda r: r.key)
+    return train([r.windows for r in picked], [r.y for r in picked], odds.value, informed=informed), prior
 
 
 def score(docs: DataFrame, net: Network | None, prior: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -305,11 +362,6 @@ def scores(net: Network | None, prior: float, texts: list[str | None]) -> np.nda
     return np.where(np.isinf(out), prior, 1 / (1 + np.exp(-np.clip(out, -500, 500))))
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> tuple[Network | None, float]:
-    texts, y, prior = sample(docs, labels)
-    return train(texts, y), prior
-
-
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, held_out, score, predicted for all documents; learnt outside the held-out fold."""
     docs = common.read(spark, sf_dir, "documents")
