@@ -103,11 +103,11 @@ def scan(
     found = common.cut(found.withColumn("row", F.monotonically_increasing_id()), "candidates")
     each = found.select("row", "repo", "owner", F.explode("spans").alias("span")).withColumn("hash", F.col("span.hash"))
     # Distinct holders first: a value copied into a third of the corpus shrinks to its holders before it moves.
-    holders = each.groupBy("hash", "repo", "owner").agg(F.lit(1).alias("one"))
-    spread = holders.groupBy("hash").agg(F.countDistinct("owner").alias("owners"), F.countDistinct("repo").alias("repos"))
+    holders = each.groupBy("hash", "repo", "owner").agg(F.count("*").alias("n"))
+    spread = holders.groupBy("hash").agg(F.countDistinct("owner").alias("owners"), F.countDistinct("repo").alias("repos"), F.sum("n").alias("n"))
     spread = common.cut(spread, "ownership")
     wide = (F.col("owners") >= WIDE) | (F.col("repos") >= WIDE_REPOS)
-    judged = each.join(spread, "hash").withColumn("verdict", F.when(wide, "example").otherwise("live"))
+    judged = common.join_counted(each, spread, "hash", "n").withColumn("verdict", F.when(wide, "example").otherwise("live"))
     kept = judged.where(F.col("span.kind").isin(*BASE) | (F.col("verdict") == "live"))
     spans = kept.groupBy("row").agg(
         F.sort_array(F.collect_list(F.struct("span.start", "span.rank", "span.end", "span.kind", "hash", "owners", "repos", "verdict"))).alias("spans")
@@ -119,7 +119,7 @@ def scan(
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts and digest, all spans, and counts by verdict for all documents.
 
-    Documents name one origin, ``source``: it is both the repository and the owner.
+    Documents name one origin, ``source``: it is both the repository and the owner, so ``WIDE`` decides and ``WIDE_REPOS`` never does.
     """
     docs = common.read(spark, sf_dir, "documents")
     found = scan(docs.select("doc_id", "text", F.col("source").alias("repo"), F.col("source").alias("owner")))
