@@ -46,27 +46,103 @@ def test_clean_text_and_edges_stay(spark):
     assert pii.anonymise(df.limit(0), KEY).count() == 0
 
 
-def test_tiny_table_against_plain_replacement(spark, tiny):
+def spans_of(row):
+    return [(k, int(a), int(b)) for k, a, b in (x.split(":") for x in row.spans.split(",") if x)]
+
+
+def test_tiny_table_by_its_properties(spark, tiny):
+    """One surrogate for each entity and one entity for each surrogate; text between them stays; plain patterns find nothing old."""
     docs = {r.doc_id: r.text for r in common.read(spark, tiny, "documents").collect()}
     got = pii.op7_pii_surrogates(spark, tiny).collect()
-    assert {r.doc_id: r.text for r in got} == {i: pii.replace(t, pii.DEMO_KEY, lambda k, v: 0)[0] for i, t in docs.items()}
+    assert len(got) == len(docs)
+    to, back, mails = {}, {}, 0
     for r in got:
-        for kind, start, end in (x.split(":") for x in r.spans.split(",") if x):
-            if kind in ("email", "card", "phone", "ip"):
-                assert docs[r.doc_id][int(start) : int(end)] not in r.text
+        old, spans = docs[r.doc_id], spans_of(r)
+        assert r.n_entities == len(spans) and all(a[2] <= b[1] for a, b in zip(spans, spans[1:]))
+        between = [re.escape(old[a:b]) for a, b in zip([0, *(x[2] for x in spans)], [*(x[1] for x in spans), len(old)])]
+        m = re.fullmatch("(.+?)".join(between), r.text, re.S) if spans else None
+        assert bool(m) if spans else r.text == old
+        for n, (kind, a, b) in enumerate(spans):
+            own, new = old[a:b], m[n + 1]
+            if not kind.startswith("name"):
+                assert own != new
+                own, new = ((re.sub(r"\W", "", x) if kind != "email" else x.lower()) for x in (own, new))
+                assert to.setdefault((kind, own), new) == new and back.setdefault((kind, new), own) == own
+        for x in re.findall(r"[\w.+-]+@[\w-]+\.[\w.-]*\w", old):
+            mails += 1
+            assert x not in r.text
+        for x in re.findall(r"(?<![\w.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?![\w.])", old):
+            assert max(map(int, x.split("."))) > 255 or x not in r.text
+    assert mails and len(to) > 10
+
+
+def test_every_value_of_a_format_stays_apart():
+    shape = lambda x: re.sub("[0-9]", "9", re.sub("[A-Z]", "A", x[4:]))
+    own = [f"192.168.{i // 256}.{i % 256}" for i in range(65536)]
+    new = [pii.surrogate(KEY, "ip", x) for x in own]
+    assert set(new) == set(own) and all(a != b for a, b in zip(own, new))
+    phones = [f"44 2{i:03d}" for i in range(1000)]
+    assert len({pii.surrogate(KEY, "phone", x) for x in phones}) == 1000
+    for kind, values in {
+        "ssn": ["123456789", "000456789", "078051120"], "card": ["4111111111111111", "4111111111111112", "378282246310005"],
+        "ip": ["8.8.8.8", "10.0.0.1", "172.20.1.1", "127.0.0.1", "239.1.1.1", "169.254.9.9"], "ip6": ["2001:db8::1", "fe80::1"],
+        "iban": ["DE89370400440532013000", "GB82WEST12345698765432"],
+    }.items():
+        new = [pii.surrogate(KEY, kind, x) for x in values]
+        assert len(set(new)) == len(new) and not set(new) & set(values) and [len(x) for x in new if kind[:2] != "ip"] == [len(x) for x in values if kind[:2] != "ip"]
+        if kind == "iban":
+            assert all(pii.mod97(x) == 1 and shape(x) == shape(y) and x[:2] == y[:2] for x, y in zip(new, values))
+        if kind == "card":
+            assert [pii.luhn(x) for x in new] == [pii.luhn(x) for x in values]
+
+
+def test_a_whole_private_range_in_one_corpus(spark):
+    df = spark.range(34_000).selectExpr("id as doc_id", "concat('at 192.168.', id div 256, '.', id % 256, ' now') as text")
+    got = pii.anonymise(df, KEY)
+    assert got.select("text").distinct().count() == 34_000
+    assert got.where("text not rlike '^at 192[.]168[.][0-9]+[.][0-9]+ now$'").count() == 0
 
 
-def test_collisions_are_resolved_and_both_ways_agree(spark):
-    # All 256 values of the last octets of one private range cannot stay apart on their first tries.
-    rows = [(i, f"at 192.168.{i // 256}.{i % 256} now", "", 1) for i in range(3000)]
+def test_collisions_of_names_are_resolved_and_both_ways_agree(spark):
+    letters = "bcdfghjklm"
+    name = lambda i: "X" + "".join(f"{letters[int(d)]}o" for d in f"{i:04d}")
+    rows = [(i, f"Herr {name(i)} kam; mail user{i}@h{i % 7}.example.org", "", 1) for i in range(6000)]
     df = spark.createDataFrame(rows, SCHEMA).repartition(4)
-    over = pii.overrides(pii.entities(df), KEY)
-    assert over.count() > 0
+    found = pii.entities(df)
+    assert found.count() == 12_007
+    over = pii.overrides(found, KEY)
+    assert over.where("kind = 'name'").count() > 0
     got = {r.doc_id: r.text for r in pii.anonymise(df, KEY).collect()}
-    assert len(set(got.values())) == 3000 and not set(got.values()) & {t for _, t, _, _ in rows}
+    names, mails = ([t.split()[k] for t in got.values()] for k in (1, 4))
+    assert len(set(names)) == len(set(mails)) == 6000 and not set(names) & {name(i) + ";" for i in range(6000)}
+    assert len({m.partition("@")[2] for m in mails}) == 7
     assert got == {r.doc_id: r.text for r in pii.anonymise(df, KEY, most=0).collect()}
 
 
+def test_columns_of_any_name(spark):
+    rows = [(1, "mail a.b@c.example.com", "s", 1, 2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, `row` string, overrides int, `row of overrides` int")
+    for most in (0, 9):
+        out = pii.anonymise(df, KEY, most=most)
+        assert out.columns == df.columns and out.first()[2:] == rows[0][2:] and "a.b@" not in out.first().text
+
+
+def test_names_without_titles_and_ordinary_words():
+    out = plain("Dr Alex Smith and Mr Alex Smith are one; so is Alex.")
+    m = re.fullmatch(r"Dr (\w+) (\w+) and Mr (\w+) (\w+) are one; so is (\w+)\.", out)
+    assert m[1] == m[3] == m[5] and m[2] == m[4] and m[1].endswith("n")
+    out = plain("Mr Will Brown came. Will you paint it brown? Ask Will or Will Brown.")
+    m = re.fullmatch(r"Mr (\w+) (\w+) came\. Will you paint it brown\? Ask (\w+) or (\w+) (\w+)\.", out)
+    assert m and m[1] == m[3] == m[4] != "Will" and m[2] == m[5] != "Brown"
+    out = plain("Jane Doe called. Doe knows that Michael Stone lives here.")
+    assert not {"Jane", "Doe", "Michael", "Stone"} & set(re.findall(r"\w+", out)) and out.endswith(" lives here.")
+    assert pii.find("0171 2345678")[0][2] == "phone"
+    text = "ping 2001:db8:85a3::8a2e:370:7334, pay DE89 3704 0044 0532 0130 00 AND GB82WEST12345698765432"
+    assert [x[2] for x in pii.find(text)] == ["ip6", "iban", "iban"]
+    for t in ("at 12:30:45 or 01:02", "std::vector a::b ::1", "DE00 3704 00440 AB", "Peter said so"):
+        assert plain(t) == t
+
+
 @pytest.mark.parametrize(
     "number",
     ["+15551234567", "+442071234567", "+351 912 345 678", "+33 1 23 45 67 89", "+49 30 1234567", "+44 (0)20 7946 0958", "+1.7035551234", "+1555 123 4567", "5551234567", "030 1234567", "06 12 34 56 78", "020 7946 0958", "02079460958", "+1 (743) 555-3824", "+34 912 345 678", "555-123-4567"],
