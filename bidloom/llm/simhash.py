@@ -47,9 +47,9 @@ COPY_SHINGLE = 5
 COPY_JACCARD = 0.8
 BANDS = 20
 BAND_ROWS = 4
-#: Bands of at most so many texts give all their pairs; larger ones give each text's pairs with ``HUBS`` of them.
+#: Bands of at most so many texts give all their pairs; larger ones give each text's pairs with two times ``HUBS`` of them.
 MAX_BAND = 32
-HUBS = 4
+HUBS = 2
 #: Up to so many candidate rows are broadcast to find their texts; beyond that the texts are shuffled.
 BROADCAST_ROWS = 100_000
 #: Bit ranges [low, high) of the five blocks.
@@ -165,14 +165,15 @@ def links(fps: DataFrame, radius: int = RADIUS, max_bucket: int = MAX_BUCKET) ->
     common.small_batches(spark)
     masks = [m for m, _ in first_deal()]
     dealt = fps.select("fp", F.explode(F.array(*[F.lit(m) for m in masks])).alias("mask"))
-    parts = []
+    whole = None
     while True:
         dealt = dealt.select("fp", "mask", F.col("fp").bitwiseAND(F.col("mask")).alias("key"))
         sizes = dealt.groupBy("mask", "key").agg(F.count("*").alias("n")).where("n > 1")
         full = common.cut(dealt.join(sizes, ["mask", "key"]), "buckets")
         done = [m for m in masks if 64 - bin(m & (2**64 - 1)).count("1") <= 14]
         over = (F.col("n") > max_bucket) & ~F.col("mask").isin(done) if done else F.col("n") > max_bucket
-        parts.append(full.where(~over))
+        small = full.where(~over)
+        whole = small if whole is None else whole.union(small)
         left = [r.mask for r in full.where(over).select("mask").distinct().collect()]  # at most the masks of this deal
         if not left:
             break
@@ -180,9 +181,6 @@ def links(fps: DataFrame, radius: int = RADIUS, max_bucket: int = MAX_BUCKET) ->
         masks = sorted({x for xs in finer.values() for x in xs})
         table = F.create_map(*[y for m, xs in finer.items() for y in (F.lit(m), F.array(*[F.lit(x) for x in xs]))])
         dealt = full.where(over).select("fp", F.explode(table[F.col("mask")]).alias("mask"))
-    whole = parts[0]
-    for p in parts[1:]:
-        whole = whole.union(p)
     refs = references()
 
     def forest(key: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
@@ -258,15 +256,19 @@ def candidates(reps: DataFrame) -> DataFrame:
     """``(x, y)``: rows of ``reps (row, n, bands)`` that share a band and whose sizes allow the similarity, x < y.
 
     A band of over ``MAX_BAND`` rows is a large cluster of copies, or a line that many texts hold. It gives
-    each row's pairs with its ``HUBS`` least rows by fixed hashes, so that pairs grow with the rows: a cluster hangs
-    together by its hubs, and copies that merely share a frequent line meet in their other bands.
+    each row's pairs with ``HUBS`` rows by fixed hashes and with the ``HUBS`` rows that have most neighbours in large bands, so that
+    pairs grow with the rows: copies of one text, each edited elsewhere, are further from each other than from the text between
+    them, which has most neighbours; and copies that merely share a frequent line meet in their other bands.
     """
     dealt = common.cut(reps.select("row", "n", F.explode("bands").alias("key")), "bands")
     sizes = dealt.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
     shared = common.cut(dealt.join(sizes, "key"), "shared")
     small, large = shared.where(F.col("m") <= MAX_BAND), shared.where(F.col("m") > MAX_BAND)
     pairs = small.select("key", F.col("row").alias("x"), F.col("n").alias("nx")).join(small.select("key", F.col("row").alias("y"), F.col("n").alias("ny")), "key").where("x < y")
-    least = [F.min(F.struct(F.xxhash64("row", F.lit(i)).alias("h"), "row", "n")) for i in range(HUBS)]
+    neighbours = common.cut(large.groupBy("row").agg(F.sum("m").alias("near")), "neighbours")
+    large = common.cut(large.join(neighbours, "row"), "large")
+    order = [F.xxhash64("row", F.lit(i)) for i in range(HUBS)] + [-10 * F.col("near") + i * F.pmod(F.xxhash64("row"), F.lit(10)) for i in range(HUBS)]
+    least = [F.min(F.struct(x.alias("h"), "row", "n")) for x in order]
     hubs = large.groupBy("key").agg(F.array(*least).alias("hubs")).select("key", F.explode("hubs").alias("hub"))
     stars = large.join(hubs.distinct(), "key").where(F.col("row") != F.col("hub.row"))
     stars = stars.select(F.least("row", "hub.row").alias("x"), F.greatest("row", "hub.row").alias("y"), F.col("n").alias("nx"), F.col("hub.n").alias("ny"))
@@ -288,22 +290,22 @@ def copies(held: DataFrame, profiles: DataFrame, row_col: str, text_col: str, mo
 
 
 def _lowest(per_doc: DataFrame, least: DataFrame, edges: DataFrame) -> DataFrame:
-    """``(doc_id, row, fp, component_id)`` by the components of ``edges`` among the fingerprints of ``least (fp, low)``."""
+    """``(doc_id, row, fp, component_id)`` by the components of ``edges`` among the fingerprints of ``least (fp, low, n)``."""
     roots = common.components(edges)
     owned = (
         least.join(roots, least["fp"] == roots["node"], "left")
-        .select("fp", "low", F.coalesce("root", "fp").alias("root"))
+        .select("fp", "low", "n", F.coalesce("root", "fp").alias("root"))
     )
     owned = common.cut(owned, "owned")
     lowest = owned.groupBy("root").agg(F.min("low").alias("component_id"))
-    of_fp = common.cut(owned.join(lowest, "root").select("fp", "component_id"), "of-fp")
-    return per_doc.join(of_fp, "fp", "left").select("doc_id", "row", "fp", "component_id")
+    of_fp = common.cut(owned.join(lowest, "root").select("fp", "n", "component_id"), "of-fp")
+    return common.join_counted(per_doc.select("doc_id", "row", "fp"), of_fp, "fp", "n").select("doc_id", "row", "fp", "component_id")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
     """``(doc_id, row, fp, component_id)``: each row's fingerprint and the least doc_id reachable from it."""
     per_doc = common.cut(fingerprints(docs, id_col, text_col, row_col), "fingerprints")
-    least = common.cut(per_doc.groupBy("fp").agg(F.min("doc_id").alias("low")), "least")
+    least = common.cut(per_doc.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")), "least")
     return _lowest(per_doc, least, links(least.select("fp")))
 
 
@@ -312,7 +314,7 @@ def edited_duplicates(docs: DataFrame, id_col: str, text_col: str, row_col: str)
     common.small_batches(docs.sparkSession)
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(row_col).cast("long").alias("row"), F.col(text_col).alias("text"))
     profiles = common.cut(own.mapInArrow(_profiles, "doc_id long, row long, fp long, same long, n int, bands array<long>"), "profiles")
-    least = common.cut(profiles.groupBy("fp").agg(F.min("doc_id").alias("low")), "least")
+    least = common.cut(profiles.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")), "least")
     return _lowest(profiles, least, links(least.select("fp")).union(copies(docs, profiles, row_col, text_col)))
 
 
@@ -323,7 +325,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Rows without an id never stand for others: of a component with ids they go, of one without any they stay.
     Rows that repeat the least id count by a row number, which is written before it is used.
     """
-    row = "row of deduplicate"
+    row = common.unused(docs.columns, "row")
     held = common.cut(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
     found = common.cut(edited_duplicates(held, id_col, text_col, row), "found")
     heads = found.where("doc_id = component_id").groupBy("component_id").agg(F.min("row").alias("row"))
