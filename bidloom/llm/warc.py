@@ -10,7 +10,8 @@
 4. ``read_archives`` reads whole archive files (small by 3.) and walks them by Content-Length, so
    payloads may hold any line breaks. ``resolve`` joins revisits to the payload of their original.
 
-Archives are not compressed unless asked for, so a record can be read alone at its ``offset`` and ``length``. A response's block is an HTTP
+Archives are gzip streams, which take a fraction of the disk; written with ``compression="none"`` a record can be read alone at
+its ``offset`` and ``length`` (Spark's text writer makes one stream a file, not one a record). A response's block is an HTTP
 head and the payload, a revisit's the head alone. Record ids are unique: id, digest, and for each further row of both a row number. For
 those the pages are read twice and must come in the same partitions, as files do.
 
@@ -115,7 +116,7 @@ def dealt_pages(pages: DataFrame, id_col: str = "page_id", payload_col: str = "h
 
 def write_archives(
     pages: DataFrame, to: str, id_col: str = "page_id", payload_col: str = "html", url_col: str = "url", min_payload: int = MIN_PAYLOAD,
-    compression: str = "none",
+    compression: str = "gzip",
 ) -> None:
     """Writes one record a row under the folder ``to``, revisits without their payload."""
     full = dealt_pages(pages, id_col, payload_col, url_col, min_payload)
