@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 # Parts of a status that trip a platform's breaker.
-TRIPS = ("rate_limited", "captcha", "no_membership", "need_login")
+TRIPS = ("rate_limited", "captcha", "need_login", "need_login_fail", "no_membership", "403", "429")
 
 
 def fail_reasons(attempts: DataFrame) -> DataFrame:

@@ -26,11 +26,17 @@ def shared_queries(items: DataFrame) -> DataFrame:
     )
 
 
-def name_pairs(items: DataFrame) -> DataFrame:
-    """Unordered pairs of distinct names that share a word: an equi-join on words, never all pairs."""
+def name_pairs(items: DataFrame, same_length: bool = False) -> DataFrame:
+    """``(name_a, name_b)``: names that share a word, each with the least name of that word's class.
+
+    A class of n names gives n - 1 pairs, so a word in a third of all names does not give all of their pairs; names hang together by their
+    classes' least names. ``same_length`` makes classes of a word and a length.
+    """
     words = items.select("name").distinct().select("name", F.explode(F.array_distinct(F.split(F.lower("name"), " "))).alias("word"))
-    a, b = words.alias("a"), words.alias("b")
-    return a.join(b, F.col("a.word") == F.col("b.word")).where("a.name < b.name").select(F.col("a.name").alias("name_a"), F.col("b.name").alias("name_b")).distinct()
+    key = ["word", "size"] if same_length else ["word"]
+    words = words.withColumn("size", F.length("name")).select("name", *key)
+    least = words.groupBy(*key).agg(F.min("name").alias("name_a"))
+    return words.join(least, key).where("name_a < name").select("name_a", F.col("name").alias("name_b")).distinct()
 
 
 def gray_pairs(pairs: DataFrame, least: float = 0.45) -> DataFrame:

@@ -5,11 +5,42 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Cities that texts name, with their provinces.
-CITIES = {
-    "成都": "四川", "重庆": "重庆", "北京": "北京", "上海": "上海", "天津": "天津", "广州": "广东", "深圳": "广东", "杭州": "浙江",
-    "宁波": "浙江", "南京": "江苏", "苏州": "江苏", "武汉": "湖北", "长沙": "湖南", "郑州": "河南", "西安": "陕西", "济南": "山东", "青岛": "山东",
-}
+# Cities that texts name, with their province and the codes of both; the first that a text holds counts.
+PLACES = (
+    ("北京", "北京市", "110000", "110100"),
+    ("上海", "上海市", "310000", "310100"),
+    ("天津", "天津市", "120000", "120100"),
+    ("重庆", "重庆市", "500000", "500100"),
+    ("成都", "四川省", "510000", "510100"),
+    ("广州", "广东省", "440000", "440100"),
+    ("深圳", "广东省", "440000", "440300"),
+    ("杭州", "浙江省", "330000", "330100"),
+    ("南京", "江苏省", "320000", "320100"),
+    ("武汉", "湖北省", "420000", "420100"),
+    ("西安", "陕西省", "610000", "610100"),
+    ("苏州", "江苏省", "320000", "320500"),
+    ("郑州", "河南省", "410000", "410100"),
+    ("长沙", "湖南省", "430000", "430100"),
+    ("青岛", "山东省", "370000", "370200"),
+    ("大连", "辽宁省", "210000", "210200"),
+    ("厦门", "福建省", "350000", "350200"),
+    ("昆明", "云南省", "530000", "530100"),
+    ("贵阳", "贵州省", "520000", "520100"),
+    ("南宁", "广西壮族自治区", "450000", "450100"),
+    ("合肥", "安徽省", "340000", "340100"),
+    ("福州", "福建省", "350000", "350100"),
+    ("济南", "山东省", "370000", "370100"),
+    ("沈阳", "辽宁省", "210000", "210100"),
+    ("哈尔滨", "黑龙江省", "230000", "230100"),
+    ("长春", "吉林省", "220000", "220100"),
+    ("石家庄", "河北省", "130000", "130100"),
+    ("太原", "山西省", "140000", "140100"),
+    ("南昌", "江西省", "360000", "360100"),
+    ("海口", "海南省", "460000", "460100"),
+    ("兰州", "甘肃省", "620000", "620100"),
+    ("乌鲁木齐", "新疆维吾尔自治区", "650000", "650100"),
+)
+NATIONAL = "全国|不限地区|通用价"
 
 
 def normal_place(place: Column) -> Column:
@@ -18,14 +49,26 @@ def normal_place(place: Column) -> Column:
 
 
 def parse_region(text: Column) -> Column:
-    """``struct(province, city)`` named by a free text: the first city of the table that it holds, else 省 and 市 words."""
-    t = F.coalesce(text, F.lit(""))
-    out = F.struct(
-        F.regexp_extract(t, "([一-鿿]{2,3})省", 1).alias("province"), F.regexp_extract(F.regexp_replace(t, "^.*?省", ""), "([一-鿿]{2,4}?)市", 1).alias("city")
+    """``struct(province, province_code, city, city_code, strategy)`` named by a free text.
+
+    The whole country, else a known city, else a province or autonomous region, else a city by its ending, else the text
+    itself, cut to 20 characters, as a city. Nothing is named by an empty text.
+    """
+    t = F.trim(F.coalesce(text, F.lit("")))
+
+    def made(province: Column | str, province_code: str, city: Column | str, city_code: str, strategy: str = "strict_city") -> Column:
+        own = {"province": province, "province_code": province_code, "city": city, "city_code": city_code, "strategy": strategy}
+        return F.struct(*[(x if isinstance(x, Column) else F.lit(x)).alias(k) for k, x in own.items()])
+
+    province = F.regexp_extract(t, "([一-鿿]{2,8}(?:省|自治区))", 1)
+    city = F.regexp_extract(t, "([一-鿿]{2,8}市)", 1)
+    out = (
+        F.when(province != "", made(province, "", "", "")).when(city != "", made("", "", city, "")).otherwise(made("", "", F.substring(t, 1, 20), ""))
     )
-    for city, province in reversed(CITIES.items()):
-        out = F.when(F.contains(t, F.lit(city)), F.struct(F.lit(province).alias("province"), F.lit(city).alias("city"))).otherwise(out)
-    return F.when(F.contains(t, F.lit("全国")), F.struct(F.lit("全国").alias("province"), F.lit("").alias("city"))).otherwise(out)
+    for name, home, home_code, code in reversed(PLACES):
+        out = F.when(F.contains(t, F.lit(name)), made(home, home_code, f"{name}市", code)).otherwise(out)
+    national = made("全国", "NATIONAL", "", "NATIONAL", "national_reference")
+    return F.when(t == "", made("", "", "", "")).when(t.rlike(NATIONAL), national).otherwise(out)
 
 
 def classify(province: Column, city: Column, price_province: Column, price_city: Column) -> Column:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from bidloom.plans import quotes, reports, web
+from bidloom.plans import names, quotes, reports, web
 
-MODULES = (quotes, reports, web)
+MODULES = (quotes, reports, web, names)
 
 
 def queries() -> dict:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from bidloom.functions import names as N
 from bidloom.functions import price as P
 from bidloom.functions import text as T
 from bidloom.operators import quotes as Q
@@ -23,9 +24,12 @@ def _dedup(source: str, where: str, name: str) -> str:
 
 _VALID = "price > 0.05 AND price < 5000000"
 _TOP = f"{_BASE}, {_dedup('related', _VALID, 'd')}, ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY price, {_ORDER}, supplier_id) AS rank FROM d), best AS (SELECT * FROM ranked WHERE rank <= 3)"
+_KNOWN = f"{_BASE}, {_dedup('related', _VALID + " AND tax_mode <> 'unknown'", 'd')}, ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY price, {_ORDER}, supplier_id) AS rank FROM d), best AS (SELECT * FROM ranked WHERE rank <= 3)"
 _OVER = _VALID + " AND vs IN ('near_submit', 'above_submit')"
 _REV = f"{_dedup('related', _OVER, 'rd')}, reviews AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, ex, {_ORDER}, supplier_id) AS rank FROM rd) WHERE rank <= 5)"
 
+_REV_UNKNOWN = _REV.replace(_OVER, _OVER + " AND tax_mode = 'unknown'")
+
 
 def related(spark, d):
     return Q.with_relation(V.offers(spark, d), V.items(spark, d))
@@ -75,8 +79,10 @@ def quotes_topk(spark, d):
 
 
 def item_status(spark, d):
+    """Offers with a known tax are quotes, the others candidates to review."""
     r = related(spark, d)
-    return Q.statuses(V.items(spark, d), Q.top_k(r), Q.reviews(r)).select("item_id", "n_quotes", "status")
+    known = F.col("tax_mode") != "unknown"
+    return Q.statuses(V.items(spark, d), Q.top_k(r.where(known)), Q.reviews(r.where(~known))).select("item_id", "n_quotes", "status")
 
 
 def audit_price(spark, d):
@@ -156,8 +162,9 @@ def unit_compat(spark, d):
 
 
 def pair_key_hash(spark, d):
-    key = F.concat_ws("||", T.norm(F.col("name")), T.norm(F.col("spec")))
-    return V.items(spark, d).select("item_id", F.substring(F.sha2(key, 256), 1, 28).alias("pair_key"))
+    """The cache key of each item's name and of an offer's title that holds the size as well."""
+    key = N.pair_key(F.col("name"), F.concat_ws(" ", "name", "spec"))
+    return V.items(spark, d).select("item_id", key.alias("pair_key"))
 
 
 QUERIES = {f.__name__: f for f in (
@@ -182,7 +189,7 @@ ORACLE = {
     "anomaly_kinds": f"{_BASE} SELECT item_id, CASE vs WHEN 'suspicious_low' THEN '远低于报送·请核对规格/单位/是否错品' WHEN 'above_submit' THEN '高于报送·市场价如实收录，审定请人工取舍' ELSE '' END AS hint, count(*) AS n FROM related GROUP BY 1, 2",
     "quotes_dedupe": f"WITH {V.OFFERS}, {_dedup('offers', _VALID, 'd')} SELECT item_id, platform, supplier_id, sku, price, tax_mode, score, seen_at FROM d",
     "quotes_topk": f"{_TOP} SELECT item_id, CAST(rank AS INTEGER) AS rank, platform, supplier_id, sku, price, tax_mode, ex, submit, vs FROM best",
-    "item_status": f"{_TOP}, {_REV}, {_N}, r AS (SELECT item_id, count(*) AS n_reviews FROM reviews GROUP BY 1) SELECT item_id, COALESCE(n_quotes, 0) AS n_quotes, CASE WHEN n_quotes >= 3 THEN 'full_k' WHEN n_quotes > 0 THEN 'partial' WHEN n_reviews > 0 THEN 'need_review' ELSE 'no_match' END AS status FROM items LEFT JOIN n USING (item_id) LEFT JOIN r USING (item_id)",
+    "item_status": f"{_KNOWN}, {_REV_UNKNOWN}, {_N}, r AS (SELECT item_id, count(*) AS n_reviews FROM reviews GROUP BY 1) SELECT item_id, COALESCE(n_quotes, 0) AS n_quotes, CASE WHEN n_quotes >= 3 THEN 'full_k' WHEN n_quotes > 0 THEN 'partial' WHEN n_reviews > 0 THEN 'need_review' ELSE 'no_match' END AS status FROM items LEFT JOIN n USING (item_id) LEFT JOIN r USING (item_id)",
     "audit_price": f"{_TOP}, {_N} SELECT item_id, best_ex AS audit, CASE WHEN best_ex IS NULL THEN NULL WHEN submit > 0 THEN least(best_ex, submit) ELSE best_ex END AS capped FROM items LEFT JOIN n USING (item_id)",
     "quotes_wide": f"{_TOP} SELECT item_id, {_WIDE} FROM best GROUP BY item_id",
     "rfq_rows": f"{_TOP}, {_N} SELECT item_id, name, spec, brand, COALESCE(n_quotes, 0) AS n_quotes FROM items LEFT JOIN n USING (item_id) WHERE COALESCE(n_quotes, 0) < 3",
@@ -198,5 +205,5 @@ ORACLE = {
     "market_full_outer": f"{_TOP}, {_MARKET}, a AS (SELECT item_id, min(price) AS best FROM best GROUP BY 1), b AS (SELECT item_id, min(price) AS market FROM market GROUP BY 1) SELECT item_id, a.best, b.market FROM a FULL JOIN b USING (item_id)",
     "candidate_fingerprints": f"WITH {V.OFFERS}, s AS (SELECT item_id, sha256(string_agg(k, ',' ORDER BY k)) AS fingerprint FROM (SELECT DISTINCT item_id, platform || '/' || tax_mode AS k FROM offers) GROUP BY 1) SELECT fingerprint, count(*) AS n, min(item_id) AS first_item FROM s GROUP BY 1",
     "unit_compat": f"WITH {V.ITEMS}, u AS (SELECT item_id, ['m','kg','piece','m2',''][CAST(item_id % 5 + 1 AS INTEGER)] AS asked, ['m','t','piece','t'][CAST(item_id % 4 + 1 AS INTEGER)] AS offered FROM items) SELECT item_id, asked, offered, CASE WHEN asked = '' THEN NULL ELSE replace(asked, 'kg', 't') = replace(offered, 'kg', 't') END AS compatible FROM u",
-    "pair_key_hash": f"WITH {V.ITEMS} SELECT item_id, substring(sha256(lower(regexp_replace(name, '\\s', '', 'g')) || '||' || lower(spec)), 1, 28) AS pair_key FROM items",
+    "pair_key_hash": f"WITH {V.ITEMS}, k AS (SELECT item_id, lower(replace(name, ' ', '')) AS k FROM items) SELECT item_id, substring(sha256(k || '||' || k), 1, 28) AS pair_key FROM k",
 }

@@ -81,13 +81,15 @@ def _regioned(spark, d):
 
 
 def region_gate(spark, d):
-    j = _regioned(spark, d)
+    """Lines are counted by places, segment and flag first; the gate then decides on a few thousand rows."""
+    keys = ["province", "city", "price_province", "price_city", "c_mktsegment", "l_returnflag"]
+    j = _regioned(spark, d).groupBy(*keys).agg(F.count("*").alias("lines"))
     text = lambda c: F.concat(F.lit("R"), F.col(c).cast("string"))
     match = R.classify(text("province"), text("city"), text("price_province"), text("price_city"))
     gate = R.decide(F.col("match"), F.lit(True), F.lit(False), F.col("c_mktsegment") == "BUILDING")
     bucket = F.when(F.col("l_returnflag") == "A", "formal").when(F.col("l_returnflag") == "N", "candidate").otherwise("discard")
     out = j.withColumn("match", match).withColumn("gate", gate).withColumn("bucket", R.apply_to_bucket(bucket, F.col("gate")))
-    return out.groupBy("match", "gate", "bucket").agg(F.count("*").alias("n"))
+    return out.groupBy("match", "gate", "bucket").agg(F.sum("lines").alias("n"))
 
 
 def region_priority(spark, d):
@@ -143,15 +145,21 @@ def name_bag_equal(spark, d):
 
 
 def title_scores(spark, d):
-    must = F.split(F.lower("name"), " ")
-    scored = V.items(spark, d).select("item_id", F.size(F.filter(must, lambda m: F.contains(F.lower("brand"), m) | F.contains(F.lower("name"), m))).alias("hits"), F.size(must).alias("asked"))
-    return scored
+    """Items whose id is divisible by 50 against all distinct names that share a word with theirs."""
+    words = lambda c: F.array_distinct(F.split(F.lower(c), " "))
+    asked = V.items(spark, d).where("item_id % 50 = 0").select("item_id", words(F.col("name")).alias("must"))
+    titles = V.items(spark, d).select(F.col("name").alias("title")).distinct()
+    met = asked.select("item_id", "must", F.explode("must").alias("word")).join(titles.select("title", F.explode(words(F.col("title"))).alias("word")), "word")
+    pairs = met.select("item_id", "must", "title").distinct()
+    return pairs.select("item_id", "title", T.title_score(F.col("title"), F.col("must")).alias("hits"), F.size("must").alias("asked"))
 
 
 def spec_struct(spark, d):
-    """The bore of each specification, and the items of each."""
-    bore = F.regexp_extract("spec", r"(?i)DN\s*(\d+)", 1).try_cast("int")
-    return V.items(spark, d).groupBy(bore.alias("dn")).agg(F.count("*").alias("n"), F.min("item_id").alias("first_item"))
+    """What each specification says of bore, pressure, material and voltage, and the items of each."""
+    text = F.concat(F.col("spec"), F.lit(" PN"), (F.col("item_id") % 3 * 6 + 10).cast("string"), F.when(F.col("item_id") % 2 == 0, " 不锈钢").otherwise(""), F.lit(" 220V"))
+    s = V.items(spark, d).select("item_id", S.structured(text).alias("s"))
+    keys = [F.get("s.diameters", F.lit(0)).alias("bore"), F.col("s.pressure").alias("pressure"), F.col("s.material").alias("material"), F.col("s.voltage").alias("voltage")]
+    return s.groupBy(*keys).agg(F.count("*").alias("n"), F.min("item_id").alias("first_item"))
 
 
 def match_gate(spark, d):
@@ -160,9 +168,9 @@ def match_gate(spark, d):
     # Few bytes but much work a row: a stated number of partitions by the join's key keeps them from being put in one task.
     o = o.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "item_id")
     size = F.concat(F.lit("规格型号：DN"), (F.col("quantity") * 10).cast("string"), F.lit(" PN16 供应商名称：S"))
-    j = o.join(V.items(spark, d).select("item_id", "name", "spec"), "item_id")
-    j = j.select("item_id", "quantity", "n", "name", "spec", F.col("name").alias("title"), size.alias("text"), F.lit("").alias("spec_seen"))
-    return M.matched(j).select("item_id", "quantity", "n", "name_ok", "outcome", "score")
+    asked = M.asked_of(V.items(spark, d).select("item_id", "name", "spec"))
+    j = o.join(asked, "item_id").withColumns({"title": F.col("name"), "text": size, "spec_seen": F.lit("")})
+    return M.judged_by(j).select("item_id", "quantity", "n", "name_ok", "outcome", "score")
 
 
 def pages_text(spark, d):
@@ -186,10 +194,11 @@ def url_dedupe(spark, d):
 
 
 def document_tokens(spark, d):
-    """Size and mixed-code tokens of documents and how often each stands in the corpus."""
-    codes = F.regexp_extract_all("text", F.lit(r"[A-Z]{1,6}[-_]?[0-9]{2,}[A-Z0-9_/.-]*"), F.lit(0))
-    words = V.read(spark, d, "documents").select("doc_id", F.explode(codes).alias("code"))
-    return words.groupBy("code").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("docs"))
+    """Model codes, sizes and words of a label of each document, and how many labels hold each."""
+    n = F.col("doc_id")
+    label = F.concat(F.lit("设备 DS-"), (n % 7 + 10).cast("string"), F.lit("K DN "), (n % 5 * 10 + 50).cast("string"), F.when(n % 2 == 0, " 24 V").otherwise(" XG77"))
+    words = V.read(spark, d, "documents").select("doc_id", F.posexplode(T.tokens(label)).alias("place", "token"))
+    return words.groupBy("place", "token").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"))
 
 
 def document_phones(spark, d):
@@ -224,7 +233,7 @@ def history_delete(spark, d):
 
 def alias_clusters(spark, d):
     """Names of parts linked by a shared word, as clusters by their least name."""
-    pairs = N.name_pairs(V.items(spark, d)).where(F.length("name_a") == F.length("name_b"))
+    pairs = N.name_pairs(V.items(spark, d), same_length=True)
     return H.clusters(pairs, "name_a", "name_b")
 
 
@@ -245,13 +254,13 @@ QUERIES = {f.__name__: f for f in (
 )}
 
 _A = f"WITH {V.ATTEMPTS}"
-_FAIL = f"""{_A}, n AS (SELECT item_id, bool_or(formal) AS formal, bool_or(contains(status, 'rate_limited')) AS limited, bool_or(contains(status, 'no_membership')) AS login,
+_FAIL = f"""{_A}, n AS (SELECT item_id, bool_or(formal) AS formal, bool_or(contains(status, 'rate_limited')) AS limited, bool_or(contains(status, 'no_membership')) AS login, bool_or(contains(status, 'captcha')) AS captcha,
   bool_or(match_detail <> '') AS matched, count(*) FILTER (contains(match_detail, '名称未命中')) AS name_n, count(*) FILTER (contains(match_detail, '规格冲突')) AS conflict_n,
   count(*) FILTER (contains(match_detail, '缺少')) AS missing_n, count(*) FILTER (match_detail <> '' AND price <= 0.05) AS no_price_n FROM attempts GROUP BY 1),
-f AS (SELECT item_id, CASE WHEN formal THEN '' WHEN limited THEN '限流' WHEN login THEN '未登录/无会员' WHEN NOT matched THEN '平台没有结果'
+f AS (SELECT item_id, CASE WHEN formal THEN '' WHEN limited THEN '限流' WHEN captcha THEN '验证码' WHEN login THEN '未登录/无会员' WHEN NOT matched THEN '平台没有结果'
   WHEN name_n > 0 AND name_n >= greatest(conflict_n, missing_n, 1) THEN '名称不匹配' WHEN conflict_n > 0 THEN '规格冲突' WHEN missing_n > 0 THEN '规格证据缺失'
   WHEN no_price_n > 0 THEN '没有数字价' ELSE '其它' END AS reason, name_n, conflict_n, missing_n FROM n)"""
-_PAIRS = f"WITH {V.ITEMS}, w AS (SELECT DISTINCT name, unnest(string_split(lower(name), ' ')) AS word FROM items), pairs AS (SELECT DISTINCT a.name AS name_a, b.name AS name_b FROM w a JOIN w b ON a.word = b.word AND a.name < b.name)"
+_PAIRS = f"WITH {V.ITEMS}, w AS (SELECT DISTINCT name, unnest(string_split(lower(name), ' ')) AS word FROM items), pairs AS (SELECT DISTINCT low AS name_a, name AS name_b FROM (SELECT name, min(name) OVER (PARTITION BY word) AS low FROM w) WHERE low < name)"
 _FAM = f"WITH {V.ITEMS}, r AS (SELECT *, lower(name) || '|R' || CAST(item_id % 2 AS VARCHAR) AS family_key FROM items)"
 _CHARS = "list_distinct(string_split(replace(lower({c}), ' ', ''), ''))"
 _GRAMS = "list_distinct(list_transform(range(1, greatest(length(replace(lower({c}), ' ', '')), 1)), lambda i: substring(replace(lower({c}), ' ', ''), CAST(i AS BIGINT), 2)))"
@@ -270,7 +279,7 @@ SELECT count(*) AS items_total, count(*) FILTER (searched) AS searched, count(*)
 FROM (SELECT DISTINCT item_id FROM items) i LEFT JOIN n USING (item_id)""",
     "platform_stats": f"{_A} SELECT platform, count(DISTINCT lower(query)) AS queries, count(*) FILTER (status = 'ok') AS candidates, count(*) FILTER (contains(match_detail, '名称未命中')) AS name_reject, count(*) FILTER (contains(match_detail, '规格冲突')) AS spec_reject, count(*) FILTER (formal) AS formal_hits FROM attempts GROUP BY 1",
     "status_rollup": f"{_A} SELECT platform, status, count(*) AS n, sum(CAST(price AS DECIMAL(18,4))) AS total FROM attempts GROUP BY ROLLUP (platform, status)",
-    "breaker_timeline": f"{_A}, t AS (SELECT *, row_number() OVER (PARTITION BY platform ORDER BY ts, ord) AS k, regexp_matches(lower(status), 'rate_limited|captcha|no_membership|need_login') AS trip FROM attempts), f AS (SELECT platform, min(k) AS k0 FROM t WHERE trip GROUP BY 1) SELECT platform, item_id, ord, ts, status, k = k0 AS newly_tripped FROM t JOIN f USING (platform) WHERE k >= k0",
+    "breaker_timeline": f"{_A}, t AS (SELECT *, row_number() OVER (PARTITION BY platform ORDER BY ts, ord) AS k, regexp_matches(lower(status), 'rate_limited|captcha|need_login|no_membership|403|429') AS trip FROM attempts), f AS (SELECT platform, min(k) AS k0 FROM t WHERE trip GROUP BY 1) SELECT platform, item_id, ord, ts, status, k = k0 AS newly_tripped FROM t JOIN f USING (platform) WHERE k >= k0",
     "consecutive_rejects": f"{_A}, g AS (SELECT *, sum(CASE WHEN formal THEN 1 ELSE 0 END) OVER (PARTITION BY item_id ORDER BY ts, ord ROWS UNBOUNDED PRECEDING) AS island FROM attempts), r AS (SELECT item_id, island, count(*) AS run FROM g WHERE NOT formal GROUP BY 1, 2) SELECT item_id, max(run) AS longest, count(*) AS runs FROM r GROUP BY 1",
     "event_fold_latest": f"{_A} SELECT item_id, ts, ord, status, match_detail, n_events FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY ts DESC, ord DESC) AS k, count(*) OVER (PARTITION BY item_id) AS n_events FROM attempts) WHERE k = 1",
     "conversation_fold": "SELECT conv_id, turn, role, chars, n_events FROM (SELECT conv_id, turn, role, CAST(length(text) AS INTEGER) AS chars, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role DESC, length(text) DESC) AS k, count(*) OVER (PARTITION BY conv_id) AS n_events FROM conversations) WHERE k = 1",
@@ -302,14 +311,22 @@ d AS (SELECT name_a, name_b, 2.0::DOUBLE * len(list_intersect(ca, cb)) / CAST(le
 SELECT *, dice >= 0.45::DOUBLE OR shared_bigrams > 0 AS gray FROM d""",
     "alias_lookup": f"{_PAIRS} SELECT name_a, name_b, CASE WHEN substring(name_a, 1, 1) = substring(name_b, 1, 1) THEN 'different' WHEN length(name_a) = length(name_b) THEN 'same' ELSE 'unknown' END AS relation FROM pairs",
     "name_bag_equal": f"WITH {V.ITEMS}, w AS (SELECT unnest(string_split(lower(name), ' ')) AS word FROM items) SELECT array_to_string(list_sort(string_split(word, '')), '') AS bag, count(*) AS n, count(DISTINCT word) AS words FROM w GROUP BY 1",
-    "title_scores": f"WITH {V.ITEMS} SELECT item_id, CAST(len(list_filter(string_split(lower(name), ' '), lambda m: contains(lower(brand), m) OR contains(lower(name), m))) AS INTEGER) AS hits, CAST(len(string_split(lower(name), ' ')) AS INTEGER) AS asked FROM items",
-    "spec_struct": f"WITH {V.ITEMS} SELECT CAST(regexp_extract(spec, '(?i)DN\\s*(\\d+)', 1) AS INTEGER) AS dn, count(*) AS n, min(item_id) AS first_item FROM items GROUP BY 1",
+    "title_scores": f"""WITH {V.ITEMS}, a AS (SELECT item_id, list_distinct(string_split(lower(name), ' ')) AS must FROM items WHERE item_id % 50 = 0), t AS (SELECT DISTINCT name AS title FROM items)
+SELECT item_id, title, CAST(len(list_filter(must, lambda m: contains(replace(lower(title), ' ', ''), m) OR contains(m, replace(lower(title), ' ', '')))) AS INTEGER) AS hits, CAST(len(must) AS INTEGER) AS asked
+FROM a, t WHERE len(list_intersect(must, string_split(lower(title), ' '))) > 0""",
+    "spec_struct": f"WITH {V.ITEMS} SELECT spec AS bore, 'PN' || CAST(item_id % 3 * 6 + 10 AS VARCHAR) AS pressure, CASE WHEN item_id % 2 = 0 THEN '不锈钢' ELSE '' END AS material, '220V' AS voltage, count(*) AS n, min(item_id) AS first_item FROM items GROUP BY 1, 2, 3, 4",
     "match_gate": f"WITH {V.ITEMS}, o AS (SELECT l_partkey AS item_id, CAST(l_quantity AS INTEGER) AS quantity, count(*) AS n FROM lineitem GROUP BY 1, 2) SELECT item_id, quantity, n, true AS name_ok, CASE WHEN spec = 'DN' || CAST(quantity * 10 AS VARCHAR) THEN 'accept' ELSE 'reject' END AS outcome, CASE WHEN spec = 'DN' || CAST(quantity * 10 AS VARCHAR) THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END AS score FROM o JOIN items USING (item_id)",
     "pages_text": f"SELECT page_id, regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) AS title, sha256({_TEXT}) AS text_sha256, length({_TEXT}) AS chars FROM pages",
     "pages_links": """WITH l AS (SELECT page_id, regexp_extract_all(html, '(?i)<a\\s[^>]*href="([^"]*)"', 1) AS h FROM pages) SELECT page_id, unnest(range(0, len(h))) AS pos, unnest(h) AS href FROM l""",
-    "domain_quality": "SELECT regexp_replace(lower(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)), '^www\\.', '') AS domain, CASE WHEN regexp_matches(lower(url), 'zhidao|wenku|passport|baidu\\.php|/login') THEN 'block' WHEN regexp_matches(lower(url), 'forum|bbs|tieba|/tag/|\\?page=') THEN 'low' WHEN starts_with(lower(url), 'https://') THEN 'high' ELSE 'medium' END AS quality, count(*) AS n, min(page_id) AS first_page FROM pages GROUP BY 1, 2",
+    "domain_quality": r"""WITH h AS (SELECT page_id, regexp_replace(lower(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)), '^www\.', '') AS domain, lower(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1)) AS path FROM pages)
+SELECT domain, CASE WHEN domain = '' OR domain = 'baidu.com' OR ends_with(domain, '.baidu.com') OR contains(domain, 'passport') OR regexp_matches(path, '/login|/signin|/passport|/auth/|/baidu[.]php') THEN 'block'
+  WHEN regexp_matches(domain, '采集|转载|seo|知道|文库|百家号|贴吧') AND NOT regexp_matches(domain, '[.]gov[.]cn|ccgp|ggzy') THEN 'low'
+  WHEN regexp_matches(domain, '[.]gov[.]cn|ccgp|ggzy|zfcg|1688[.]com|made-in-china|hc360|globalsources|manufacturer') THEN 'high' WHEN regexp_matches(domain, '[.](com|cn)$') THEN 'medium' ELSE 'low' END AS quality,
+  count(*) AS n, min(page_id) AS first_page FROM h GROUP BY 1, 2""",
     "url_dedupe": "SELECT lower(regexp_replace(regexp_extract(url, '^([^?#]*)', 1), '/+$', '')) AS address, min(page_id) AS page_id, count(*) AS n FROM pages GROUP BY 1",
-    "document_tokens": "WITH w AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Z]{1,6}[-_]?[0-9]{2,}[A-Z0-9_/.-]*')) AS code FROM documents) SELECT code, count(*) AS n, count(DISTINCT doc_id) AS docs FROM w GROUP BY 1",
+    "document_tokens": """WITH l AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN ['DS-' || CAST(doc_id % 7 + 10 AS VARCHAR) || 'K', 'DN' || CAST(doc_id % 5 * 10 + 50 AS VARCHAR), '24V', '设备']
+  ELSE ['DS-' || CAST(doc_id % 7 + 10 AS VARCHAR) || 'K', 'DN' || CAST(doc_id % 5 * 10 + 50 AS VARCHAR), 'XG77', '设备'] END AS t FROM documents),
+w AS (SELECT doc_id, unnest(t) AS token, unnest(range(0, len(t))) AS place FROM l) SELECT CAST(place AS INTEGER) AS place, token, count(*) AS n, min(doc_id) AS first_doc FROM w GROUP BY 1, 2""",
     "document_phones": "SELECT doc_id, regexp_extract(text, '\\+?[0-9]+ \\([0-9]{3}\\) [0-9]{3}-[0-9]{4}') AS phone, regexp_extract(text, '[0-9]+\\.[0-9]+') AS decimal_text FROM documents",
     "search_queries": f"""WITH {V.ITEMS}, f AS (SELECT item_id, brand, substring(trim(name), 1, 24) AS core, substring(trim(name), 1, 28) AS short, spec FROM items),
 q AS (SELECT item_id, 'yize' AS platform, list_distinct(list_filter([core, core || ' ' || spec, CASE WHEN length(short) <= 16 THEN short END, brand || ' ' || core], lambda x: length(x) BETWEEN 2 AND 40)) AS d,
@@ -321,7 +338,7 @@ SELECT item_id, platform, CAST(ord AS INTEGER) AS ord, query FROM u WHERE ord <
     "history_upsert": """WITH k AS (SELECT user_id, event_type, event_id, value, row_number() OVER (PARTITION BY user_id, event_type, event_id % 3 = 0 ORDER BY event_id DESC, value DESC) AS n, event_id % 3 = 0 AS new FROM events),
 l AS (SELECT * FROM k WHERE n = 1) SELECT user_id, event_type, event_id, value FROM l WHERE new OR NOT EXISTS (SELECT 1 FROM l m WHERE m.new AND m.user_id = l.user_id AND m.event_type = l.event_type)""",
     "history_delete": "SELECT event_id, user_id, event_type, value FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'error' AND value > 150)",
-    "alias_clusters": f"{_PAIRS.replace('WITH', 'WITH RECURSIVE', 1)}, e AS (SELECT name_a AS u, name_b AS v FROM pairs WHERE length(name_a) = length(name_b) UNION SELECT name_b, name_a FROM pairs WHERE length(name_a) = length(name_b)), reach AS (SELECT u AS name, u AS other FROM e UNION SELECT r.name, e.v FROM reach r JOIN e ON e.u = r.other) SELECT name, min(other) AS cluster FROM reach GROUP BY 1",
+    "alias_clusters": f"{_PAIRS.replace('WITH', 'WITH RECURSIVE', 1).replace('PARTITION BY word', 'PARTITION BY word, length(name)')}, e AS (SELECT name_a AS u, name_b AS v FROM pairs WHERE length(name_a) = length(name_b) UNION SELECT name_b, name_a FROM pairs WHERE length(name_a) = length(name_b)), reach AS (SELECT u AS name, u AS other FROM e UNION SELECT r.name, e.v FROM reach r JOIN e ON e.u = r.other) SELECT name, min(other) AS cluster FROM reach GROUP BY 1",
     "hard_tags": f"WITH {V.ITEMS} SELECT item_id, spec AS tags, spec AS must FROM items",
     "header_scores": "WITH h AS (SELECT unnest(['p_partkey','p_name','p_brand','p_type','p_size','p_retailprice']) AS header), r AS (SELECT * FROM (VALUES ('name','name'),('spec','type'),('brand','brand'),('size','size'),('price','price'),('id','key')) v(role, word)) SELECT header, COALESCE(arg_max(role, length(word)), 'unknown') AS role, CAST(COALESCE(max(length(word)), 0) AS INTEGER) AS score FROM h LEFT JOIN r ON contains(header, word) GROUP BY 1",
 }

@@ -1,6 +1,6 @@
 """Workbooks as a Spark data source: one row a sheet row, cells as texts.
 
-``spark.read.format("bidloom_xlsx").load(path)`` gives ``(file, sheet, row, cells array<string>)``. Each
+``spark.read.format("bidloom_xlsx").load(path)`` gives ``(file, sheet, row, cells array<string>, sheet_no)``. Each
 file of a folder is a partition of its own, so a folder of workbooks is read by as many tasks. The files must be
 reachable by every executor under the given path; sources in other stores are read with
 ``read_binary`` from Spark's ``binaryFile`` rows, which reaches whatever Spark reaches.
@@ -23,7 +23,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-SCHEMA = "file string, sheet string, row int, cells array<string>"
+from bidloom.sources import schema
+
+SCHEMA = "file string, sheet string, row int, cells array<string>, sheet_no int"
 _MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
 
@@ -35,8 +37,8 @@ def column_number(ref: str) -> int:
     return n
 
 
-def rows(raw: bytes) -> Iterator[tuple[str, int, list[str]]]:
-    """(sheet, row, cells) of one workbook; sheets are parsed as streams."""
+def rows(raw: bytes) -> Iterator[tuple[str, int, list[str], int]]:
+    """(sheet, row, cells, number of the sheet) of one workbook; sheets are parsed as streams."""
     with zipfile.ZipFile(io.BytesIO(raw)) as z:
         names = set(z.namelist())
         shared = []
@@ -44,7 +46,7 @@ def rows(raw: bytes) -> Iterator[tuple[str, int, list[str]]]:
             for si in ElementTree.parse(z.open("xl/sharedStrings.xml")).getroot():
                 shared.append("".join(t.text or "" for t in si.iter(f"{_MAIN}t")))
         targets = {r.get("Id"): r.get("Target") for r in ElementTree.parse(z.open("xl/_rels/workbook.xml.rels")).getroot()}
-        for s in ElementTree.parse(z.open("xl/workbook.xml")).getroot().iter(f"{_MAIN}sheet"):
+        for no, s in enumerate(ElementTree.parse(z.open("xl/workbook.xml")).getroot().iter(f"{_MAIN}sheet"), 1):
             at = targets[s.get(_REL)].lstrip("/")
             with z.open(at if at.startswith("xl/") else f"xl/{at}") as f:
                 for _, e in ElementTree.iterparse(f):
@@ -62,7 +64,7 @@ def rows(raw: bytes) -> Iterator[tuple[str, int, list[str]]]:
                         else:
                             cells[k - 1] = "" if v is None else v.text or ""
                     if cells:
-                        yield s.get("name"), int(e.get("r")), cells
+                        yield s.get("name"), int(e.get("r")), cells, no
                     e.clear()
 
 
@@ -79,8 +81,8 @@ class _Reader(DataSourceReader):
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         with open(partition.value, "rb") as f:
             raw = f.read()
-        for sheet, n, cells in rows(raw):
-            yield os.path.basename(partition.value), sheet, n, cells
+        for sheet, n, cells, no in rows(raw):
+            yield os.path.basename(partition.value), sheet, n, cells, no
 
 
 class XlsxSource(DataSource):
@@ -101,42 +103,27 @@ def register(spark: SparkSession) -> None:
 
 def read_binary(spark: SparkSession, path: str) -> DataFrame:
     """The same rows from any store that Spark reads, one workbook at a time in a task."""
-    types = pa.schema([("file", pa.string()), ("sheet", pa.string()), ("row", pa.int32()), ("cells", pa.list_(pa.string()))])
+    types = pa.schema([("file", pa.string()), ("sheet", pa.string()), ("row", pa.int32()), ("cells", pa.list_(pa.string())), ("sheet_no", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for path, raw in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                own = [{"file": path.rpartition("/")[2], "sheet": s, "row": n, "cells": c} for s, n, c in rows(raw.as_py())]
+                own = [{"file": path.rpartition("/")[2], "sheet": s, "row": n, "cells": c, "sheet_no": no} for s, n, c, no in rows(raw.as_py())]
                 yield pa.RecordBatch.from_pylist(own, schema=types)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xls[xm]").load(path)
     return files.select("path", "content").mapInArrow(run, SCHEMA)
 
 
-# Header words of each role, in the order in which roles are tried.
-ROLES = {
-    "name": "材料设备名称 材料名称 设备名称 名称 品名", "spec": "规格及型号 规格型号 规格 型号 技术参数", "unit": "计量单位 单位", "qty": "工程量 数量",
-    "submit_price": "承包人报价 报送价 报价 单价", "brand": "产地品牌 品牌 厂家", "remark": "备注 说明",
-}
-
-
-def header_roles(sheet_rows: DataFrame, scan: int = 30) -> DataFrame:
-    """``(file, sheet, header_row, cols map<role, column>)``: of the first ``scan`` rows the one that names most roles."""
-    roles = [(r, w, i, len(w)) for i, (r, ws) in enumerate(ROLES.items()) for w in ws.split()]
-    words = sheet_rows.sparkSession.createDataFrame(roles, "role string, word string, pri int, size int")
-    cells = sheet_rows.where(F.col("row") <= scan).select("file", "sheet", "row", F.posexplode("cells").alias("pos", "cell")).where("cell <> ''")
-    bare = F.regexp_replace("cell", r"\s", "")
-    hits = cells.join(F.broadcast(words), F.contains(bare, F.col("word")))
-    best = hits.groupBy("file", "sheet", "row", "pos").agg(F.max(F.struct("size", -F.col("pri"), "role")).alias("m")).select("file", "sheet", "row", "pos", "m.role")
-    first = best.groupBy("file", "sheet", "row", "role").agg((F.min("pos") + 1).alias("col"))
-    scored = first.groupBy("file", "sheet", "row").agg(F.count("*").alias("n"), F.map_from_entries(F.collect_list(F.struct("role", "col"))).alias("cols"))
-    top = scored.where("map_contains_key(cols, 'name')").groupBy("file", "sheet").agg(F.max_by(F.struct("row", "cols"), F.struct("n", -F.col("row"))).alias("h"))
-    return top.select("file", "sheet", F.col("h.row").alias("header_row"), F.col("h.cols").alias("cols"))
-
-
 def items(sheet_rows: DataFrame) -> DataFrame:
-    """Items of the rows below each sheet's header that have a name: ``item_id`` is ``sheet|row``."""
-    j = sheet_rows.join(F.broadcast(header_roles(sheet_rows)), ["file", "sheet"]).where("row > header_row")
+    """Items of the rows below each sheet's header that have a name: ``item_id`` is ``sheet|row``.
+
+    A schema is one row a sheet and meets the sheet's rows by the trimmed name, in whatever join their sizes allow.
+    """
+    found = schema.sheet_schemas(sheet_rows)
+    roles = F.map_from_entries(F.transform(F.filter("columns", lambda c: ~c["role"].isin("unknown", "ignore", "sum_price")), lambda c: F.struct(c["role"], c["col"])))
+    held = sheet_rows.withColumn("sheet", F.trim("sheet"))
+    j = held.join(found.select("file", "sheet", "header_row", roles.alias("cols")), ["file", "sheet"]).where("row > header_row")
     cell = lambda role: F.trim(F.coalesce(F.try_element_at("cells", F.try_element_at("cols", F.lit(role))), F.lit("")))
     number = lambda c: F.regexp_extract(F.regexp_replace(c, "[,，¥￥]", ""), r"-?\d+(?:\.\d+)?", 0).try_cast("double")
     out = j.select(

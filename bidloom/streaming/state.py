@@ -1,8 +1,10 @@
 """Event folds and circuit breakers on Structured Streaming.
 
-Both keep one small state a key and have a batch twin in ``operators.analytics`` (``latest``,
-``breaker_timeline``) with the same results, which the tests compare. Late events older than the watermark
-are dropped by the fold of windows only; the keyed states take events in any order.
+Both keep one small state a key and have a batch twin in ``operators.analytics`` (``latest``, ``breaker_timeline``), with which the
+tests compare them. The fold takes events in any order. The breaker reports a platform when it first sees it trip: of one
+batch the earliest trip, but an earlier event of a later batch does not take the report back, as what is appended stays; with events
+in order of their batches it agrees with its twin. Late events older than the watermark are dropped by the fold of windows only.
+Both states are kept for good: there are as many as items or platforms.
 """
 
 from __future__ import annotations

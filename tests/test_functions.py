@@ -46,7 +46,7 @@ def test_region(spark):
     rows = [("四川", "成都", "重庆", "重庆"), ("四川", "成都", "四川省", ""), ("四川", "成都", "四川省", "成都市"), ("四川", "成都", "全国", ""), ("四川", "成都", None, None), ("四川", "成都", "四川", "绵阳")]
     assert values(spark, region.classify, rows, "a string, b string, c string, d string") == ["conflict", "province", "exact", "national", "unknown", "province"]
     parsed = values(spark, region.parse_region, [("成都市价格",), ("全国统一价",), ("湖北省宜昌市",), (None,)], "t string")
-    assert [(r.province, r.city) for r in parsed] == [("四川", "成都"), ("全国", ""), ("湖北", "宜昌"), ("", "")]
+    assert [(r.province, r.city) for r in parsed] == [("四川省", "成都市"), ("全国", ""), ("湖北省", ""), ("", "")]
     gates = [("exact", True, True, False), ("province", True, False, False), ("province", True, False, True), ("national", True, False, False), ("conflict", True, False, False), ("unknown", True, True, False), ("unknown", True, False, False), ("exact", False, False, False)]
     assert values(spark, region.decide, gates, "m string, s boolean, r boolean, p boolean") == ["allow_formal", "review", "allow_formal", "market_ref", "reject", "review", "passthrough", "passthrough"]
     assert values(spark, region.apply_to_bucket, [("discard", "review"), ("formal", "review"), ("formal", "market_ref"), ("formal", "reject"), ("candidate", "market_ref")], "b string, g string") == ["candidate", "candidate", "market_ref", "discard", "candidate"]

@@ -21,7 +21,7 @@ def test_clusters(spark):
 
 
 def test_hits_are_an_ordered_fold(spark):
-    hits = [("https://a.com/p1", "One"), ("https://a.com/p1#x", "Other"), ("http://b.com/1", "one"), ("http://b.com/1", "Two"), ("https://zhidao.x.com/q", "Q"), ("https://c.com/", "Three")]
+    hits = [("https://a.com/p1", "One"), ("https://a.com/p1#x", "Other"), ("http://b.com/1", "one"), ("http://b.com/1", "Two"), ("https://zhidao.baidu.com/q", "Q"), ("https://c.gov.cn/", "Three")]
     df = spark.createDataFrame([(hits,), ([],)], "h array<struct<url:string,title:string>>")
     got = [[tuple(x) for x in r.x] for r in df.select(H.kept_hits(df.h).alias("x")).collect()]
-    assert got == [[("https://a.com/p1", "One"), ("https://c.com/", "Three"), ("http://b.com/1", "Two")], []]
+    assert got == [[("https://c.gov.cn/", "Three"), ("https://a.com/p1", "One"), ("http://b.com/1", "Two")], []]

@@ -6,7 +6,7 @@ import pytest
 
 from bidloom.operators import quotes as Q
 from bidloom.operators import views as V
-from bidloom.sources import evidence, pages, xlsx
+from bidloom.sources import evidence, pages, schema, xlsx
 
 MAIN = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
 GRID = [
@@ -38,8 +38,9 @@ def test_workbooks_become_items(spark, folder):
     read = spark.read.format("bidloom_xlsx").load(folder)
     assert read.rdd.getNumPartitions() == 2 and read.count() == 10
     assert sorted(read.collect()) == sorted(xlsx.read_binary(spark, folder).collect())
-    head = xlsx.header_roles(read).collect()
-    assert {(h.header_row, tuple(sorted(h.cols.items()))) for h in head} == {(3, (("brand", 7), ("name", 2), ("qty", 5), ("spec", 3), ("submit_price", 6), ("unit", 4)))}
+    head = schema.sheet_schemas(read).collect()
+    roles = ((1, "unknown"), (2, "name"), (3, "spec"), (4, "unit"), (5, "qty"), (6, "submit_price"), (7, "brand"))
+    assert {(h.header_row, tuple((c.col, c.role) for c in h.columns)) for h in head} == {(3, roles)}
     got = {r.item_id: r for r in xlsx.items(read).where("file = 'a.xlsx'").collect()}
     assert set(got) == {"安装|4", "安装|5"}
     a, b = got["安装|4"], got["安装|5"]
