@@ -137,7 +137,9 @@ def tokens(text: Column, most: int = 28) -> Column:
 
 
 def title_score(title: Column, must: Column) -> Column:
-    """How many required terms a title shows: contained, containing, or by a two-character piece."""
-    t = norm(title)
-    hit = lambda m: (F.length(norm(m)) > 0) & (F.contains(t, norm(m)) | ((F.length(t) > 1) & F.contains(norm(m), t)) | F.exists(bigrams(F.array_join(cjk_chars(m), "")), lambda g: (F.length(g) == 2) & F.contains(t, g)))
-    return F.size(F.filter(must, hit))
+    """How many required terms a title shows: one in the other, or by a CJK piece of two to four characters, or by a code with digits."""
+    t = F.lower(F.regexp_replace(F.coalesce(title, F.lit("")), r"(?U)\s+", ""))
+    bare = lambda m: F.lower(F.regexp_replace(F.coalesce(m, F.lit("")), r"(?U)\s+", ""))
+    pieces = lambda m: F.concat(F.regexp_extract_all(m, F.lit(f"[{CJK}]{{2,4}}"), F.lit(0)), F.regexp_extract_all(m, F.lit(r"[a-z]{0,8}\d{2,}[a-z0-9_-]*"), F.lit(0)))
+    hit = lambda m: (m != "") & (F.contains(t, m) | F.contains(m, t) | F.exists(pieces(m), lambda p: F.contains(t, p)))
+    return F.when(t == "", 0).otherwise(F.size(F.filter(F.transform(F.coalesce(must, F.array().cast("array<string>")), bare), hit)))

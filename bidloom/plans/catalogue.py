@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from bidloom.plans import names, quotes, reports, web
+from bidloom.plans import names, quotes, reports, responses, web
 
-MODULES = (quotes, reports, web, names)
+MODULES = (quotes, reports, web, names, responses)
 
 
 def queries() -> dict:
