@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from bidloom.functions import names as N
 from bidloom.functions import text as T
 from bidloom.operators.match import core_name, every
 
@@ -173,3 +174,55 @@ def with_aliases(queries: Column, name: Column, aliases: Column, most: int = 2)
     keys = lambda xs: F.transform(xs, lambda x: F.lower(F.trim(F.regexp_replace(x, r"(?U)\s+", " "))))
     fresh = F.filter(more, lambda q, i: ~F.array_contains(keys(queries), F.lower(q)) & (F.array_position(keys(more), F.lower(q)) == i + 1))
     return F.when(F.size(queries) > 0, F.concat(queries, fresh)).otherwise(queries)
+
+
+def gap_query(family: Column, name: Column, spec: Column) -> Column:
+    """A family's query with the first hard value of one of its items; null where the item has none or the query holds it."""
+    main = family_query(family)
+    tag = F.get(hard_tags(name, spec), F.lit(0))
+    return F.when(~F.contains(F.upper(main), F.upper(tag)), F.substring(F.concat_ws(" ", main, tag), 1, 60))
+
+
+def family_query(family: Column) -> Column:
+    """What a family is searched by: its name without white space and sizes, at most 40 characters."""
+    bare = F.regexp_replace(F.coalesce(family, F.lit("")), r"(?U)\s+", "")
+    return F.substring(F.coalesce(F.nullif(F.regexp_replace(bare, r"(?i)(?:DN|PN)\d+", ""), F.lit("")), F.substring(F.coalesce(family, F.lit("")), 1, 24)), 1, 40)
+
+
+def family_queries(family: Column, name: Column, spec: Column, most: int = 3) -> Column:
+    """The queries of an item within its family: the family's, then the one for its own size."""
+    main, gap = family_query(family), gap_query(family, name, spec)
+    both = F.filter(F.array(F.nullif(main, F.lit("")), gap), lambda q: q.isNotNull())
+    return F.slice(F.filter(both, lambda q, i: (i == 0) | (F.lower(q) != F.lower(both[0]))), 1, max(1, most))
+
+
+def web_queries(name: Column, spec: Column, aliases: Column, most: int = 2) -> Column:
+    """Queries for a search engine: the name, then confirmed aliases, then the product noun, each with the item's hard values as they are."""
+    both = F.concat_ws(" ", F.coalesce(name, F.lit("")), F.coalesce(spec, F.lit("")))
+    values = r"(?iu)(?:DN|φ|PN)\s*\d+(?:\.\d+)?|\d+(?:\.\d+)?\s*(?:W(?:\s*[/／]\s*m)?|V|K|mm|MPa|kPa|A)|IP\s*\d{2}|(?:DS-|RG-|iDS-|HM-|JB-|MS-|LRS-)[A-Z0-9/\-.]+|[A-Z]{1,8}\d{2,}[A-Z0-9\-_/.]*"
+    hard = F.array_join(F.slice(F.array_distinct(F.concat(F.transform(every(both, values), lambda x: F.regexp_replace(x, r"\s+", "")), section_sizes(both))), 1, 8), " ")
+    short = F.trim(F.regexp_extract(F.coalesce(name, F.lit("")), r"^([^（(【\[]*)", 1))
+    core = core_name(name)
+    made = lambda x: F.substring(T.normal_query(F.trim(F.concat_ws(" ", x, hard))), 1, 60)
+    first = F.coalesce(F.nullif(short, F.lit("")), core)
+    more = F.transform(F.slice(F.coalesce(aliases, F.array().cast("array<string>")), 1, 2), made)
+    all_ = F.filter(F.concat(F.array(made(first)), more, F.array(F.when((core != "") & (core != first), made(core)))), lambda q: q.isNotNull() & (q != ""))
+    keys = F.transform(all_, lambda x: F.lower(x))
+    return F.slice(F.filter(all_, lambda q, i: F.array_position(keys, F.lower(q)) == i + 1), 1, most)
+
+
+def sound_queries(offered: Column, name: Column, spec: Column, tried: Column, most: int = 2) -> Column:
+    """Proposed queries that may be asked: 2 to 40 characters, not tried, without model codes that the item does not name.
+
+    A query that has lost the item's first bore, model or section gets it back where that keeps it short enough.
+    """
+    blob = F.lower(F.concat_ws(" ", F.coalesce(name, F.lit("")), F.coalesce(spec, F.lit(""))))
+    anchors = N.query_anchors(name, spec)
+    low = lambda xs: F.transform(xs, lambda x: F.lower(x))
+    own = F.filter(F.transform(F.coalesce(offered, F.array().cast("array<string>")), T.normal_query), lambda q: F.length(q).between(2, LONGEST))
+    invented = lambda q: F.exists(every(q, r"(?i)(?:DS-|RG-|iDS-)[A-Z0-9/\-.]+|[A-Z]{2,6}\d{2,}[A-Z0-9\-_]*"), lambda m: ~F.contains(blob, F.lower(m)) & ~F.array_contains(low(anchors), F.lower(m)))
+    lost = lambda q: F.get(F.filter(F.slice(anchors, 1, 2), lambda a: ~F.contains(F.lower(q), F.lower(a)) & F.contains(blob, F.lower(a))), F.lit(0))
+    held = lambda q: F.coalesce(F.when(F.length(F.concat_ws(" ", q, lost(q))) <= LONGEST, T.normal_query(F.concat_ws(" ", q, lost(q)))), q)
+    good = F.transform(F.filter(own, lambda q: ~invented(q)), held)
+    known, keys = low(F.transform(F.coalesce(tried, F.array().cast("array<string>")), T.normal_query)), low(good)
+    return F.slice(F.filter(good, lambda q, i: ~F.array_contains(known, F.lower(q)) & (F.array_position(keys, F.lower(q)) == i + 1)), 1, most)
