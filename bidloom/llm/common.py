@@ -28,7 +28,21 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new folder's path in the shared folder; ``clear`` knows it."""
+    at = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if not hasattr(spark, "_bidloom_scratch"):
+        spark._bidloom_scratch = []
+    spark._bidloom_scratch.append(at)
+    return at
+
+
+def clear(spark: SparkSession) -> int:
+    """Deletes the folders that this session's operators have written; their number. Results that read them must be written before."""
+    made, spark._bidloom_scratch = getattr(spark, "_bidloom_scratch", []), []
+    for at in made:
+        path = spark._jvm.org.apache.hadoop.fs.Path(at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return len(made)
 
 
 def unused(names: list[str], wanted: str) -> str:
@@ -59,9 +73,9 @@ def join_counted(rows: DataFrame, table: DataFrame, key: str, n: str, how: str =
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Keeps Arrow batches at ``ARROW_ROWS`` rows unless the session asks for fewer."""
+    """Keeps Arrow batches at ``ARROW_ROWS`` rows where the user has not set their size."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key, "10000")) > ARROW_ROWS:
+    if key not in spark.conf.getAll:
         spark.conf.set(key, str(ARROW_ROWS))
 
 

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 
 import public_tokenizers
 import pytest
@@ -8,7 +9,29 @@ import tiktoken
 
 import corpus_pipeline as pipe
 from bidloom.llm import bpe, common, decontaminate, pii, simhash, toxicity
-from tests.llm.test_simhash import slow_components, slow_fingerprint
+from tests.llm.test_simhash import slow_fingerprint
+
+
+def five_word_shingles(text):
+    words = re.sub(r"[\x20\x09-\x0D]+", " ", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")).strip(" ").split(" ")
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words != [""] else set()
+
+
+def slow_classes(docs):
+    """Classes by all pairs: fingerprints of at most three differing bits, or five-word Jaccard of at least 0.8; each document's least id."""
+    fps, sets, root = {i: slow_fingerprint(t) for i, t in docs.items()}, {i: five_word_shingles(t) for i, t in docs.items()}, {i: i for i in docs}
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for x in docs:
+        for y in docs:
+            if x < y and (bin(fps[x] ^ fps[y]).count("1") <= 3 or len(sets[x] & sets[y]) >= 0.8 * len(sets[x] | sets[y]) > 0):
+                a, b = top(x), top(y)
+                root[max(a, b)] = min(a, b)
+    return {i: top(i) for i in docs}
 
 
 @pytest.fixture(scope="module")
@@ -17,10 +40,10 @@ def brute(spark, tiny):
     docs = {r.doc_id: r.text for r in common.read(spark, tiny, "documents").collect()}
     net, prior = toxicity.fit(common.read(spark, tiny, "documents"), common.read(spark, tiny, "labels"))
     clean = {i: t for i, t in docs.items() if toxicity.scores(net, prior, [t])[0] < 0.5}
-    root = slow_components({i: slow_fingerprint(t) for i, t in clean.items()})
+    root = slow_classes(clean)
     heads = {i: t for i, t in clean.items() if root[i] == i}
     items = [decontaminate.normal(r.text) for r in common.read(spark, tiny, "benchmark").collect()]
-    apart = {i: t for i, t in heads.items() if not any(x in decontaminate.normal(t) for x in items)}
+    apart = {i: t for i, t in heads.items() if not any(f" {x} " in f" {decontaminate.normal(t)} " for x in items)}
     private = {i: pii.replace(t, pii.DEMO_KEY, lambda k, v: 0)[0] for i, t in apart.items()}
     return docs, clean, heads, apart, private
 

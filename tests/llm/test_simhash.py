@@ -120,6 +120,18 @@ def test_deduplicate_removes_edited_copies(spark):
     for i in range(300):
         rows.append((1000 + i, " ".join([*words[: 10 + i % 180], f"edit{i}", *words[11 + i % 180 :]]), "x", 1))
     gone |= set(range(1001, 1300))
+    # A star: each copy is near the original and far from all other copies, so that they hang together by the original alone.
+    words = [f"x{rng.randrange(10**6)}" for _ in range(200)]
+    star = [" ".join(words)]
+    for i in range(200):
+        own = list(words)
+        for k in range(4):
+            own[rng.randrange(50 * k + 5, 50 * k + 45)] = f"star{i}"
+        star.append(" ".join(own))
+    sets = [simhash.shingle_set(t) for t in star]
+    assert all(simhash.jaccard(sets[0], x) >= 0.8 for x in sets[1:]) and simhash.jaccard(sets[1], sets[2]) < 0.7
+    rows += [(2000 + i, t, "x", 1) for i, t in enumerate(star)]
+    gone |= set(range(2001, 2201))
     assert far > 10
     got = [r.doc_id for r in simhash.deduplicate(spark.createDataFrame(rows, SCHEMA)).collect()]
     assert sorted(got) == sorted({r[0] for r in rows} - gone)
