@@ -28,9 +28,12 @@ def hydrated(jobs: DataFrame, evidence: DataFrame, key: str, *cols: str) -> Data
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    """``df`` written in the shared folder and read again; a local folder only where the session names none."""
+    """``df`` written in the shared folder and read again; a local folder only where the session names none and runs on one machine."""
     spark = df.sparkSession
-    at = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='bidloom-')}"
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at and not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    at = at or f"file://{tempfile.mkdtemp(prefix='bidloom-')}"
     to = f"{at.rstrip('/')}/clusters-{uuid.uuid4().hex}"
     df.write.parquet(to)
     return spark.read.schema(df.schema).parquet(to)

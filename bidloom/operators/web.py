@@ -15,6 +15,8 @@ CATEGORIES = {
     "flange": "法兰", "valve": "阀门 止回阀 单向阀 闸阀 截止阀 球阀 蝶阀", "light": "灯具 线型灯 线条灯 地埋灯 埋地灯 射灯", "pump": "水泵 泵组 离心泵",
     "pipe": "钢管 给水管 排水管 铸铁管 管材", "rebar": "钢筋 圆钢 螺纹钢 盘螺", "cable": "电缆 电线 线缆", "controller": "控制器 分控器 主控器",
 }
+#: How much of a page counts as its start, as the place of its aliases, and as evidence of a specification.
+HEAD_CHARS, ALIAS_CHARS, BODY_CHARS = 3000, 1500, 5000
 #: Characters that most products share.
 GENERIC = "器阀管灯箱机泵门板套线件类型式"
 
@@ -33,7 +35,7 @@ def visible_prices(text: Column, most: int = 5) -> Column:
     return F.slice(F.filter(both, lambda x, i: F.array_position(values, x["price"]) == i + 1), 1, most)
 
 
-def alias_clues(name: Column, title: Column, body: Column, most: int = 3, head: int = 1500) -> Column:
+def alias_clues(name: Column, title: Column, body: Column, most: int = 3, head: int = ALIAS_CHARS) -> Column:
     """CJK words of a page's title and head that share two characters with the product's noun and are about as long."""
     core = M.core_name(name)
     words = M.every(F.concat_ws(" ", F.coalesce(title, F.lit("")), F.substring(F.coalesce(body, F.lit("")), 1, head)), f"[{T.CJK}]{{2,12}}")
@@ -42,9 +44,9 @@ def alias_clues(name: Column, title: Column, body: Column, most: int = 3, head:
     return F.slice(F.array_distinct(F.filter(words, near)), 1, most)
 
 
-def captcha(html: Column) -> Column:
-    """Whether a stored page is a robot check."""
-    head = F.substring(F.coalesce(html, F.lit("")), 1, 3000)
+def captcha(html: Column, head_chars: int = HEAD_CHARS) -> Column:
+    """Whether a stored page is a robot check: such a page says so at its start, where an article on them does not."""
+    head = F.substring(F.coalesce(html, F.lit("")), 1, head_chars)
     low = F.lower(head)
     return (F.contains(head, F.lit("安全验证")) | F.contains(low, F.lit("captcha"))) & (F.contains(head, F.lit("验证码")) | low.rlike("wappass|passport"))
 
@@ -54,13 +56,13 @@ def wants_fallback(n_formal: Column, k: Column, done: Column, enabled: Column) -
     return enabled & ~done & (n_formal < F.greatest(F.lit(1), F.coalesce(k, F.lit(1))))
 
 
-def source_kinds(pages: DataFrame, name: str = "name", spec: str = "spec", title: str = "title", body: str = "body", quality: str = "quality") -> DataFrame:
+def source_kinds(pages: DataFrame, name: str = "name", spec: str = "spec", title: str = "title", body: str = "body", quality: str = "quality", body_chars: int = BODY_CHARS) -> DataFrame:
     """``pages`` (an item and a page a row) with ``aliases``, ``prices`` and ``kind``.
 
     Kinds: ``web_reference`` (accepted with a price), ``supplier_lead`` (a contact and no conflict), ``alias_only`` and
     ``reject``. ``phone``, ``contact`` and ``supplier`` are the page's contacts. Nulls count as empty texts.
     """
-    held = pages.withColumn("seen spec", F.lit("")).withColumn("page text", F.concat_ws("\n", title, F.substring(F.col(body), 1, 5000)))
+    held = pages.withColumn("seen spec", F.lit("")).withColumn("page text", F.concat_ws("\n", title, F.substring(F.col(body), 1, body_chars)))
     out = M.matched(held, name, spec, title, "page text", "seen spec").drop("seen spec", "page text")
     out = out.withColumn("aliases", alias_clues(F.col(name), F.col(title), F.col(body))).withColumn("prices", visible_prices(F.col(body)))
     known = F.trim(F.concat_ws("", "phone", "contact", "supplier")) != ""
