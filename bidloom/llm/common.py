@@ -51,11 +51,21 @@ def unused(names: list[str], wanted: str) -> str:
     return next(n for n in (wanted + "_" * k for k in range(len(names) + 1)) if n.lower() not in taken)
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
+def cut(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read again: lineage ends here."""
     spark, at = df.sparkSession, scratch(df.sparkSession, name)
-    df.write.parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
+    df.write.parquet(at, compression=compression)
+    out = spark.read.schema(df.schema).parquet(at)
+    out._bidloom_at = at
+    return out
+
+
+def drop(held: DataFrame) -> None:
+    """Deletes the folder of a table that ``cut`` gave and that nothing reads any more."""
+    spark, at = held.sparkSession, held._bidloom_at
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    spark._bidloom_scratch.remove(at)
 
 
 def join_counted(rows: DataFrame, table: DataFrame, key: str, n: str, how: str = "inner") -> DataFrame:
