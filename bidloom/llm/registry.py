@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from bidloom.llm import bpe, decontaminate, langid, pii, quality, secrets, sharding, simhash, toxicity, warc
+from bidloom.llm import bpe, codes, counts, decontaminate, langid, middle, pii, quality, secrets, sharding, simhash, toxicity, warc
 
-MODULES = (simhash, bpe, secrets, warc, decontaminate, langid, quality, toxicity, sharding, pii)
+MODULES = (simhash, bpe, secrets, warc, decontaminate, langid, quality, toxicity, sharding, pii, codes, middle, counts)
 
 
 def queries() -> dict:
