@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from bidloom.plans import jobs, names, quotes, reports, responses, web
+from bidloom.plans import jobs, names, quotes, reports, responses, stores, web
 
-MODULES = (quotes, reports, web, names, responses, jobs)
+MODULES = (quotes, reports, web, names, responses, jobs, stores)
 
 
 def queries() -> dict:

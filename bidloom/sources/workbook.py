@@ -1,7 +1,8 @@
 """Workbooks out of rows: the result sheet, the sheet of open inquiries, and the writer behind both.
 
 ``books`` turns cell rows ``(file, sheet_no, sheet, ord, cells)`` into one row ``(file, content)`` a workbook, and ``save`` writes those from
-the tasks that made them. A workbook is one file and hence the work of one task; what a folder of jobs writes is spread over tasks by file. A
+the tasks that made them, by the commit of ``sink``. A workbook is one file and hence the work of one task; ``sink.save_rows`` writes cell rows without
+holding a workbook in memory, and deals long sheets to several files. A
 sheet of more rows than the format holds goes on in a further sheet. Cells are texts; those that are plain numbers are written as numbers.
 """
 
@@ -10,12 +11,11 @@ from __future__ import annotations
 import io
 import re
 import zipfile
-from collections.abc import Iterator
-from typing import Any
+from collections.abc import Iterable, Iterator
+from typing import Any, BinaryIO
 from xml.sax.saxutils import escape
 
 import pandas as pd
-import pyarrow.fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -66,9 +66,9 @@ def _cell(ref: str, text: str) -> str:
     return f'<c r="{ref}" t="inlineStr"><is><t xml:space="preserve">{escape(_CONTROL.sub("", text))}</t></is></c>'
 
 
-def packed(sheets: list[tuple[str, Iterator[list[str | None]]]], most_rows: int = MOST_ROWS) -> bytes:
-    """The bytes of a workbook of these sheets."""
-    out, names = io.BytesIO(), []
+def pack(out: BinaryIO, sheets: Iterable[tuple[str, Iterator[list[str | None]]]], most_rows: int = MOST_ROWS) -> None:
+    """Writes a workbook of these sheets; rows are taken and written one by one."""
+    names: list[str] = []
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
         for name, rows in sheets:
             rows, more, part = iter(rows), True, 0
@@ -95,6 +95,12 @@ def packed(sheets: list[tuple[str, Iterator[list[str | None]]]], most_rows: int
         kinds += f'<Override PartName="/xl/workbook.xml" ContentType="{_TYPE}.sheet.main+xml"/>'
         defaults = '<Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/>'
         z.writestr("[Content_Types].xml", f'{_XML}<Types xmlns="{_PACKAGE}/content-types">{defaults}{kinds}</Types>')
+
+
+def packed(sheets: Iterable[tuple[str, Iterator[list[str | None]]]], most_rows: int = MOST_ROWS) -> bytes:
+    """The bytes of a workbook of these sheets."""
+    out = io.BytesIO()
+    pack(out, sheets, most_rows)
     return out.getvalue()
 
 
@@ -110,20 +116,10 @@ def books(rows: DataFrame) -> DataFrame:
 
 
 def save(made: DataFrame, folder: str) -> int:
-    """Writes each workbook of ``books`` under ``folder``, by any file system that Arrow knows; the number of files. A retried task writes its file again."""
+    """Writes each workbook of ``books`` under ``folder`` in place of one of its name, by the sink's commit; the number of files."""
+    from bidloom.sources import sink
 
-    def write(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        fs, at = pyarrow.fs.FileSystem.from_uri(folder) if "://" in folder else (pyarrow.fs.LocalFileSystem(), folder)
-        fs.create_dir(at)
-        n = 0
-        for p in parts:
-            for file, content in zip(p["file"], p["content"], strict=True):
-                with fs.open_output_stream(f"{at}/{file}") as f:
-                    f.write(content)
-                n += 1
-        yield pd.DataFrame({"n": [n]})
-
-    return int(made.mapInPandas(write, "n long").agg(F.sum("n")).first()[0] or 0)
+    return sink.write(made, folder)["files"]
 
 
 def _text(c: Column | str) -> Column:
@@ -196,6 +192,14 @@ def _sheet(body: DataFrame, file: str, no: int, name: str, heads: list[str]) ->
     return both.select(F.lit(file).alias("file"), F.lit(no).alias("sheet_no"), F.lit(name).alias("sheet"), "ord", "cells")
 
 
+def split(rows: DataFrame, file: Column) -> DataFrame:
+    """Cell rows of one workbook dealt to several by ``file``, a name from the columns of the rows; each sheet of each has the header again."""
+    body = rows.where("ord <> '0'").withColumn("file", file)
+    heads = rows.where("ord = '0'").drop("file")  # one row a sheet
+    heads = body.select("file", "sheet_no").distinct().join(F.broadcast(heads), "sheet_no")
+    return body.unionByName(heads)
+
+
 def open_rows(items: DataFrame, k: int, file: str = "rfq.xlsx") -> DataFrame:
     """Cell rows of the items that still need quotes: those that are not ``full_k`` with k quotes."""
     for name in ("sheet", "row", "spec", "brand", "unit", "qty", "submit", "note"):

@@ -5,6 +5,8 @@ file of a folder is a partition of its own, so a folder of workbooks is read by
 reachable by every executor under the given path; sources in other stores are read with
 ``read_binary`` from Spark's ``binaryFile`` rows, which reaches whatever Spark reaches.
 
+The same name is a sink for workbooks (``sink``).
+
 A cell is shared text, inline text, a formula's last value, a number's text, or empty. Rows without cells are not
 given; ``row`` is the number that the sheet shows.
 """
@@ -21,7 +23,7 @@ from xml.etree import ElementTree
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition
 
 from bidloom.sources import schema
 
@@ -96,6 +98,11 @@ class XlsxSource(DataSource):
     def reader(self, schema) -> DataSourceReader:
         return _Reader(self.options["path"])
 
+    def writer(self, schema, overwrite: bool) -> DataSourceWriter:
+        from bidloom.sources import sink
+
+        return sink.BookWriter(self.options["path"], schema, overwrite, self.options.get("existing", "error"))
+
 
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(XlsxSource)
