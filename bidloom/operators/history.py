@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from bidloom import shared
 from bidloom.sources import pages
 
 
@@ -27,33 +25,12 @@ def hydrated(jobs: DataFrame, evidence: DataFrame, key: str, *cols: str) -> Data
     return out.withColumns({c: F.coalesce(c, F.col(f"{c} of evidence")) for c in cols}).drop(*[f"{c} of evidence" for c in cols])
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """``df`` written in the shared folder and read again; a local folder only where the session names none and runs on one machine."""
-    spark = df.sparkSession
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at and not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    at = at or f"file://{tempfile.mkdtemp(prefix='bidloom-')}"
-    to = f"{at.rstrip('/')}/clusters-{uuid.uuid4().hex}"
-    df.write.parquet(to)
-    return spark.read.schema(df.schema).parquet(to)
-
-
-def clusters(pairs: DataFrame, a: str = "a", b: str = "b", most: int = 40) -> DataFrame:
-    """``(name, cluster)`` of confirmed pairs: the least name that is reached. Labels double their reach each round
-    by jumping to the label of their label; only a count reaches the driver."""
-    both = pairs.select(F.col(a).alias("u"), F.col(b).alias("v")).union(pairs.select(F.col(b).alias("u"), F.col(a).alias("v")))
-    both = _cut(both.where("u is not null and v is not null").distinct())
-    labels = _cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("label")))
-    for _ in range(most):
-        near = both.join(labels.select(F.col("u").alias("v"), "label"), "v").groupBy("u").agg(F.min("label").alias("near"))
-        step = labels.join(near, "u").select("u", F.least("label", "near").alias("next"), "label")
-        far = labels.select(F.col("u").alias("next"), F.col("label").alias("far"))
-        new = _cut(step.join(far, "next", "left").select("u", F.least("next", F.coalesce("far", "next")).alias("label"), F.col("label").alias("old")))
-        labels = new.select("u", "label")
-        if new.where("label <> old").isEmpty():
-            return labels.select(F.col("u").alias("name"), F.col("label").alias("cluster"))
-    raise RuntimeError("clusters did not settle")
+def clusters(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """``(name, cluster)`` of confirmed pairs: the least name that is reached; a name that is paired with itself alone is its own cluster."""
+    own = pairs.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null")
+    names = own.select(F.explode(F.array("a", "b")).alias("name")).distinct()
+    found = shared.components(own).select(F.col("node").alias("name"), F.col("root").alias("cluster"))
+    return names.join(found, "name", "left").select("name", F.coalesce("cluster", "name").alias("cluster"))
 
 
 def kept_hits(hits: Column, most: int = 5) -> Column:

@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from bidloom import shared
+from bidloom.operators import aliases as A
+from bidloom.operators import history as H
 from bidloom.operators import linkage as L
 from bidloom.operators import match as M
+from bidloom.operators import settings as S
 from bidloom.operators import views as V
 from bidloom.sources import pages
 
@@ -71,14 +74,72 @@ def dictionary_hits(spark, d):
     return found.groupBy("word").agg(F.count("*").alias("documents"), F.min("id").alias("first_doc"), F.min_by("at", "id").cast("long").alias("at"))
 
 
-QUERIES = {f.__name__: f for f in (offer_links, offer_classes, near_names, dictionary_hits)}
+def _alias_pairs(spark, d):
+    """Pairs of part numbers as names: stored ones, added, removed and denied ones."""
+    part = V.read(spark, d, "part")
+    name = lambda c: F.lpad(c.cast("string"), 9, "0")
+    pair = lambda where, to: part.where(where).select(name(F.col("p_partkey")).alias("a"), name(to).alias("b"))
+    k = F.col("p_partkey")
+    return pair("p_size % 5 > 1", k + 1), pair("p_size % 11 = 0", k * 2), pair("p_size % 9 = 2", k + 1), pair("p_size % 7 = 3", k + 2)
+
+
+def alias_updates(spark, d):
+    """Stored clusters of aliases after an update that adds and removes pairs, and the pairs left."""
+    stored, added, removed, _ = _alias_pairs(spark, d)
+    held = shared.cut(H.clusters(stored), "held")
+    return A.updated(held, stored, added, removed)
+
+
+def alias_denials(spark, d):
+    """Denied pairs that the confirmed ones hold together after the update, and over how many of these."""
+    stored, added, removed, denied = _alias_pairs(spark, d)
+    now = shared.cut(A.updated(shared.cut(H.clusters(stored), "held"), stored, added, removed), "now")
+    found = A.contradictions(now, denied)
+    steps = A.between(A.changed(stored, added, removed), shared.cut(found.select("a", "b"), "found"), 4)
+    return found.join(steps, ["a", "b"]).select("a", "b", "cluster", "steps")
+
+
+def platform_registry(spark, d):
+    """Each supplier's platforms: the known ones with the supplier's own settings laid over them, and its limits as nested settings."""
+    s = V.read(spark, d, "supplier")
+    spelling = F.element_at(F.array(*map(F.lit, ("广材网", "慧讯", "hylcw", "易泽网", "zjt", "京东", "ali", "own"))), (F.col("s_suppkey") % 8 + 1).cast("int"))
+    k = F.col("s_suppkey").cast("string")
+    page = F.when(F.col("s_suppkey") % 3 == 0, F.concat(F.lit('"home_url":"https://h/'), k, F.lit('"'))).when(F.col("s_suppkey") % 3 == 1, F.concat(F.lit('"search_url":"https://s/'), k, F.lit('"'))).otherwise('"name":""')
+    limits = F.concat(F.lit('"limits":{"day":{"most":'), k, F.lit('},"note":null}'))
+    given = s.select(F.col("s_suppkey").alias("user"), F.parse_json(F.concat(F.lit('{"'), spelling, F.lit('":{'), page, F.lit(","), limits, F.lit("}}"))).alias("doc"))
+    base = S.defaults(spark).select("platform", F.parse_json(F.regexp_replace(F.to_json("doc"), r"\}$", ',"limits":{"day":{"most":9,"least":1},"note":"x"}}')).alias("doc"))
+    found = S.registry(base, given)
+    limit = lambda path: F.variant_get("doc", f"$.limits.{path}", "string")
+    return found.select("user", "platform", "name", "login_url", "search_url", "requires_config", limit("day.most").alias("most"), limit("day.least").alias("least"), limit("note").alias("note"))
+
+
+QUERIES = {f.__name__: f for f in (offer_links, offer_classes, near_names, dictionary_hits, alias_updates, alias_denials, platform_registry)}
 
 _SPLIT = r"list_sort(list_distinct(regexp_extract_all(lower(text), '\bdn\d+\b'))) AS tags, list_sort(list_distinct(regexp_extract_all(regexp_replace(lower(text), '\bdn\d+\b', ' ', 'g'), '[a-z0-9#]+'))) AS tokens"
 _ITEMS = f"""i0 AS (SELECT p_partkey AS id, p_name AS name, CASE WHEN p_partkey % 6 = 0 THEN '' ELSE 'DN' || CAST(p_size * 10 AS VARCHAR) END AS spec, p_type, p_brand FROM part),
 i AS (SELECT id, name, spec, {_SPLIT} FROM (SELECT *, concat_ws(' ', name, lower(p_type), p_brand, spec) AS text FROM i0))"""
 _WORD = r"(?is)<title[^>]*>(.*?)</title>"
 
+_ALIASES = """n AS (SELECT lpad(CAST(p_partkey AS VARCHAR), 9, '0') AS a, p_partkey AS k, p_size FROM part),
+e0 AS (SELECT a, lpad(CAST(k + 1 AS VARCHAR), 9, '0') AS b FROM n WHERE p_size % 5 > 1 UNION SELECT a, lpad(CAST(k * 2 AS VARCHAR), 9, '0') FROM n WHERE p_size % 11 = 0 AND k > 0),
+e AS (SELECT * FROM e0 EXCEPT SELECT a, lpad(CAST(k + 1 AS VARCHAR), 9, '0') FROM n WHERE p_size % 9 = 2),
+g AS (SELECT a AS u, b AS v FROM e UNION SELECT b, a FROM e),
+reach AS (SELECT u AS name, u AS other FROM g UNION SELECT r.name, g.v FROM reach r JOIN g ON g.u = r.other),
+c AS (SELECT name, min(other) AS cluster FROM reach GROUP BY 1)"""
+_KNOWN = ", ".join(f"({', '.join(repr(x) for x in p[:4])})" for p in S.PLATFORMS)
+
 ORACLE = {
+    "alias_updates": f"WITH RECURSIVE {_ALIASES} SELECT * FROM c",
+    "alias_denials": f"""WITH RECURSIVE {_ALIASES}, w AS (SELECT u AS name, v AS other, 1 AS k FROM g UNION SELECT w.name, g.v, k + 1 FROM w JOIN g ON g.u = w.other WHERE k < 4),
+s AS (SELECT name, other, min(k) AS steps FROM w GROUP BY 1, 2), d AS (SELECT a, lpad(CAST(k + 2 AS VARCHAR), 9, '0') AS b FROM n WHERE p_size % 7 = 3)
+SELECT a, b, x.cluster, steps FROM d JOIN c x ON x.name = a JOIN c y ON y.name = b AND y.cluster = x.cluster LEFT JOIN s ON s.name = a AND s.other = b""",
+    "platform_registry": f"""WITH known AS (SELECT * FROM (VALUES {_KNOWN}) t(platform, name, login_url, search_url)),
+own AS (SELECT s_suppkey AS user, ['guangcai', 'huixun', 'lingcai', 'yize', 'zaojiatong', 'jd', '1688', 'own'][s_suppkey % 8 + 1] AS platform,
+  CASE WHEN s_suppkey % 3 = 0 THEN 'https://h/' || CAST(s_suppkey AS VARCHAR) END AS home, CASE WHEN s_suppkey % 3 = 1 THEN 'https://s/' || CAST(s_suppkey AS VARCHAR) END AS search, CAST(s_suppkey AS VARCHAR) AS most FROM supplier),
+u AS (SELECT s_suppkey AS user, k.* FROM supplier, known k)
+SELECT coalesce(u.user, o.user) AS user, coalesce(u.platform, o.platform) AS platform, coalesce(name, o.platform) AS name, coalesce(o.home, login_url, '') AS login_url, coalesce(o.search, search_url, '') AS search_url,
+  coalesce(o.home, login_url, '') = '' OR coalesce(o.search, search_url, '') = '' AS requires_config, coalesce(o.most, '9') AS most, CASE WHEN u.user IS NOT NULL THEN '1' END AS least, CASE WHEN o.user IS NULL THEN 'x' END AS note
+FROM u FULL JOIN own o ON u.user = o.user AND u.platform = o.platform""",
     "offer_links": f"""WITH {_ITEMS}, c AS (SELECT tokens, tags, min(id) AS item FROM i GROUP BY ALL),
 l AS (SELECT DISTINCT l_partkey, l_linenumber % 3 AS v, l_returnflag = 'R' AS r, l_suppkey % 5 AS s FROM lineitem),
 t AS (SELECT DISTINCT CASE v WHEN 0 THEN concat_ws(' ', p_name, lower(p_type), dn, p_brand) WHEN 1 THEN concat_ws(' ', lower(p_type), p_name, dn)

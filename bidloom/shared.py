@@ -85,7 +85,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     Alternates large-star and small-star joins until the edge set is a forest of stars on the
     least node. A round is two aggregations and two joins over written tables; a hub's rows meet their one
     row of the aggregate by ``join_counted``, so that no task gets a hub whole. Only counts and sums reach the driver.
-    Nodes without an edge do not appear. An empty input gives an empty result.
+    A root gives no row of its own, and nodes without an edge do not appear. An empty input gives an empty result.
     """
     cur = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
     before = None
