@@ -1,12 +1,10 @@
-"""What the training-data operators share: table reading, shared folder, lineage cuts, components."""
+"""What the training-data operators share: table reading and batch sizes; the shared folder, lineage cuts, hot-key joins and components are the core's."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from bidloom.shared import clear, components, cut, drop, join_counted, scratch, shared_dir, unused  # noqa: F401
 
 #: Rows per Arrow batch sent to Python workers, so that a batch of long texts stays small.
 ARROW_ROWS = 500
@@ -16,116 +14,8 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where the session names none and runs on one machine."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        at = getattr(spark, "_bidloom_shared", None) or f"file://{tempfile.mkdtemp(prefix='bidloom-')}"
-        spark._bidloom_shared = at
-    return at.rstrip("/")
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder's path in the shared folder; ``clear`` knows it."""
-    at = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    if not hasattr(spark, "_bidloom_scratch"):
-        spark._bidloom_scratch = []
-    spark._bidloom_scratch.append(at)
-    return at
-
-
-def clear(spark: SparkSession) -> int:
-    """Deletes the folders that this session's operators have written; their number. Results that read them must be written before."""
-    made, spark._bidloom_scratch = getattr(spark, "_bidloom_scratch", []), []
-    for at in made:
-        path = spark._jvm.org.apache.hadoop.fs.Path(at)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    return len(made)
-
-
-def unused(names: list[str], wanted: str) -> str:
-    """A column name that is not among ``names`` in any case."""
-    taken = {n.lower() for n in names}
-    return next(n for n in (wanted + "_" * k for k in range(len(names) + 1)) if n.lower() not in taken)
-
-
-def cut(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
-    """``df`` written as Parquet in the shared folder and read again: lineage ends here."""
-    spark, at = df.sparkSession, scratch(df.sparkSession, name)
-    df.write.parquet(at, compression=compression)
-    out = spark.read.schema(df.schema).parquet(at)
-    out._bidloom_at = at
-    return out
-
-
-def drop(held: DataFrame) -> None:
-    """Deletes the folder of a table that ``cut`` gave and that nothing reads any more."""
-    spark, at = held.sparkSession, held._bidloom_at
-    path = spark._jvm.org.apache.hadoop.fs.Path(at)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    spark._bidloom_scratch.remove(at)
-
-
-def join_counted(rows: DataFrame, table: DataFrame, key: str, n: str, how: str = "inner") -> DataFrame:
-    """``rows`` joined to ``table``, which has one row a ``key`` and in ``n`` how many of ``rows`` hold it.
-
-    Keys that hold over a thousandth of all counted rows are fewer than a thousand: they are broadcast, and their rows are not shuffled.
-    All others go through a shuffle, in which no key has more than a thousandth of the rows. ``how``: inner or left.
-    """
-    total = int(table.agg(F.sum(n)).first()[0] or 0)
-    hot, mark = F.col(n) * 1000 > total, unused([*rows.columns, *table.columns], "hot")
-    keys = table.where(hot).select(key, F.lit(True).alias(mark))
-    rows = rows.join(F.broadcast(keys), key, "left")
-    near = rows.where(mark).drop(mark).join(F.broadcast(table.where(hot)), key)
-    return near.unionByName(rows.where(F.col(mark).isNull()).drop(mark).join(table.where(~hot), key, how))
-
-
 def small_batches(spark: SparkSession) -> None:
     """Keeps Arrow batches at ``ARROW_ROWS`` rows where the user has not set their size."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if key not in spark.conf.getAll:
         spark.conf.set(key, str(ARROW_ROWS))
-
-
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """Connected components of ``edges (a, b)``: ``(node, root)`` with the least node as root.
-
-    Alternates large-star and small-star joins until the edge set is a forest of stars on the
-    least node. Each round is two aggregations and two joins over written tables, so a hub's
-    rows can be split by adaptive skew joins; only a count and a sum reach the driver.
-    Nodes without an edge do not appear. An empty input gives an empty result.
-    """
-    cur = cut(
-        edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges"
-    )
-    before = None
-    for _ in range(max_rounds):
-        # Large star: every neighbour above a node is linked to the node's least neighbour.
-        both = cur.union(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "low")
-        large = (
-            both.join(low, "u")
-            .where(F.col("v") > F.col("u"))
-            .select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .where("u <> v")
-            .distinct()
-        )
-        large = cut(large, "large")
-        # Small star: every neighbour below a node, and the node, are linked to the least of them.
-        low = cut(large.groupBy("u").agg(F.min("v").alias("m")), "low")
-        small = (
-            large.join(low, "u")
-            .select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v"))
-            .where("u <> v")
-            .distinct()
-        )
-        cur = cut(small, "small")
-        now = cur.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before = now
-    else:
-        raise RuntimeError("components did not settle")
-    return cur.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -8,7 +8,9 @@ bit-parallel distance, so every match within budget is found and nothing beyond
 A match begins and ends at a word's border (or beside a letter of a script that is written without spaces), so the item
 "no" is not found in "another". Verification climbs: the pieces are the leaves of a binary tree in which a node of j pieces has a budget of
 j - 1 edits. Of a node's two halves one must keep its own budget, so some leaf of a true match has all nodes
-above it within theirs, and a hit is given up at the first node that is not.
+above it within theirs, and a hit is given up at the first node that is not. Items that share a piece are first looked at
+together: those for which the stretch lacks more characters than their budget are left out. What a string of a node costs at a
+place is worked out once, whichever pieces and items lead there.
 
 Items reach the tasks in blocks of about ``BLOCK_CHARS`` characters, each broadcast and searched in its
 own pass, so a benchmark of any size never makes a large broadcast; texts are streamed and not shuffled.
@@ -25,6 +27,7 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
@@ -34,6 +37,8 @@ from bidloom.llm import common
 
 RATE = 0.1
 BLOCK_CHARS = 8_000_000
+#: Items of one piece that are looked at all at once, kinds of characters told apart there, and findings kept while a text is read.
+GROUP, BUCKETS, KNOWN = 8, 61, 200_000
 _OTHER = re.compile(r"[\W_]+")
 #: Letters of scripts written without spaces between words: Thai to Myanmar, Khmer, kana, CJK.
 _UNSPACED = re.compile("[\u0e00-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
@@ -76,6 +81,10 @@ def myers(masks: dict[str, int], m: int, text: str, enough: int = 0) -> tuple[in
     return best, end
 
 
+def buckets(text: str) -> np.ndarray:
+    return (np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32) % BUCKETS).astype(np.int64)
+
+
 def bordered(text: str, at: int) -> bool:
     """Whether a match may begin or end between the characters ``at - 1`` and ``at`` of a normalised text."""
     if not 0 < at < len(text) or text[at - 1] == " " or text[at] == " ":
@@ -125,7 +134,8 @@ class Matcher:
         self.items = sorted(self.ids)
         self.budget = [int(rate * len(t)) for t in self.items]
         self.starts = [[o for o, _ in pieces(t, k)] + [len(t)] for t, k in zip(self.items, self.budget, strict=True)]
-        self.nodes: dict[tuple[int, int, int], dict[str, int]] = {}
+        self.nodes: dict[tuple[int, int, int], tuple[int, dict[str, int]]] = {}
+        self.strings: dict[str, tuple[int, dict[str, int]]] = {}
         self.backward: dict[int, dict[str, int]] = {}
         places = defaultdict(list)
         for n, t in enumerate(self.items):
@@ -133,18 +143,49 @@ class Matcher:
                 places[piece].append((n, p))
         self.machine = ahocorasick.Automaton()
         for piece, at in places.items():
-            self.machine.add_word(piece, (len(piece), at))
+            self.machine.add_word(piece, (len(piece), self._groups(at)))
         self.machine.make_automaton()
+        self.bags = np.zeros((len(self.items), BUCKETS), dtype=np.int32)
+        for n, t in enumerate(self.items):
+            self.bags[n] = np.bincount(buckets(t), minlength=BUCKETS)
+
+    def _groups(self, at: list[tuple[int, int]]) -> list[tuple[list[tuple[int, int]], tuple | None]]:
+        """The items of one piece, by length and by where the piece stands; of ``GROUP`` or more what ``_possible`` needs to look at all at once."""
+        parts = defaultdict(list)
+        for n, p in at:
+            parts[len(self.items[n]).bit_length(), self.starts[n][p] >> 5].append((n, p))
+        out = []
+        for own in parts.values():
+            wide = None
+            if len(own) >= GROUP:
+                before = max(self.starts[n][p] + self.budget[n] for n, p in own)
+                after = max(len(self.items[n]) - self.starts[n][p] + self.budget[n] for n, p in own)
+                wide = before, after, np.array([n for n, _ in own]), np.array([self.budget[n] for n, _ in own])
+            out.append((own, wide))
+        return out
+
+    def _possible(self, wide: tuple, codes: np.ndarray, at: int) -> np.ndarray:
+        """Which items of a group the stretch around a piece has characters for: each one that it lacks is an edit."""
+        before, after, items, budget = wide
+        here = np.bincount(codes[max(0, at - before) : at + after], minlength=BUCKETS)
+        return np.nonzero(np.maximum(self.bags[items] - here, 0).sum(axis=1) <= budget)[0]
 
     def find(self, text: str | None) -> list[tuple[int | None, int, int]]:
         """(item id, distance, end in the normalised text) of each item within its budget, at its best place."""
-        text, near = normal(text), defaultdict(list)
+        text, near = normal(text), defaultdict(set)
         if not text or not self.items:
             return []
-        for last, (size, at) in self.machine.iter(text):
-            for n, p in at:
-                if self._climbs(n, p, text, last + 1 - size):
-                    near[n].append(last + 1 - size - self.starts[n][p])
+        codes, known = None, {}
+        for last, (size, groups) in self.machine.iter(text):
+            at = last + 1 - size
+            for own, wide in groups:
+                if wide is not None:
+                    codes = buckets(text) if codes is None else codes
+                    own = [own[i] for i in self._possible(wide, codes, at)]
+                for n, p in own:
+                    start = at - self.starts[n][p]
+                    if start not in near.get(n, ()) and self._climbs(n, p, text, start, known):
+                        near[n].add(start)
         out = []
         for n, starts in near.items():
             k, m, best = self.budget[n], len(self.items[n]), None
@@ -178,26 +219,40 @@ class Matcher:
                 best = min(own), end
         return best
 
+    def _node(self, n: int, lo: int, hi: int) -> tuple[int, dict[str, int]]:
+        """The pieces lo to hi of an item: a number that items with the same string there share, and where each character stands in it."""
+        if (node := self.nodes.get((n, lo, hi))) is None:
+            own = self.items[n][self.starts[n][lo] : self.starts[n][hi]]
+            if own not in self.strings:
+                mask: dict[str, int] = {}
+                for j, c in enumerate(own):
+                    mask[c] = mask.get(c, 0) | 1 << j
+                self.strings[own] = len(self.strings), mask
+            node = self.nodes[n, lo, hi] = self.strings[own]
+        return node
+
     def _masks(self, n: int, lo: int, hi: int) -> dict[str, int]:
-        """Where each character stands in the pieces lo to hi of an item."""
-        if (mask := self.nodes.get((n, lo, hi))) is None:
-            mask = self.nodes[n, lo, hi] = {}
-            for j, c in enumerate(self.items[n][self.starts[n][lo] : self.starts[n][hi]]):
-                mask[c] = mask.get(c, 0) | 1 << j
-        return mask
-
-    def _climbs(self, n: int, p: int, text: str, at: int) -> bool:
-        """Whether all nodes between the root and piece p, which stands at ``at``, keep their budgets."""
+        return self._node(n, lo, hi)[1]
+
+    def _climbs(self, n: int, p: int, text: str, start: int, known: dict[tuple[int, int, int], bool]) -> bool:
+        """Whether all nodes between the root and piece p keep their budgets, for an item that begins at ``start`` by that piece's place.
+
+        ``known`` holds what was found for a string at a place: other pieces of the item and items that share the string do not look again."""
         starts, path = self.starts[n], []
         lo, hi = 0, self.budget[n] + 1
         while hi - lo > 1:
             mid = (lo + hi) // 2
             lo, hi = (lo, mid) if p < mid else (mid, hi)
             path.append((lo, hi))
+        if len(known) > KNOWN:
+            known.clear()
         for lo, hi in reversed(path[:-1]):  # the last is the piece itself
             k = hi - lo - 1
-            a, b = at - (starts[p] - starts[lo]) - k, at + starts[hi] - starts[p] + k
-            if myers(self._masks(n, lo, hi), starts[hi] - starts[lo], text[max(0, a) : b], k)[0] > k:
+            name, masks = self._node(n, lo, hi)
+            place = start + starts[lo]
+            if (held := known.get((name, k, place))) is None:
+                held = known[name, k, place] = myers(masks, starts[hi] - starts[lo], text[max(0, place - k) : start + starts[hi] + k], k)[0] <= k
+            if not held:
                 return False
         return True
 

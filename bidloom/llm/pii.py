@@ -304,6 +304,11 @@ def rendered(kind: str, shape: str, new: str) -> str:
     return _cased(shape, new) if kind.startswith("name") else new
 
 
+def _words(text: str) -> set[str]:
+    """The words of a text as they are written, and those of two that a hyphen joins."""
+    return {*re.findall(r"\w+", text), *(m[1] for m in re.finditer(r"(?<!\w)(?=(\w+-\w+))", text))}
+
+
 def _names(text: str) -> Iterator[tuple[int, int, str, str]]:
     """Names of a text, and the later mentions of their parts."""
     titled = [(m, 2 if m[3] else 0, 3 if m[3] else 2, _GENDER[m[1].lower()]) for m in _NAME.finditer(text)]
@@ -325,12 +330,14 @@ def _names(text: str) -> Iterator[tuple[int, int, str, str]]:
         yield *m.span(family), "name", m[family].lower()
     for m, _, family, _ in titled:
         parts[m[family]] = "name"
-    before = None
+    before, words = None, None
     for m in re.finditer(r"[^\W\d_]+(?:-[^\W\d_]+)?", text):
         if m[0] in parts:
             low, after = m[0].lower(), re.match(rf"[  ]+({_PART})", text[m.end() : m.end() + 99])
             alone = before != m.start() - 1 and not (after and after[1] in parts)
-            plain = alone and _SENTENCE.search(text, max(0, m.start() - 9), m.start()) and (low in ORDINARY or re.search(rf"(?<!\w){re.escape(low)}(?!\w)", text))
+            if plain := alone and bool(_SENTENCE.search(text, max(0, m.start() - 9), m.start())):
+                words = _words(text) if words is None else words
+                plain = low in ORDINARY or low in words
             if not plain:
                 yield *m.span(), parts[m[0]], low
                 before = m.end()

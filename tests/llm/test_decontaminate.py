@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import time
 
 from bidloom.llm import common, decontaminate
 
@@ -85,3 +86,28 @@ def test_items_without_ids_still_count(spark):
     docs = spark.createDataFrame([(1, "It has one item, without any ID, inside", 0), (2, "it has none", 0)], DOCS)
     assert [(r.doc_id, r.item_id) for r in decontaminate.matches(docs, bench).collect()] == [(1, None)]
     assert [r.doc_id for r in decontaminate.decontaminate(docs, bench).collect()] == [2]
+
+
+def test_items_of_one_stem_are_looked_at_together():
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(3, 9)))
+    stem = "which of the following statements about the"
+    items = [(i, f"{stem} {' '.join(word() for _ in range(rng.randint(2, 8)))}") for i in range(400)]
+    text = " ".join(f"{stem} {word()} {word()}" for _ in range(100)) + " " + items[7][1] + " and " + items[33][1][:-1] + "x"
+    matcher = decontaminate.Matcher(items, 0.1)
+    began = time.perf_counter()
+    found = matcher.find(text)
+    assert time.perf_counter() - began < 5
+    assert {i for i, *_ in found} >= {7, 33}
+    one = {i for i, t in items if decontaminate.Matcher([(i, t)], 0.1).find(text)}
+    assert {i for i, *_ in found} == one
+
+
+def test_groups_and_single_items_find_the_same(monkeypatch):
+    rng = random.Random(5)
+    items = [(i, "".join(rng.choice("ab c") for _ in range(rng.randint(20, 60)))) for i in range(60)] + [(100 + i, "abc abc " * 3 + "abcdefgh"[i]) for i in range(8)]
+    texts = ["".join(rng.choice("ab c") for _ in range(300)) for _ in range(20)] + [items[k][1][:10] + "b" + items[k][1][11:] for k in range(20)]
+    together = [decontaminate.Matcher(items, 0.2).find(t) for t in texts]
+    monkeypatch.setattr(decontaminate, "GROUP", 10**9)
+    monkeypatch.setattr(decontaminate, "KNOWN", 1)
+    assert together == [decontaminate.Matcher(items, 0.2).find(t) for t in texts] and any(together)

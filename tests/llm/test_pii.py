@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import re
+import time
 
 import pytest
 
@@ -166,3 +167,22 @@ def test_phone_forms_corefer_and_spare_plain_numbers():
     assert [[x[2] for x in pii.find(t)] for t in two] == [["phone", "ip"], ["phone", "ssn"], ["phone", "ip"]]
     for t in ("+100 000 000", "+12.345678", "+1234.5678", "at 1700000000 s", "05.01.2024", "0.123456789", "12345678901", "912 345 678", "$5551234567", "1,234,567,890", "x5551234567", "3141592653.58"):
         assert plain(t) == t, t
+
+
+def test_sentences_that_begin_with_a_name_take_linear_time():
+    def took(n):
+        text = "Mr Karl Weber came. " + "Karl went home early today. " * n
+        began = time.perf_counter()
+        found = pii.find(text)
+        return time.perf_counter() - began, sum(x[3] == "karl" for x in found), n
+
+    took(100)
+    small, large = took(10_000), took(40_000)
+    assert large[1] == large[2] + 1 and large[0] < 3 and large[0] < 7 * small[0] + 0.5
+
+
+def test_words_decide_as_a_search_of_the_whole_text_does():
+    for text in ("karl-heinz x", "a karl1 karl_", "anna-maria-luise b", "x-karl", "karl", "é-karl ü-é", "karl-", "-karl-9"):
+        words = pii._words(text)
+        for low in ("karl", "heinz", "karl-heinz", "anna-maria", "maria-luise", "x-karl", "maria", "é", "ü-é", "karl-9"):
+            assert (low in words) == bool(re.search(rf"(?<!\w){re.escape(low)}(?!\w)", text)), (text, low)
