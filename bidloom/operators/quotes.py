@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from bidloom.functions import price as P
+from bidloom.operators import ranking
 from bidloom.operators.views import KEEP_FIRST, SHOPS
 
 K = 3
@@ -72,12 +73,8 @@ def reviews(quotes: DataFrame, limit: int = 5) -> DataFrame:
 
 
 def rule_ranked(quotes: DataFrame, n: int = 12) -> DataFrame:
-    """Candidates by evidence, score, band of the submitted price and last by price."""
-    ex = P.ex_tax_for_rank(F.col("price"), F.col("tax_mode"), F.col("platform"))
-    out = quotes.withColumn("rank_ex", ex).withColumn("flag", P.under_submit(F.col("rank_ex"), F.col("submit")))
-    tier = F.when(F.col("flag") == "under", 0).when(F.col("flag") == "near", 1).when(F.col("flag") == "unknown", 2).otherwise(3)
-    evidence = F.when(F.col("seen_at").isNotNull(), 2).otherwise(0) + F.when(F.col("price") > 0.05, 1).otherwise(0)
-    return ranked(out, F.desc(evidence), F.desc("score"), tier, F.coalesce("rank_ex", F.lit(1e18)), "price", "tax_mode").where(F.col("rank") <= n)
+    """The first n candidates of each item by the order of ``ranking``: what an offer shows, evidence, score, band of the submitted price and last the price."""
+    return ranked(ranking.keyed(quotes), *ranking.order(), "price", "tax_mode").where(F.col("rank") <= n)
 
 
 def waterfall(quotes: DataFrame, k: int = K) -> DataFrame:

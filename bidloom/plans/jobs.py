@@ -102,7 +102,7 @@ QUERIES = {f.__name__: f for f in (
     family_item_queries, web_item_queries, sound_queries,
 )}
 _BASE = PQ._BASE
-_RANKED = PQ.ORACLE["rule_rank"]
+_RANKED = PQ.PLAIN_RANK
 
 ORACLE = {
     "item_diagnostics": f"""WITH r AS ({PR.ORACLE['fail_reasons']}), n AS (SELECT user_id AS item_id, count(*) AS n, count(*) FILTER (event_type = 'purchase' AND user_id % 4 <> 0) AS q FROM events GROUP BY 1)

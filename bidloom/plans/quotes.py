@@ -8,6 +8,7 @@ from bidloom.functions import names as N
 from bidloom.functions import price as P
 from bidloom.functions import text as T
 from bidloom.operators import quotes as Q
+from bidloom.operators import ranking as RK
 from bidloom.operators import views as V
 
 _PRICED = f"""priced AS (SELECT o.*, i.submit, {V.EX_TAX} AS ex FROM offers o JOIN items i USING (item_id)),
@@ -105,8 +106,28 @@ def review_candidates(spark, d):
     return Q.reviews(related(spark, d)).select("item_id", "rank", "platform", "supplier_id", "sku", "price", "ex", "score", "vs")
 
 
+def shown_offers(spark, d):
+    """Offers of items with several hard values, and texts that show all, some or others of them, by supplier and score."""
+    part = V.read(spark, d, "part")
+    size, k = F.col("p_size") * 10, F.col("p_partkey")
+    text = lambda c: c.cast("string")
+    spec = F.concat(F.lit("DN"), text(size), F.lit(" AC220V 9W IP65"), F.when(k % 4 == 0, " 200x100").otherwise(""))
+    items = part.select(k.alias("item_id"), F.col("p_name").alias("name"), spec.alias("spec"), size.alias("size"))
+    items = items.withColumn("wanted", RK.wanted(F.col("name"), F.col("spec")))
+    own, s, n = related(spark, d).join(items, "item_id"), F.col("supplier_id"), F.round(F.col("score") * 100).cast("int")
+    seen = (
+        F.when(s % 4 == 1, F.concat(F.lit("DN"), text(F.col("size")), F.lit(" AC220V"))).when(s % 4 == 2, F.concat(F.lit("DN"), text(F.col("size") + 10), F.lit(" 9W IP65 300x100")))
+        .when(s % 4 == 3, F.concat(F.lit("200x100 dn "), text(F.col("size")), F.lit(" IP65 9 W AC220V"))).otherwise("")
+    )
+    title = F.when(n % 4 == 0, F.concat(F.lit("other "), F.split("name", " ")[1])).when(n % 4 == 1, F.upper("name")).otherwise(F.col("name"))
+    return own.withColumns({"title": title, "spec_seen": seen, "url": F.when(s % 3 > 0, F.concat(F.lit("https://s/"), text(s)))})
+
+
 def rule_rank(spark, d):
-    return Q.rule_ranked(related(spark, d)).select("item_id", "rank", "platform", "sku", "price", "tax_mode", "score", "flag")
+    """The first candidates of each item by all eight keys of the rule."""
+    return Q.rule_ranked(shown_offers(spark, d)).select(
+        "item_id", "rank", "platform", "sku", "price", "tax_mode", "score", "flag", "name_miss", "wrong_size", "id_hits", "hard_cover", "evidence"
+    )
 
 
 def waterfall_k(spark, d):
@@ -180,6 +201,9 @@ _N = "n AS (SELECT item_id, count(*) AS n_quotes, min(ex) AS best_ex FROM best G
 _SHOPS = "platform IN ('jd', 'ali1688')"
 _MARKET = f"{_dedup('related', _SHOPS, 'md')}, market AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY price, {_ORDER}, supplier_id) AS rank FROM md) WHERE rank <= 5)"
 
+#: The order where offers come without texts.
+PLAIN_RANK = f"{_BASE}, f AS (SELECT *, {_FLAG_EX} AS rex FROM related), g AS (SELECT *, {_FLAG} AS flag FROM f) SELECT item_id, CAST(rank AS INTEGER) AS rank, platform, sku, price, tax_mode, score, flag FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY CASE WHEN price > 0.05 THEN 1 ELSE 0 END DESC, score DESC, CASE flag WHEN 'under' THEN 0 WHEN 'near' THEN 1 WHEN 'unknown' THEN 2 ELSE 3 END, COALESCE(rex, 1e18), price, tax_mode, {_ORDER}, supplier_id) AS rank FROM g) WHERE rank <= 12"
+
 ORACLE = {
     "items_projection": f"WITH {V.ITEMS} SELECT * FROM items",
     "price_valid": f"WITH {V.OFFERS} SELECT platform, {_VALID} AS valid, count(*) AS n, min(price) AS low, max(price) AS high FROM offers GROUP BY 1, 2",
@@ -194,7 +218,16 @@ ORACLE = {
     "quotes_wide": f"{_TOP} SELECT item_id, {_WIDE} FROM best GROUP BY item_id",
     "rfq_rows": f"{_TOP}, {_N} SELECT item_id, name, spec, brand, COALESCE(n_quotes, 0) AS n_quotes FROM items LEFT JOIN n USING (item_id) WHERE COALESCE(n_quotes, 0) < 3",
     "review_candidates": f"{_BASE}, {_REV} SELECT item_id, CAST(rank AS INTEGER) AS rank, platform, supplier_id, sku, price, ex, score, vs FROM reviews",
-    "rule_rank": f"{_BASE}, f AS (SELECT *, {_FLAG_EX} AS rex FROM related), g AS (SELECT *, {_FLAG} AS flag FROM f) SELECT item_id, CAST(rank AS INTEGER) AS rank, platform, sku, price, tax_mode, score, flag FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY CASE WHEN price > 0.05 THEN 1 ELSE 0 END DESC, score DESC, CASE flag WHEN 'under' THEN 0 WHEN 'near' THEN 1 WHEN 'unknown' THEN 2 ELSE 3 END, COALESCE(rex, 1e18), price, tax_mode, {_ORDER}, supplier_id) AS rank FROM g) WHERE rank <= 12",
+    "rule_rank": f"""{_BASE}, t AS (SELECT r.*, {_FLAG_EX} AS rex, p_name AS name, p_size * 10 AS size, item_id % 4 = 0 AS wide, CAST(round(score * 100) AS INTEGER) AS n, supplier_id % 4 AS s, supplier_id % 3 > 0 AS linked FROM related r JOIN part ON p_partkey = item_id),
+w AS (SELECT *, {_FLAG} AS flag,
+  CASE WHEN n % 4 = 0 THEN 1 WHEN n % 4 = 1 THEN 0 ELSE 0 END AS name_miss,
+  CASE WHEN s = 2 OR (wide AND s = 2) THEN 1 ELSE 0 END AS wrong_size,
+  CASE WHEN s = 1 THEN 2 WHEN s = 3 THEN 1 WHEN s = 2 AND size < 100 AND contains('dn' || CAST(size + 10 AS VARCHAR), 'dn' || CAST(size AS VARCHAR)) THEN 1 ELSE 0 END
+    + CASE WHEN wide AND (s = 3 OR s = 2 AND size = 190) THEN 1 ELSE 0 END AS id_hits,
+  CASE s WHEN 1 THEN 1 WHEN 2 THEN 2 WHEN 3 THEN 3 ELSE 0 END AS hard_cover,
+  CASE WHEN s > 0 THEN 2 ELSE 0 END + CASE WHEN linked THEN 1 ELSE 0 END + CASE WHEN price > 0.05 THEN 1 ELSE 0 END AS evidence FROM t)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, platform, sku, price, tax_mode, score, flag, name_miss, wrong_size, id_hits, hard_cover, evidence FROM (SELECT *, row_number() OVER (PARTITION BY item_id
+  ORDER BY name_miss, wrong_size, id_hits DESC, hard_cover DESC, evidence DESC, score DESC, CASE flag WHEN 'under' THEN 0 WHEN 'near' THEN 1 WHEN 'unknown' THEN 2 ELSE 3 END, COALESCE(rex, 1e18), price, tax_mode, {_ORDER}, supplier_id) AS rank FROM w) WHERE rank <= 12""",
     "waterfall_k": f"{_BASE}, w AS (SELECT *, vs IN ('below_submit', 'near_submit') AS formal, CAST(COALESCE(sum(CASE WHEN vs IN ('below_submit', 'near_submit') THEN 1 ELSE 0 END) OVER (PARTITION BY item_id ORDER BY {_ORDER}, supplier_id, price, tax_mode ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INTEGER) AS formal_before FROM related) SELECT item_id, platform, sku, price, tax_mode, formal, formal_before FROM w WHERE formal_before < 3",
     "market_refs": f"{_BASE}, {_MARKET} SELECT item_id, CAST(rank AS INTEGER) AS rank, platform, supplier_id, sku, price FROM market",
     "continue_anti": f"{_TOP} SELECT item_id, name, spec FROM items WHERE item_id NOT IN (SELECT item_id FROM best WHERE rank = 3)",
