@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from bidloom.plans import jobs, links, names, quotes, reports, responses, stores, web
+from bidloom.plans import jobs, links, names, quotes, reports, responses, runs, stores, web
 
-MODULES = (quotes, reports, web, names, responses, jobs, stores, links)
+MODULES = (quotes, reports, web, names, responses, jobs, stores, links, runs)
 
 
 def queries() -> dict:
