@@ -28,6 +28,6 @@ def read(spark: SparkSession, at: str) -> DataFrame:
     old = F.lower(F.coalesce("status", F.lit("no_match")))
     known = ("full_k", "partial", "need_review", "no_match", "error", "skipped")
     n = F.size(F.coalesce("quotes", F.array().cast(f"array<{QUOTE}>")))
-    verified = F.when((n >= 3) | (n == 0), "full_k").otherwise("partial")
+    verified = F.when(n >= 3, "full_k").when(n > 0, "partial").otherwise("no_match")
     status = F.when(old == "verified", verified).when(old.isin(*known), old).when(old.startswith("fail"), "error").otherwise("no_match")
     return parsed.withColumn("status", status)

@@ -63,6 +63,22 @@ def test_pages(spark):
     html = '<html><head><title>A &amp; B</title><script>var x="</p>";</script></head><body><!-- c --><a class="x" href="/p?q=1">t&nbsp;u</a> <p>￥1,143.17 电话 13800150123 联系人：张三</p></body></html>'
     df = spark.createDataFrame([(1, "https://www.A.example.com:81/x?page=2", html), (2, None, None)], "page_id int, url string, html string")
     r = df.select("page_id", pages.title(df.html).alias("t"), pages.text(df.html).alias("x"), pages.domain(df.url).alias("d"), pages.quality(df.url).alias("q"), pages.visible_price(df.html).alias("p"), pages.contacts(df.html).alias("c")).collect()
-    assert r[0].t == "A &amp; B" and "t u" in r[0].x and "var" not in r[0].x and r[0].d == "a.example.com:81" and r[0].q == "low"
+    assert r[0].t == "A &amp; B" and "t u" in r[0].x and "var" not in r[0].x and r[0].d == "a.example.com:81" and r[0].q == "medium"  # the port is no part of the ending
     assert r[0].p == 1143.17 and r[0].c.phone == "13800150123" and r[0].c.contact == "张三"
     assert pages.links(df).collect()[0].href == "/p?q=1"
+
+
+def test_links_in_all_quotings_and_schemes_in_any_case(spark):
+    html = """<a href="/1">x</a><a class=c HREF='/2?a="b"'>y</a><a href=/3>z</a><a data-href="/no">n</a><abbr href="/no"></abbr>"""
+    df = spark.createDataFrame([(1, "HTTPS://WWW.Example.COM/Login", html), (2, "Http://shop.example.com:8443/p", None)], "page_id int, url string, html string")
+    assert [r.href for r in pages.links(df).orderBy("pos").collect()] == ["/1", '/2?a="b"', "/3"]
+    assert [(r[0], r[1]) for r in df.orderBy("page_id").select(pages.domain(df.url), pages.quality(df.url)).collect()] == [("example.com", "block"), ("shop.example.com:8443", "medium")]
+
+
+def test_labelled_contacts(spark):
+    rows = [("供应商：甲建材商行 联系人：李四\n电话 010-88886666", "规格型号：DN50，好"), ("生产厂家：乙阀门有限公司，销售：王五；手机：138 0015 0123", ""), ("丙电气有限公司 经理 赵六", None), (None, None), ("店铺：小店\n供应商：丁", "x")]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, t string, title string")
+    got = {r.i: (tuple(r.h), tuple(r.d)) for r in df.select("i", pages.contacts(df.t).alias("h"), pages.detail_contacts(df.t, df.title).alias("d")).collect()}
+    assert got[0][0] == ("010-88886666", "李四", "甲建材商行 联系人：李四") and got[0][1] == ("010-88886666", "李四", "甲建材商行 联系人：李四", "DN50，好")
+    assert got[1][1][:3] == ("13800150123", "王五", "乙阀门有限公司") and got[2][0] == ("", "赵六", "丙电气有限公司")
+    assert got[3] == (("", "", ""), ("", "", "", "")) and got[4][1][2] == "小店"
