@@ -14,6 +14,10 @@ from bidloom.operators import match as M
 from bidloom.operators import region as R
 from bidloom.operators import views as V
 from bidloom.sources import pages as G
+from bidloom.sources import schema as SC
+
+#: Header words that cells of ``header_scores`` are made of.
+HEADER_WORDS = ("材料名称", "名称", "规格型号", "单位", "单价", "工程量", "品牌", "备注", "合计", "序号")
 
 
 def fail_reasons(spark, d):
@@ -102,13 +106,14 @@ def region_priority(spark, d):
 
 
 def bucket_matrix(spark, d):
-    """Every combination of the gate's inputs: a literal grid."""
-    grid = spark.range(1).select(F.explode(F.array(*map(F.lit, ("strict", "practical", "loose")))).alias("mode"))
-    for name, values in (("ok", (True, False)), ("outcome", ("accept", "review", "reject")), ("missed", (True, False)), ("unit_ok", (True, False, None)), ("ambiguous", (True, False))):
-        grid = grid.withColumn(name, F.explode(F.array(*[F.lit(v).cast("string" if name == "outcome" else "boolean") for v in values])))
-    c = F.col
-    out = grid.withColumn("r", B.decide(c("ok"), c("outcome"), c("missed"), c("unit_ok"), c("ambiguous"), c("mode")))
-    return out.select("mode", "ok", "outcome", "missed", "unit_ok", "ambiguous", c("r.bucket").alias("bucket"), c("r.outcome").alias("decision"))
+    """What the gate decides of line items, whose columns stand for its inputs, and of how many."""
+    li, c = V.read(spark, d, "lineitem"), F.col
+    mode = F.element_at(F.array(*map(F.lit, ("strict", "practical", "loose"))), (c("l_orderkey") % 3 + 1).cast("int"))
+    outcome = F.element_at(F.array(*map(F.lit, ("accept", "review", "reject"))), (c("l_suppkey") % 3 + 1).cast("int"))
+    unit = F.when(c("l_returnflag") == "A", True).when(c("l_returnflag") == "R", False)
+    own = li.select(mode.alias("mode"), (c("l_discount") > 0.05).alias("ok"), outcome.alias("outcome"), (c("l_quantity") < 20).alias("missed"), unit.alias("unit_ok"), (c("l_linenumber") == 4).alias("ambiguous"))
+    own = own.withColumn("r", B.decide(c("ok"), c("outcome"), c("missed"), c("unit_ok"), c("ambiguous"), c("mode")))
+    return own.groupBy("mode", "ok", "outcome", "missed", "unit_ok", "ambiguous", c("r.bucket").alias("bucket"), c("r.outcome").alias("decision")).agg(F.count("*").alias("n"))
 
 
 def _families(spark, d):
@@ -202,9 +207,8 @@ def document_tokens(spark, d):
 
 
 def document_phones(spark, d):
-    """First phone-like and price-like text of each document."""
-    t = F.col("text")
-    return V.read(spark, d, "documents").select("doc_id", F.regexp_extract(t, r"\+?[0-9]+ \([0-9]{3}\) [0-9]{3}-[0-9]{4}", 0).alias("phone"), F.regexp_extract(t, r"[0-9]+\.[0-9]+", 0).alias("decimal_text"))
+    """The telephone number that each document's text gives as a contact."""
+    return V.read(spark, d, "documents").select("doc_id", G.contacts(F.col("text"))["phone"].alias("phone"))
 
 
 def search_queries(spark, d):
@@ -238,11 +242,12 @@ def alias_clusters(spark, d):
 
 
 def header_scores(spark, d):
-    """Column names of a sheet against a small role vocabulary: containment either way, best role first."""
-    roles = spark.createDataFrame([("name", "name"), ("spec", "type"), ("brand", "brand"), ("size", "size"), ("price", "price"), ("id", "key")], "role string, word string")
-    heads = spark.createDataFrame([(c,) for c in V.read(spark, d, "part").columns], "header string")
-    j = heads.join(F.broadcast(roles), F.contains("header", F.col("word")), "left")
-    return j.groupBy("header").agg(F.max(F.struct(F.length("word").alias("score"), "role")).alias("m")).select("header", F.coalesce("m.role", F.lit("unknown")).alias("role"), F.coalesce("m.score", F.lit(0)).alias("score"))
+    """Cells made of a header word, alone or with what parts are called before or behind it, and the role that each is read as."""
+    words = F.array(*map(F.lit, HEADER_WORDS))
+    k = F.col("p_partkey")
+    word = F.element_at(words, (k % len(HEADER_WORDS) + 1).cast("int"))
+    text = F.when(k % 3 == 0, word).when(k % 3 == 1, F.concat(word, F.col("p_type"))).otherwise(F.concat(F.col("p_name"), word))
+    return SC.scored(V.read(spark, d, "part").select(text.alias("text"))).groupBy("text", "role").agg(F.count("*").alias("n"), F.max(F.round("score", 6)).alias("score"))
 
 
 QUERIES = {f.__name__: f for f in (
@@ -253,6 +258,7 @@ QUERIES = {f.__name__: f for f in (
     alias_clusters,
 )}
 
+_HINTS = ", ".join(f"({i}, '{role}', '{hint}', {SC.PRIORITY[role]})" for i, (role, hint) in enumerate((r, h) for r, hs in SC.HINTS.items() for h in hs))
 _A = f"WITH {V.ATTEMPTS}"
 _FAIL = f"""{_A}, n AS (SELECT item_id, bool_or(formal) AS formal, bool_or(contains(status, 'rate_limited')) AS limited, bool_or(contains(status, 'no_membership')) AS login, bool_or(contains(status, 'captcha')) AS captcha,
   bool_or(match_detail <> '') AS matched, count(*) FILTER (contains(match_detail, '名称未命中')) AS name_n, count(*) FILTER (contains(match_detail, '规格冲突')) AS conflict_n,
@@ -295,14 +301,14 @@ g AS (SELECT *, CASE match WHEN 'exact' THEN 'allow_formal' WHEN 'province' THEN
 o AS (SELECT match, gate, CASE WHEN gate = 'reject' THEN 'discard' WHEN gate = 'review' AND b IN ('formal', 'discard') THEN 'candidate' ELSE b END AS bucket FROM g)
 SELECT match, gate, bucket, count(*) AS n FROM o GROUP BY 1, 2, 3""",
     "region_priority": "SELECT c_custkey, COALESCE(CASE WHEN c_acctbal < 0 THEN c_mktsegment END, n_name, 'UNSPECIFIED') AS region, CASE WHEN c_acctbal < 0 AND c_mktsegment IS NOT NULL THEN 'row' WHEN n_name IS NOT NULL THEN 'default' ELSE 'none' END AS source FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey AND n_regionkey < 3",
-    "bucket_matrix": """WITH g AS (SELECT * FROM (VALUES ('strict'), ('practical'), ('loose')) a(mode), (VALUES (true), (false)) b(ok), (VALUES ('accept'), ('review'), ('reject')) c(outcome),
-  (VALUES (true), (false)) d(missed), (VALUES (true), (false), (NULL)) e(unit_ok), (VALUES (true), (false)) f(ambiguous)),
+    "bucket_matrix": """WITH g AS (SELECT ['strict', 'practical', 'loose'][l_orderkey % 3 + 1] AS mode, l_discount > 0.05::DOUBLE AS ok, ['accept', 'review', 'reject'][l_suppkey % 3 + 1] AS outcome, l_quantity < 20 AS missed,
+  CASE l_returnflag WHEN 'A' THEN true WHEN 'R' THEN false END AS unit_ok, l_linenumber = 4 AS ambiguous FROM lineitem),
 r AS (SELECT *, CASE WHEN ambiguous THEN CASE WHEN missed AND mode <> 'loose' THEN 'discard/reject' WHEN mode = 'strict' THEN 'discard/review' ELSE 'candidate/review' END
   WHEN unit_ok = false THEN CASE WHEN mode = 'strict' OR missed THEN 'discard/reject' ELSE 'candidate/review' END
   WHEN ok THEN 'formal/accept' WHEN mode = 'strict' THEN CASE WHEN outcome = 'review' THEN 'candidate/review' ELSE 'discard/' || outcome END
   WHEN missed THEN CASE WHEN mode = 'practical' THEN 'discard/reject' ELSE 'candidate/review' END
   WHEN outcome = 'reject' AND mode = 'practical' THEN 'discard/reject' ELSE 'candidate/review' END AS x FROM g)
-SELECT mode, ok, outcome, missed, unit_ok, ambiguous, split_part(x, '/', 1) AS bucket, split_part(x, '/', 2) AS decision FROM r""",
+SELECT mode, ok, outcome, missed, unit_ok, ambiguous, split_part(x, '/', 1) AS bucket, split_part(x, '/', 2) AS decision, count(*) AS n FROM r GROUP BY ALL""",
     "families": f"{_FAM} SELECT family_key, min(item_id) AS first_item, count(*) AS members, count(DISTINCT spec) AS sizes, min(name) AS main_query FROM r GROUP BY 1",
     "family_shared_queries": f"{_FAM} SELECT family_key, 2 * count(*) AS alone, 1 + count(DISTINCT spec) AS shared FROM r GROUP BY 1",
     "alias_pairs": f"{_PAIRS} SELECT * FROM pairs",
@@ -327,7 +333,7 @@ SELECT domain, CASE WHEN domain = '' OR domain = 'baidu.com' OR ends_with(domain
     "document_tokens": """WITH l AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN ['DS-' || CAST(doc_id % 7 + 10 AS VARCHAR) || 'K', 'DN' || CAST(doc_id % 5 * 10 + 50 AS VARCHAR), '24V', '设备']
   ELSE ['DS-' || CAST(doc_id % 7 + 10 AS VARCHAR) || 'K', 'DN' || CAST(doc_id % 5 * 10 + 50 AS VARCHAR), 'XG77', '设备'] END AS t FROM documents),
 w AS (SELECT doc_id, unnest(t) AS token, unnest(range(0, len(t))) AS place FROM l) SELECT CAST(place AS INTEGER) AS place, token, count(*) AS n, min(doc_id) AS first_doc FROM w GROUP BY 1, 2""",
-    "document_phones": "SELECT doc_id, regexp_extract(text, '\\+?[0-9]+ \\([0-9]{3}\\) [0-9]{3}-[0-9]{4}') AS phone, regexp_extract(text, '[0-9]+\\.[0-9]+') AS decimal_text FROM documents",
+    "document_phones": "SELECT doc_id, coalesce(nullif(regexp_extract(coalesce(text, ''), '1[3-9]\\d{9}'), ''), regexp_extract(coalesce(text, ''), '0\\d{2,3}[-–—\\s]?\\d{7,8}')) AS phone FROM documents",
     "search_queries": f"""WITH {V.ITEMS}, f AS (SELECT item_id, brand, substring(trim(name), 1, 24) AS core, substring(trim(name), 1, 28) AS short, spec FROM items),
 q AS (SELECT item_id, 'yize' AS platform, list_distinct(list_filter([core, core || ' ' || spec, CASE WHEN length(short) <= 16 THEN short END, brand || ' ' || core], lambda x: length(x) BETWEEN 2 AND 40)) AS d,
     list_filter([core, core || ' ' || spec, CASE WHEN length(short) <= 16 THEN short END, brand || ' ' || core], lambda x: length(x) BETWEEN 2 AND 40) AS l, 3 AS n FROM f
@@ -340,5 +346,10 @@ l AS (SELECT * FROM k WHERE n = 1) SELECT user_id, event_type, event_id, value F
     "history_delete": "SELECT event_id, user_id, event_type, value FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'error' AND value > 150)",
     "alias_clusters": f"{_PAIRS.replace('WITH', 'WITH RECURSIVE', 1).replace('PARTITION BY word', 'PARTITION BY word, length(name)')}, e AS (SELECT name_a AS u, name_b AS v FROM pairs WHERE length(name_a) = length(name_b) UNION SELECT name_b, name_a FROM pairs WHERE length(name_a) = length(name_b)), reach AS (SELECT u AS name, u AS other FROM e UNION SELECT r.name, e.v FROM reach r JOIN e ON e.u = r.other) SELECT name, min(other) AS cluster FROM reach GROUP BY 1",
     "hard_tags": f"WITH {V.ITEMS} SELECT item_id, spec AS tags, spec AS must FROM items",
-    "header_scores": "WITH h AS (SELECT unnest(['p_partkey','p_name','p_brand','p_type','p_size','p_retailprice']) AS header), r AS (SELECT * FROM (VALUES ('name','name'),('spec','type'),('brand','brand'),('size','size'),('price','price'),('id','key')) v(role, word)) SELECT header, COALESCE(arg_max(role, length(word)), 'unknown') AS role, CAST(COALESCE(max(length(word)), 0) AS INTEGER) AS score FROM h LEFT JOIN r ON contains(header, word) GROUP BY 1",
+    "header_scores": f"""WITH h(ord, role, hint, priority) AS (VALUES {_HINTS}), p AS (SELECT *, {list(HEADER_WORDS)}[p_partkey % {len(HEADER_WORDS)} + 1] AS w FROM part),
+c AS (SELECT CASE p_partkey % 3 WHEN 0 THEN w WHEN 1 THEN w || p_type ELSE p_name || w END AS text FROM p),
+m AS (SELECT DISTINCT text, ord, role, priority, CASE WHEN hint = text THEN 1.0::DOUBLE WHEN hint = '单价' THEN 0.55::DOUBLE WHEN hint = '名称' AND NOT regexp_matches(text, '材料|设备|项目') THEN least(0.85::DOUBLE, 0.7::DOUBLE) ELSE 0.85::DOUBLE END + priority / 2000.0::DOUBLE AS s
+  FROM c JOIN h ON contains(text, hint) OR contains(hint, text) WHERE length(text) <= 40),
+b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY text ORDER BY s DESC, ord) AS k FROM m) WHERE k = 1)
+SELECT c.text, role, count(*) AS n, round(least(1.0::DOUBLE, coalesce(max(s), 0)), 6) AS score FROM c LEFT JOIN b ON c.text = b.text GROUP BY ALL""",
 }
