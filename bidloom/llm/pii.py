@@ -376,7 +376,8 @@ def find(text: str | None) -> list[tuple[int, int, str, str]]:
                 own = own.rpartition(" ")[0]
             if 15 <= len(own.replace(" ", "")) <= 34:
                 found.append((m.start(), m.start() + len(own), "iban", own.replace(" ", "")))
-        found += [(*m.span(), "card", re.sub(r"\D", "", m[0])) for m in _CARD.finditer(text)]
+        cards = ((m, re.sub(r"\D", "", m[0])) for m in _CARD.finditer(text))
+        found += [(*m.span(), "card", d) for m, d in cards if _check(d[:-1]) == int(d[-1])]  # other long numbers are articles, orders or times
         others, whole = [x[0] for x in found if x[2] in ("ip", "ssn")], set()
         for m in _PHONE.finditer(text):
             code, digits = m[1] or m[2] or "", re.sub(r"\D", "", m[0])

@@ -186,3 +186,10 @@ def test_words_decide_as_a_search_of_the_whole_text_does():
         words = pii._words(text)
         for low in ("karl", "heinz", "karl-heinz", "anna-maria", "maria-luise", "x-karl", "maria", "é", "ü-é", "karl-9"):
             assert (low in words) == bool(re.search(rf"(?<!\w){re.escape(low)}(?!\w)", text)), (text, low)
+
+
+def test_long_numbers_are_cards_by_their_check_digit_only():
+    for text in ("order 1234567890123 sent", "EAN 4006381333931x", "at 1700000000000000001 ns", "no. 4111 1111 1111 1112"):
+        assert [x[2] for x in pii.find(text)] == [], text
+    for text in ("card 4111 1111 1111 1111 here", "378282246310005", "5555-5555-5555-4444"):
+        assert [x[2] for x in pii.find(text)] == ["card"], text
