@@ -38,8 +38,8 @@ from pyspark.sql import types as T
 from bidloom.llm import common
 
 PARTS, ENTRIES, ROUNDS, SCALE = 16, 64, 2, 256
-#: Entries that a part's list holds after the first round; later rounds adapt it.
-START = 8
+#: Entries that a part's list holds after the first round, a quarter of a full codebook; later rounds adapt it.
+START = 16
 #: Of the parts that must look beyond their own entry, the share that the adapted list serves.
 COVER = 0.95
 LARGEST = 2.0**18
