@@ -16,6 +16,11 @@ UNITS = {
 STOP_WORDS = "有效长度 长度 宽度 高度 厚度 口径 截面 外形尺寸 外形 规格 型号 名称 品牌 单位 数量 备注 功率 电压 色温 角度".split()
 
 
+def let(value: Column, use) -> Column:
+    """``use`` of a value that is worked out once, however often it stands in there; elements of arrays would else have it worked out for each."""
+    return F.transform(F.array(value), use)[0]
+
+
 def collapse_cjk_spaces(text: Column) -> Column:
     """No white space between two CJK characters, single spaces elsewhere, trimmed."""
     one = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)[\s　]+", " ")
@@ -132,8 +137,10 @@ def tokens(text: Column, most: int = 28) -> Column:
     codes = F.filter(every(r"(?i)[A-Z]{1,6}[-_]?\d{2,}[A-Z0-9\-_/.]*"), lambda x: F.length(x) >= 4)
     words = F.filter(every(f"[{CJK}]{{2,8}}"), lambda x: ~x.isin(*STOP_WORDS))
     both = F.filter(F.concat(models, sizes, values, codes, words), lambda x: F.length(x) >= 2)
-    keys = F.transform(both, lambda x: F.lower(x))
-    return F.slice(F.filter(both, lambda x, i: F.array_position(keys, F.lower(x)) == i + 1), 1, most)
+    keyed = F.transform(both, lambda x: F.struct(x.alias("x"), F.lower(x).alias("key")))
+    first = lambda own, keys: F.filter(own, lambda x, i: F.array_position(keys, x["key"]) == i + 1)
+    kept = let(keyed, lambda own: let(F.transform(own, lambda x: x["key"]), lambda keys: first(own, keys)))
+    return F.transform(F.slice(kept, 1, most), lambda x: x["x"])
 
 
 def title_score(title: Column, must: Column) -> Column:

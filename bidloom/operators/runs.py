@@ -93,16 +93,11 @@ def target_region(item: Column | None, raw: Column, task: Column | None, default
     return F.coalesce(*found, made(nothing, "unspecified"))
 
 
-def _let(value: Column, use) -> Column:
-    """``use`` of a value that is worked out once, however often it stands in there; elements of arrays would else have it worked out for each."""
-    return F.transform(F.array(value), use)[0]
-
-
 def _first_of(words: Column) -> Column:
     """Words whose normal form is two characters or more, each form once."""
     held = lambda w: F.transform(w, lambda x: F.struct(x.alias("w"), T.norm(x).alias("k")))
     first = lambda own, keys: F.filter(own, lambda x, i: (F.length(x["k"]) >= 2) & (F.array_position(keys, x["k"]) == i + 1))
-    return F.transform(_let(held(words), lambda own: _let(F.transform(own, lambda x: x["k"]), lambda keys: first(own, keys))), lambda x: x["w"])
+    return F.transform(T.let(held(words), lambda own: T.let(F.transform(own, lambda x: x["k"]), lambda keys: first(own, keys))), lambda x: x["w"])
 
 
 def name_words(name: Column) -> Column:
@@ -119,13 +114,13 @@ def name_words(name: Column) -> Column:
     def kept(own: Column, name: Column) -> Column:
         left = F.filter(own, lambda x, i: ~F.exists(F.slice(own, 1, i), lambda y: F.contains(y["low"], x["low"])))
         whole = F.when(name != "", F.array(F.substring(name, 1, 6))).otherwise(F.array().cast("array<string>"))
-        return _let(F.transform(left, lambda x: x["w"]), lambda w: F.when(F.size(w) > 0, F.slice(w, 1, 4)).otherwise(whole))
+        return T.let(F.transform(left, lambda x: x["w"]), lambda w: F.when(F.size(w) > 0, F.slice(w, 1, 4)).otherwise(whole))
 
     def of(own: Column) -> Column:
         bare = F.coalesce(F.nullif(T.peel_dimensions(own), F.lit("")), own)
-        return _let(bare, lambda b: _let(M.core_name(b), lambda c: _let(words(b, c), lambda w: kept(w, own))))
+        return T.let(bare, lambda b: T.let(M.core_name(b), lambda c: T.let(words(b, c), lambda w: kept(w, own))))
 
-    return _let(N.material_name(F.coalesce(name, F.lit(""))), of)
+    return T.let(N.material_name(F.coalesce(name, F.lit(""))), of)
 
 
 def required_tokens(spec: Column, name: Column) -> Column:
@@ -135,16 +130,16 @@ def required_tokens(spec: Column, name: Column) -> Column:
     others = lambda known: F.filter(M.every(spec, f"[{T.CJK}]{{2,6}}"), lambda w: ~w.isin(*T.STOP_WORDS) & ~F.contains(known, w))
     found = F.concat(
         M.every(both, rf"(?i){S.PREFIXES}[A-Z0-9/\-.()]+"), bare(M.every(both, r"(?iu)(?:DN|φ)\s*\d{2,4}(?:\s*[×xX*]\s*\d+(?:\.\d+)?)?")), bare(M.every(both, r"(?i)\d+(?:\.\d+)?\s*(?:kW|W|V|mm|MPa|TB|T)")),
-        M.every(both, r"(?i)[A-Z]{1,5}\d{3,}[A-Z0-9\-]*"), _let(F.array_join(name_words(name), ""), others),
+        M.every(both, r"(?i)[A-Z]{1,5}\d{3,}[A-Z0-9\-]*"), T.let(F.array_join(name_words(name), ""), others),
     )
     whole = F.regexp_replace(spec, r"(?U)\s+", "")
-    return _let(F.slice(_first_of(found), 1, 16), lambda kept: F.when(F.size(kept) > 0, kept).when(F.length(whole).between(2, 40), F.array(whole)).otherwise(kept))
+    return T.let(F.slice(_first_of(found), 1, 16), lambda kept: F.when(F.size(kept) > 0, kept).when(F.length(whole).between(2, 40), F.array(whole)).otherwise(kept))
 
 
 def name_must(name: Column, spec: Column) -> Column:
     """Up to eight words that a hit must show: the name's and the first four of the specification."""
     both = F.slice(F.concat(name_words(name), F.slice(required_tokens(spec, name), 1, 4)), 1, 8)
-    return _let(both, lambda x: F.when(F.size(x) > 0, x).otherwise(F.array(F.substring(F.coalesce(name, F.lit("")), 1, 4))))
+    return T.let(both, lambda x: F.when(F.size(x) > 0, x).otherwise(F.array(F.substring(F.coalesce(name, F.lit("")), 1, 4))))
 
 
 def run_meta(spark, run_id: str, input_path: str, platforms: list[str], k: int | None = None, mode: str = "", created_at: Column | None = None, funnel: DataFrame | None = None, stats: DataFrame | None = None, extra: dict[str, str] | None = None) -> DataFrame:

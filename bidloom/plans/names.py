@@ -46,16 +46,15 @@ def material_names(spark, d):
     return V.items(spark, d).select("item_id", N.without_places(raw).alias("bare"), N.material_name(raw).alias("material"), N.name_key(raw).alias("name_key"), N.without_hard_specs(raw).alias("shared"))
 
 
-# token; electrical; bore or pressure; chain of both; measurement
-TOKENS = (
-    ("AC220V", 1, 0, 0, 1), ("400W/m", 1, 0, 0, 1), ("IP68", 1, 0, 0, 1), ("3500K", 1, 0, 0, 1), ("DN100", 0, 1, 0, 0), ("PN1.6", 0, 1, 0, 0), ("400W/AC220V/IP68", 0, 0, 1, 0),
-    ("DN100/PN16", 0, 0, 1, 0), ("DS-2CD", 0, 0, 0, 0), ("XG1/24V", 0, 0, 0, 0), ("10A", 1, 0, 0, 0),
-)
-
-
 def token_kinds(spark, d):
-    t = _of(tuple(x[0] for x in TOKENS), F.col("item_id"))
-    rows = V.items(spark, d).select(t.alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    """Values made of the numbers of line items and parts with units and prefixes, alone, in chains and glued to words, and what kind each is."""
+    k, q = F.col("l_orderkey") % 13, F.col("l_quantity").cast("int").cast("string")
+    price = F.round("l_extendedprice", 1).cast("decimal(18,1)").cast("string")
+    forms = [("", "V"), ("AC", "V"), ("dc ", " v"), ("", "W/m"), ("", " W / 米"), ("IP", ""), ("", "00K"), ("DN", "0"), ("φ ", "×2.5"), ("PN", ""), ("DN", "/PN16"), ("DS-", "CD"), ("", "A/AC220V")]
+    token = F.concat(F.lit(forms[0][0]), q, F.lit(forms[0][1]))
+    for i, (before, behind) in enumerate(forms):
+        token = F.when(k == i, F.concat(F.lit(before), F.when(F.col("l_linenumber") % 3 == 0, price).otherwise(q), F.lit(behind))).otherwise(token)
+    rows = V.read(spark, d, "lineitem").select(token.alias("token")).groupBy("token").agg(F.count("*").alias("n"))
     c = F.col("token")
     return rows.select("token", "n", N.electrical(c).alias("electrical"), N.bore_or_pressure(c).alias("bore"), N.attribute_chain(c).alias("chain"), N.measurement(c).alias("measurement"))
 
@@ -86,12 +85,15 @@ def addresses(spark, d):
     return i.select("item_id", N.unwrapped(href).alias("address"), N.percent(query).alias("once"), N.percent_twice(query).alias("twice"), N.percent_gbk(F.lit("阀门 a")).alias("gbk"), N.list_address(F.lit("管 1")).alias("list"))
 
 
-PRICES = ("¥ 12 . 5 起 ¥30 ¥30", "约 18.5元 或 20 元/台", "￥0.01 ￥99", "无价 2024年", "")
-
-
 def price_numbers(spark, d):
-    t = _of(PRICES, F.col("item_id"))
-    return V.items(spark, d).select(F.array_join(F.transform(N.price_numbers(t), lambda x: x.cast("string")), "|").alias("prices"), N.shop_price_text(t).alias("shown")).groupBy("prices", "shown").agg(F.count("*").alias("n"))
+    """The prices that a text with the price and the quantity of a line item tells, with and without currency marks, some too low or split by spaces."""
+    k, price, q = F.col("l_orderkey") % 5, F.col("l_extendedprice").cast("decimal(18,2)").cast("string"), F.col("l_quantity").cast("int").cast("string")
+    text = (
+        F.when(k == 0, F.concat(F.lit("￥"), price, F.lit(" 或 "), q, F.lit(" 元"))).when(k == 1, F.concat(q, F.lit("元/台 共 "), price, F.lit(" 元，"), q, F.lit("元")))
+        .when(k == 2, F.concat(F.lit("¥ "), F.regexp_replace(price, r"\.", " . "), F.lit(" ¥0.01"))).when(k == 3, F.concat(F.lit("¥99999999 ¥"), q)).otherwise(price)
+    )
+    rows = V.read(spark, d, "lineitem").select(F.array_join(F.transform(N.price_numbers(text), lambda x: x.cast("decimal(18,2)").cast("string")), "|").alias("prices"), k.alias("form"))
+    return rows.groupBy("form", "prices").agg(F.count("*").alias("n"))
 
 
 # Confirmed and denied names, and titles by item: alike by rule, confirmed, denied, unknown, blank.
@@ -152,17 +154,13 @@ def inquiry_scores(spark, d):
     return S.inquiry_scores(_sheets(spark, d))
 
 
-# address; quality
-ADDRESSES = (
-    ("https://www.baidu.com/s?wd=1", "block"), ("https://zhidao.baidu.com/q", "block"), ("https://a.com/login?x=1", "block"), ("https://passport.a.com/", "block"),
-    ("https://seo.example.com/p", "low"), ("https://www.ccgp-sichuan.gov.cn/seo", "high"), ("http://b2b.hc360.com/x", "high"), ("https://shop.example.com/p?login", "medium"),
-    ("http://example.org/", "low"), ("not an address", "block"),
-)
-
-
 def source_quality(spark, d):
-    u = _of(tuple(a for a, _ in ADDRESSES), F.col("page_id"))
-    return V.read(spark, d, "pages").select("page_id", G.quality(u).alias("quality"))
+    """The quality of each page as a source, by its address and title; addresses of some are in upper case, of sign-in pages or with a port."""
+    k = F.col("page_id") % 6
+    url = F.when(k == 0, F.upper("url")).when(k == 1, F.regexp_replace("url", r"^([a-z]+://[^/]*)", "$1:8080")).when(k == 2, F.regexp_replace("url", r"^([a-z]+://[^/]*)", "$1/Login")).otherwise(F.col("url"))
+    title = F.when(k == 3, F.concat(F.col("t"), F.lit(" 转载"))).when(k == 4, F.concat(F.lit("Manufacturer "), F.col("t"))).otherwise(F.col("t"))
+    pages = V.read(spark, d, "pages").withColumn("t", G.title(F.col("html")))
+    return pages.select("page_id", G.quality(url, title).alias("quality"))
 
 
 # text; province, city, city code, strategy
@@ -224,12 +222,17 @@ QUERIES = {f.__name__: f for f in (
 
 _COLS = lambda rows, k: tuple(x[k] for x in rows)
 _QUERY = "lower(trim(regexp_replace(upper(name) || '  DN50 dn50 ', '\\s+', ' ', 'g')))"
-_BOOL = lambda k, name: f"({_list(_COLS(TOKENS, k))}[k + 1] = '1') AS {name}"
 _STATUS = PQ.ORACLE["item_status"]
 
 ORACLE = {
     "material_names": f"WITH {V.ITEMS} SELECT item_id, {_pick(_COLS(NAMES, 1), 'item_id', 'bare')}, {_pick(_COLS(NAMES, 2), 'item_id', 'material')}, {_pick(_COLS(NAMES, 3), 'item_id', 'name_key')}, {_pick(_COLS(NAMES, 4), 'item_id', 'shared')} FROM items",
-    "token_kinds": f"WITH {V.ITEMS}, k AS (SELECT item_id % {len(TOKENS)} AS k, count(*) AS n FROM items GROUP BY 1) SELECT {_list(_COLS(TOKENS, 0))}[k + 1] AS token, n, {_BOOL(1, 'electrical')}, {_BOOL(2, 'bore')}, {_BOOL(3, 'chain')}, {_BOOL(4, 'measurement')} FROM k",
+    "token_kinds": r"""WITH f AS (SELECT ['', 'AC', 'dc ', '', '', 'IP', '', 'DN', 'φ ', 'PN', 'DN', 'DS-', ''][l_orderkey % 13 + 1] AS a, ['V', 'V', ' v', 'W/m', ' W / 米', '', '00K', '0', '×2.5', '', '/PN16', 'CD', 'A/AC220V'][l_orderkey % 13 + 1] AS b,
+  CASE WHEN l_linenumber % 3 = 0 THEN CAST(round(CAST(l_extendedprice AS DECIMAL(18, 2)), 1) AS DECIMAL(18, 1))::VARCHAR ELSE CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) END AS v FROM lineitem),
+t AS (SELECT a || v || b AS token, count(*) AS n FROM f GROUP BY 1),
+e AS (SELECT *, '^(?i:(?:AC|DC)\s*\d+(?:\.\d+)?\s*V|\d+(?:\.\d+)?\s*W(?:\s*/\s*(?:m|米))?|IP\s*\d\d|\d{3,5}\s*K|(?:AC|DC)?\d+(?:\.\d+)?[VWAK])$' AS el, '^(?i:(?:DN|φ)\s*\d+(?:\.\d+)?(?:\s*[×xX*]\s*\d+(?:\.\d+)?)?|PN\s*\d+(?:\.\d+)?)$' AS bo FROM t)
+SELECT token, n, regexp_matches(token, el) AS electrical, regexp_matches(token, bo) AS bore,
+  contains(token, '/') AND len(string_split(token, '/')) >= 2 AND len(list_filter(string_split(token, '/'), lambda p: NOT (regexp_matches(trim(p), el) OR regexp_matches(trim(p), bo)))) = 0 AS chain,
+  regexp_matches(replace(token, ' ', ''), '^(?i:(?:AC|DC)?\d+(?:\.\d+)?(?:V|W|W/m|K)|IP\d\d)$') AS measurement FROM e""",
     "platform_ids": f"SELECT s_suppkey, {_pick(PLATFORM_IDS, 's_suppkey', 'platform')}, {_pick(PLATFORM_DOMAINS, 's_suppkey', 'domain')} FROM supplier",
     "cache_keys": f"""WITH {V.ITEMS}, q AS (SELECT item_id, {_QUERY} AS q, lower(name) AS name, lower(spec) AS spec FROM items)
 SELECT item_id, substring(sha256('jd|' || CASE WHEN item_id % 2 = 0 THEN '510100' ELSE 'UNSPECIFIED' END || '|' || replace(q, 'dn50 dn50', 'dn50') || '|market||tax_incl'), 1, 32) AS pool_key,
@@ -238,7 +241,8 @@ SELECT item_id, substring(sha256('jd|' || CASE WHEN item_id % 2 = 0 THEN '510100
     "addresses": f"""WITH {V.ITEMS}, q AS (SELECT item_id, replace(name, ' ', '%20') || '%20%E9%98%80%2A' AS once FROM items)
 SELECT item_id, CASE item_id % 3 WHEN 0 THEN 'https://a.example.com/' || CAST(item_id AS VARCHAR) WHEN 1 THEN 'https://b.example.com/' || CAST(item_id AS VARCHAR) ELSE '/c' END AS address,
   once, replace(once, '%', '%25') AS twice, '%B7%A7%C3%C5%20a' AS gbk, 'https://gd.zjtcn.com/shichangjia/list/c_t_d_k_%E7%AE%A1%201.html' AS list FROM q""",
-    "price_numbers": f"WITH {V.ITEMS} SELECT ['12.5|30.0', '18.5|20.0', '99.0', '', ''][item_id % 5 + 1] AS prices, ['¥ 12.5 起 ¥30 ¥30', '约 18.5元 或 20 元/台', '￥0.01 ￥99', '无价 2024年', ''][item_id % 5 + 1] AS shown, count(*) AS n FROM items GROUP BY 1, 2",
+    "price_numbers": r"""WITH l AS (SELECT l_orderkey % 5 AS form, CAST(l_extendedprice AS DECIMAL(18, 2)) AS p, CAST(CAST(l_quantity AS INTEGER) AS DECIMAL(18, 2)) AS q FROM lineitem)
+SELECT form, CASE form WHEN 0 THEN p::VARCHAR WHEN 1 THEN CASE WHEN p = q THEN q::VARCHAR ELSE q::VARCHAR || '|' || p::VARCHAR END WHEN 2 THEN p::VARCHAR WHEN 3 THEN q::VARCHAR ELSE '' END AS prices, count(*) AS n FROM l GROUP BY 1, 2""",
     "name_decisions": f"WITH {V.ITEMS} SELECT item_id, ['same', 'same', 'different', 'unknown', 'unknown'][item_id % 5 + 1] AS decision, ['rule', 'local_alias', 'local_negative', '', ''][item_id % 5 + 1] AS source FROM items",
     "spec_after_name": f"""WITH {V.ITEMS}, i AS (SELECT item_id, item_id % 5 AS k, item_id % 2 = 0 AS fits FROM items WHERE item_id % 5 < 3)
 SELECT item_id, CASE WHEN k = 2 THEN 'different' ELSE 'same' END AS decision, CASE WHEN k < 2 AND fits THEN 'accept' WHEN k = 2 THEN 'reject' WHEN k < 2 THEN 'reject' END AS outcome, k < 2 AND fits AS ok,
@@ -249,7 +253,11 @@ SELECT 's' || CAST(k AS VARCHAR) AS sheet, CAST(3 AS INTEGER) AS header_row, CAS
     "schema_cache": """WITH f AS (SELECT 'f' || CAST(n_nationkey % 5 AS VARCHAR) AS file, count(*) FILTER (n_nationkey % 4 <> 3) AS n FROM nation GROUP BY 1)
 SELECT file, CASE WHEN file < 'f3' THEN 'cache' ELSE 'rule' END AS source, CAST(n AS INTEGER) AS n_sheets, CAST(24 AS INTEGER) AS digits FROM f""",
     "inquiry_scores": "SELECT 'f' || CAST(n_nationkey % 5 AS VARCHAR) AS file, sum(CASE n_nationkey % 4 WHEN 0 THEN 112 WHEN 2 THEN 20 ELSE 0 END)::BIGINT AS content_score FROM nation GROUP BY 1",
-    "source_quality": f"SELECT page_id, {_pick(_COLS(ADDRESSES, 1), 'page_id', 'quality')} FROM pages",
+    "source_quality": r"""WITH p AS (SELECT page_id, page_id % 6 AS k, regexp_extract(url, '^[a-z]+://(?:www\.)?([^/?#:]*)', 1) AS host, lower(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1)) AS path, lower(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) AS t FROM pages),
+b AS (SELECT *, lower(host) || ' ' || t || CASE k WHEN 3 THEN ' 转载' WHEN 4 THEN ' manufacturer' ELSE '' END AS blob FROM p)
+SELECT page_id, CASE WHEN host = '' OR k = 2 OR contains(host, 'passport') OR regexp_matches(path, '/login|/signin|/passport|/auth/|/baidu[.]php') THEN 'block'
+  WHEN regexp_matches(blob, '采集|转载|seo|知道|文库|百家号|贴吧') AND NOT regexp_matches(host, '[.]gov[.]cn|ccgp|ggzy') THEN 'low'
+  WHEN regexp_matches(blob, '[.]gov[.]cn|ccgp|ggzy|zfcg|1688[.]com|made-in-china|hc360|globalsources|manufacturer') THEN 'high' WHEN regexp_matches(host, '[.](com|cn)$') THEN 'medium' ELSE 'low' END AS quality FROM b""",
     "region_parse": f"SELECT c_custkey, {_pick(_COLS(REGIONS, 1), 'c_custkey', 'province')}, {_pick(_COLS(REGIONS, 2), 'c_custkey', 'city')}, {_pick(_COLS(REGIONS, 3), 'c_custkey', 'city_code')}, {_pick(_COLS(REGIONS, 4), 'c_custkey', 'strategy')} FROM customer",
     "contact_fields": """WITH s AS (SELECT s_suppkey, '甲' || CAST(s_suppkey AS VARCHAR) AS c, CASE WHEN s_suppkey % 2 = 0 THEN '138' || lpad(CAST(s_suppkey AS VARCHAR), 8, '0') ELSE '028-8888' || lpad(CAST(s_suppkey % 10000 AS VARCHAR), 4, '0') END AS p FROM supplier)
 SELECT s_suppkey, c AS hit_supplier, p AS hit_phone, '张三' AS hit_contact, c AS supplier, p AS phone, '张三' AS contact FROM s""",

@@ -199,11 +199,8 @@ def url_dedupe(spark, d):
 
 
 def document_tokens(spark, d):
-    """Model codes, sizes and words of a label of each document, and how many labels hold each."""
-    n = F.col("doc_id")
-    label = F.concat(F.lit("设备 DS-"), (n % 7 + 10).cast("string"), F.lit("K DN "), (n % 5 * 10 + 50).cast("string"), F.when(n % 2 == 0, " 24 V").otherwise(" XG77"))
-    words = V.read(spark, d, "documents").select("doc_id", F.posexplode(T.tokens(label)).alias("place", "token"))
-    return words.groupBy("place", "token").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"))
+    """Model codes, sizes, electrical values, mixed codes and words of each document's whole text."""
+    return V.read(spark, d, "documents").select("doc_id", F.array_join(T.tokens(F.col("text")), "|").alias("tokens"))
 
 
 def document_phones(spark, d):
@@ -330,9 +327,13 @@ SELECT domain, CASE WHEN domain = '' OR domain = 'baidu.com' OR ends_with(domain
   WHEN regexp_matches(domain, '[.]gov[.]cn|ccgp|ggzy|zfcg|1688[.]com|made-in-china|hc360|globalsources|manufacturer') THEN 'high' WHEN regexp_matches(domain, '[.](com|cn)$') THEN 'medium' ELSE 'low' END AS quality,
   count(*) AS n, min(page_id) AS first_page FROM h GROUP BY 1, 2""",
     "url_dedupe": "SELECT lower(regexp_replace(regexp_extract(url, '^([^?#]*)', 1), '/+$', '')) AS address, min(page_id) AS page_id, count(*) AS n FROM pages GROUP BY 1",
-    "document_tokens": """WITH l AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN ['DS-' || CAST(doc_id % 7 + 10 AS VARCHAR) || 'K', 'DN' || CAST(doc_id % 5 * 10 + 50 AS VARCHAR), '24V', '设备']
-  ELSE ['DS-' || CAST(doc_id % 7 + 10 AS VARCHAR) || 'K', 'DN' || CAST(doc_id % 5 * 10 + 50 AS VARCHAR), 'XG77', '设备'] END AS t FROM documents),
-w AS (SELECT doc_id, unnest(t) AS token, unnest(range(0, len(t))) AS place FROM l) SELECT CAST(place AS INTEGER) AS place, token, count(*) AS n, min(doc_id) AS first_doc FROM w GROUP BY 1, 2""",
+    "document_tokens": r"""WITH d AS (SELECT doc_id, replace(coalesce(text, ''), chr(10), ' ') AS t FROM documents),
+f AS (SELECT doc_id, list_filter(list_concat(regexp_extract_all(t, '(?i)(?:DS-|RG-|ST|iDS-|HM-|JB-|MS-|LRS-|GTYQ-|ZN-|WDZN-)[A-Z0-9/\-.()]+'),
+  list_transform(regexp_extract_all(t, '(?i)(?:DN|φ)\s*\d{2,3}(?:\s*[×xX*]\s*\d+(?:\.\d+)?)?'), lambda x: regexp_replace(x, '\s+', '', 'g')),
+  list_transform(regexp_extract_all(t, '(?i)\d+(?:\.\d+)?\s*(?:kW|W|V|mm|MPa)'), lambda x: regexp_replace(x, '\s+', '', 'g')),
+  list_filter(regexp_extract_all(t, '(?i)[A-Z]{1,6}[-_]?\d{2,}[A-Z0-9\-_/.]*'), lambda x: length(x) >= 4),
+  regexp_extract_all(t, '[一-鿿]{2,8}')), lambda x: length(x) >= 2) AS w FROM d)
+SELECT doc_id, array_to_string(list_filter(w, lambda x, i: list_position(list_transform(w, lambda y: lower(y)), lower(x)) = i)[1:28], '|') AS tokens FROM f""",
     "document_phones": "SELECT doc_id, coalesce(nullif(regexp_extract(coalesce(text, ''), '1[3-9]\\d{9}'), ''), regexp_extract(coalesce(text, ''), '0\\d{2,3}[-–—\\s]?\\d{7,8}')) AS phone FROM documents",
     "search_queries": f"""WITH {V.ITEMS}, f AS (SELECT item_id, brand, substring(trim(name), 1, 24) AS core, substring(trim(name), 1, 28) AS short, spec FROM items),
 q AS (SELECT item_id, 'yize' AS platform, list_distinct(list_filter([core, core || ' ' || spec, CASE WHEN length(short) <= 16 THEN short END, brand || ' ' || core], lambda x: length(x) BETWEEN 2 AND 40)) AS d,

@@ -3,6 +3,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from bidloom.functions import names as N
+from bidloom.sources import pages
 from bidloom.operators import decisions as D
 from bidloom.operators import region as R
 from tests.test_functions import values
@@ -64,3 +65,32 @@ def test_decisions(spark):
     assert values(spark, D.allows_spec, [("same",), ("different",), (None,)], "d string") == [True, False, True]
     assert values(spark, D.only_semantic, [(["品名：x1"],), (["电压 220"],), (["颜色"],), (None,)], "m array<string>") == [True, False, True, True]
     assert values(spark, D.hard_conflicts, [(["名称未命中"],), (["型号不符"],), (["其它冲突"],), ([],)], "m array<string>") == [False, True, True, False]
+
+
+# Token; electrical; bore or pressure; chain of both; measurement.
+TOKENS = (
+    ("AC220V", 1, 0, 0, 1), ("400W/m", 1, 0, 0, 1), ("IP68", 1, 0, 0, 1), ("3500K", 1, 0, 0, 1), ("DN100", 0, 1, 0, 0), ("PN1.6", 0, 1, 0, 0), ("400W/AC220V/IP68", 0, 0, 1, 0),
+    ("DN100/PN16", 0, 0, 1, 0), ("DS-2CD", 0, 0, 0, 0), ("XG1/24V", 0, 0, 0, 0), ("10A", 1, 0, 0, 0), (None, 0, 0, 0, 0),
+)
+ADDRESSES = (
+    ("https://www.baidu.com/s?wd=1", "block"), ("https://zhidao.baidu.com/q", "block"), ("https://a.com/login?x=1", "block"), ("https://passport.a.com/", "block"),
+    ("https://seo.example.com/p", "low"), ("https://www.ccgp-sichuan.gov.cn/seo", "high"), ("http://b2b.hc360.com/x", "high"), ("https://shop.example.com/p?login", "medium"),
+    ("http://example.org/", "low"), ("not an address", "block"),
+)
+PRICES = (("¥ 12 . 5 起 ¥30 ¥30", [12.5, 30.0]), ("约 18.5元 或 20 元/台", [18.5, 20.0]), ("￥0.01 ￥99", [99.0]), ("无价 2024年", []), ("", []), (None, []))
+
+
+def test_kinds_of_tokens(spark):
+    df = spark.createDataFrame([(t[0],) for t in TOKENS], "t string")
+    got = df.select(*[f(df.t).cast("int") for f in (N.electrical, N.bore_or_pressure, N.attribute_chain, N.measurement)]).collect()
+    assert [tuple(r) for r in got] == [t[1:] for t in TOKENS]
+
+
+def test_quality_of_addresses(spark):
+    df = spark.createDataFrame([(a,) for a, _ in ADDRESSES], "a string")
+    assert [r[0] for r in df.select(pages.quality(df.a)).collect()] == [q for _, q in ADDRESSES]
+
+
+def test_numbers_of_prices(spark):
+    df = spark.createDataFrame([(a,) for a, _ in PRICES], "a string")
+    assert [r[0] for r in df.select(N.price_numbers(df.a)).collect()] == [q for _, q in PRICES]
