@@ -22,7 +22,7 @@ def jaccard(a, b):
     return len(a & b) / len(a | b)
 
 
-@pytest.mark.parametrize("least,cell", [(0.6, 20_000), (0.6, 3), (0.75, 7), (1.0, 20_000)])
+@pytest.mark.parametrize("least,cell", [(0.6, 3), (0.75, 20_000)])
 def test_all_similar_pairs_are_found(spark, monkeypatch, least, cell):
     monkeypatch.setattr(L, "CELL", cell)
     items, offers = sets(1, 90), sets(2, 120)
@@ -64,7 +64,7 @@ def near(a, b):
     return abs(len(a) - len(b)) <= 2 and (set(a) <= set(b) or set(b) <= set(a))
 
 
-@pytest.mark.parametrize("letters", ["钢管热镀锌埋地灯", "ab", "abcdefgh"])
+@pytest.mark.parametrize("letters", ["钢管热镀锌埋地灯", "ab"])
 def test_near_bags_are_all_pairs(spark, letters):
     rng = random.Random(len(letters))
     names = {"".join(rng.choices(letters, k=rng.randint(1, 7))) for _ in range(150)} | {"地埋灯", "埋地灯", "aaaa", "abcdef", "a" * 13}
