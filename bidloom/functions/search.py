@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from bidloom import shared
 from bidloom.functions import names as N
 from bidloom.functions import text as T
 from bidloom.operators.match import core_name, every
@@ -149,12 +150,14 @@ def requeries(f: Column, tried: Column, reasons: Column, most: int = 3) -> Colum
 
 
 def search_rows(items: DataFrame, platforms: DataFrame) -> DataFrame:
-    """``(item_id, platform, ord, query)`` for a table ``(platform, shop)`` of at most ``PLATFORMS_MOST`` rows: queries within each platform's budget."""
+    """``(item_id, platform, ord, query)`` for a table ``(platform, shop)`` of at most ``PLATFORMS_MOST`` rows: queries within each platform's budget.
+
+    Queries depend on name, specification and brand alone, so equal ones are worked out once."""
     known = platforms.select("platform", "shop").limit(PLATFORMS_MOST + 1).collect()
     if len(known) > PLATFORMS_MOST:
         raise ValueError(f"over {PLATFORMS_MOST} platforms")
-    f = items.select("item_id", features(F.col("name"), F.col("spec"), F.col("brand")).alias("f"))
-    q = f.select("item_id", cost_site_queries(F.col("f")).alias("cost"), shop_queries(F.col("f")).alias("shop_q"))
+    made = lambda c: c.withColumn("f", features(F.col("name"), F.col("spec"), F.col("brand"))).withColumns({"cost": cost_site_queries(F.col("f")), "shop_q": shop_queries(F.col("f"))}).drop("f")
+    q = shared.by_content(items.select("item_id", "name", "spec", "brand"), ["name", "spec", "brand"], made)
     every = F.array(*[F.struct(F.lit(r.platform).alias("platform"), F.lit(bool(r.shop)).alias("shop")) for r in known])
     j = q.select("item_id", "cost", "shop_q", F.inline(every if known else F.array().cast("array<struct<platform:string,shop:boolean>>")))
     own = F.slice(F.when(F.col("shop"), F.col("shop_q")).otherwise(F.col("cost")), 1, platform_budget(F.col("shop")))

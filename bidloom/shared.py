@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -79,6 +80,23 @@ def join_counted(rows: DataFrame, table: DataFrame, key: str, n: str, how: str =
     return near.unionByName(rows.where(F.col(mark).isNull()).drop(mark).join(table.where(~hot), key, how))
 
 
+def dealt(rows: DataFrame, *columns: str) -> DataFrame:
+    """``rows`` in a stated number of partitions: rows of few bytes but much work would else be read by one task, as a small file is one piece."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
+
+
+def by_content(rows: DataFrame, columns: list[str], work: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``rows`` with the columns that ``work`` adds to a table of the distinct values of ``columns``, nulls among them: equal contents are worked out once.
+
+    The contents are dealt out; rows find theirs by ``join_counted``. ``rows`` is read three times."""
+    key, n = unused([*rows.columns, *columns], "content"), unused([*rows.columns, *columns], "rows_of_content")
+    held = cut(rows.groupBy(*columns).agg(F.count("*").alias(n)), "contents")
+    made = work(dealt(held, *columns))
+    added = [c for c in made.columns if c not in held.columns]
+    table = cut(made.select(F.struct(*columns).alias(key), n, *added), "worked")
+    return join_counted(rows.withColumn(key, F.struct(*columns)), table, key, n).drop(key, n)
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of ``edges (a, b)``: ``(node, root)`` with the least node as root.
 
