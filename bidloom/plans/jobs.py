@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from bidloom import shared
 from bidloom.functions import search as S
 from bidloom.operators import analytics as A
 from bidloom.operators import families as N
@@ -92,9 +93,11 @@ def web_item_queries(spark, d):
 
 
 def sound_queries(spark, d):
-    i = V.items(spark, d)
+    """Proposed queries that may be asked for each item; equal specifications are looked at once."""
+    i = V.items(spark, d).select("item_id", "spec")
     offered = F.array(F.lit("闸阀"), F.concat(F.lit("闸阀 "), "spec"), F.lit("闸阀 DS-999X"), F.lit("铸铁闸阀"))
-    return i.select("item_id", F.array_join(S.sound_queries(offered, F.lit("闸阀"), F.col("spec"), F.array(F.lit("x"))), "|").alias("queries"))
+    made = lambda c: c.withColumn("queries", F.array_join(S.sound_queries(offered, F.lit("闸阀"), F.col("spec"), F.array(F.lit("x"))), "|"))
+    return shared.by_content(i, ["spec"], made).select("item_id", "queries")
 
 
 QUERIES = {f.__name__: f for f in (

@@ -32,3 +32,7 @@ def test_search_rows_reads_each_content_once(spark):
     found = search.search_rows(items, platforms)
     assert "regexp_extract_all" not in _formulas(found)  # worked out before, in a written table of contents
     assert found.select("item_id").distinct().count() == 50
+
+
+def test_sound_queries_are_made_once_a_specification(spark, tiny):
+    assert "regexp_extract_all" not in _formulas(jobs.sound_queries(spark, tiny))
