@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from bidloom import shared
 from bidloom.operators import analytics as A
 from bidloom.operators import runs as R
 from bidloom.operators import views as V
@@ -48,11 +49,14 @@ def target_regions(spark, d):
 
 
 def must_words(spark, d):
-    """The words and values that a hit for an item must show, and those of its specification."""
+    """The words and values that a hit for an item must show, and those of its specification; equal items are looked at once."""
     k = F.col("p_partkey")
     spec = F.concat_ws(" ", F.concat(F.lit("DN"), (F.col("p_size") * 10).cast("string")), F.when(k % 2 == 0, "220 V"), F.when(k % 3 == 0, "DS-7608N/K2"), F.when(k % 5 == 0, "铸铁 名称"), F.when(k % 7 == 0, "220V"))
     part = V.read(spark, d, "part").select(k.alias("item_id"), F.concat(F.lit("镀锌"), F.when(k % 2 == 0, "钢管").otherwise("阀门"), F.lit(" "), F.col("p_name")).alias("name"), spec.alias("spec"))
-    return part.select("item_id", F.array_join(R.name_words(F.col("name")), "|").alias("words"), F.array_join(R.required_tokens(F.col("spec"), F.col("name")), "|").alias("tokens"), F.array_join(R.name_must(F.col("name"), F.col("spec")), "|").alias("must"))
+    joined = lambda c: F.array_join(c, "|")
+    name, spec = F.col("name"), F.col("spec")
+    made = lambda c: c.withColumns({"words": joined(R.name_words(name)), "tokens": joined(R.required_tokens(spec, name)), "must": joined(R.name_must(name, spec))})
+    return shared.by_content(part, ["name", "spec"], made).select("item_id", "words", "tokens", "must")
 
 
 def run_meta(spark, d):

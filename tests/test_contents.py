@@ -36,3 +36,7 @@ def test_search_rows_reads_each_content_once(spark):
 
 def test_sound_queries_are_made_once_a_specification(spark, tiny):
     assert "regexp_extract_all" not in _formulas(jobs.sound_queries(spark, tiny))
+
+
+def test_required_words_are_made_once_an_item(spark, tiny):
+    assert "regexp_extract_all" not in _formulas(runs.must_words(spark, tiny))
