@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from bidloom import shared
 from bidloom.functions import search as S
 from bidloom.functions import text as T
 from bidloom.operators import analytics as A
@@ -170,12 +171,10 @@ def spec_struct(spark, d):
 def match_gate(spark, d):
     """Offers of each item by the size that their text names, through the formal gate. Equal texts are judged once."""
     o = V.read(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("item_id"), F.col("l_quantity").cast("int").alias("quantity")).agg(F.count("*").alias("n"))
-    # Few bytes but much work a row: a stated number of partitions by the join's key keeps them from being put in one task.
-    o = o.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "item_id")
+    o = shared.cut(o.join(V.items(spark, d).select("item_id", "name", "spec"), "item_id"), "offers")
     size = F.concat(F.lit("规格型号：DN"), (F.col("quantity") * 10).cast("string"), F.lit(" PN16 供应商名称：S"))
-    asked = M.asked_of(V.items(spark, d).select("item_id", "name", "spec"))
-    j = o.join(asked, "item_id").withColumns({"title": F.col("name"), "text": size, "spec_seen": F.lit("")})
-    return M.judged_by(j).select("item_id", "quantity", "n", "name_ok", "outcome", "score")
+    made = lambda c: M.judged_by(M.asked_of(c).withColumns({"title": F.col("name"), "text": size, "spec_seen": F.lit("")})).drop("title", "text", "spec_seen", "missing", "conflicts")
+    return shared.by_content(o, ["name", "spec", "quantity"], made).select("item_id", "quantity", "n", "name_ok", "outcome", "score")
 
 
 def pages_text(spark, d):

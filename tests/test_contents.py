@@ -40,3 +40,7 @@ def test_sound_queries_are_made_once_a_specification(spark, tiny):
 
 def test_required_words_are_made_once_an_item(spark, tiny):
     assert "regexp_extract_all" not in _formulas(runs.must_words(spark, tiny))
+
+
+def test_the_gate_judges_each_content_once(spark, tiny):
+    assert "regexp_extract_all" not in _formulas(reports.match_gate(spark, tiny))
