@@ -40,12 +40,11 @@ def offer_links(spark, d):
     items, titles = _texts(spark, d)
     left, right = shared.cut(L.classes(items, "id"), "items"), shared.cut(L.classes(titles, "id"), "offers")
     found = shared.cut(L.candidates(left, right, 0.6), "links")
-    # Few bytes but much work a row, as in ``match_gate``: a stated number of partitions.
-    found = found.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "item")
-    asked = M.asked_of(items.select(F.col("id").alias("item"), "name", "spec"))
+    # What the gate says depends on name, size and offer alone: equal ones are judged once.
+    named = shared.cut(found.join(items.select(F.col("id").alias("item"), "name", "spec"), "item"), "named")
     text = F.concat(F.lit("规格型号："), F.col("offer"))
-    judged = found.join(asked, "item").withColumns({"title": F.col("offer"), "text": text, "spec_seen": F.lit("")})
-    return M.judged_by(judged).select("item", "offer", "common", "similarity", "name_ok", "outcome")
+    made = lambda c: M.judged_by(M.asked_of(c).withColumns({"title": F.col("offer"), "text": text, "spec_seen": F.lit("")})).drop("title", "text", "spec_seen", "missing", "conflicts")
+    return shared.by_content(named, ["name", "spec", "offer"], made).select("item", "offer", "common", "similarity", "name_ok", "outcome")
 
 
 def offer_classes(spark, d):

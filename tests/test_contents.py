@@ -44,3 +44,7 @@ def test_required_words_are_made_once_an_item(spark, tiny):
 
 def test_the_gate_judges_each_content_once(spark, tiny):
     assert "regexp_extract_all" not in _formulas(reports.match_gate(spark, tiny))
+
+
+def test_the_gate_of_links_judges_each_content_once(spark, tiny):
+    assert "regexp_extract_all" not in _formulas(links.offer_links(spark, tiny))
