@@ -48,3 +48,7 @@ def test_the_gate_judges_each_content_once(spark, tiny):
 
 def test_the_gate_of_links_judges_each_content_once(spark, tiny):
     assert "regexp_extract_all" not in _formulas(links.offer_links(spark, tiny))
+
+
+def test_list_pages_are_dealt_out(spark, tiny):
+    assert responses._pages(spark, tiny).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
