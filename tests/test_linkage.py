@@ -109,3 +109,21 @@ def test_words_in_texts(spark, monkeypatch, sent):
     got = {(r.id, r.word): r["at"] for r in L.found_words(df, spark.createDataFrame([(w,) for w in words + words], "word string"), "id", "text").collect()}
     assert got == {(i, w): t.index(w) + 1 for i, t in enumerate(texts) if t for w in set(words) if w and w in t}
     assert L.found_words(df, spark.createDataFrame([], "word string"), "id", "text").count() == 0
+
+
+def test_words_in_texts_by_hashes_are_those_of_plain_search(monkeypatch):
+    import random
+
+    import pyarrow as pa
+
+    rng = random.Random(2)
+    words = {"".join(rng.choice("abé𝒳 ") for _ in range(rng.randrange(1, 9))) for _ in range(300)} | {"ab" * 20}
+    texts = [None, "", "a", *("".join(rng.choice("abé𝒳 ") for _ in range(rng.randrange(200))) for _ in range(200)), "b" * 150 + "ab" * 30]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.string())], names=["id", "text"])
+    want = {(i, w, t.find(w) + 1) for i, t in enumerate(texts) if t for w in words if w in t}
+    # Small blocks, and hashes of which many are equal.
+    for name, value in ((None, None), ("HASHED", 64), ("MULTIPLIER", L.np.uint64(1 << 60))):
+        if name:
+            monkeypatch.setattr(L, name, value)
+        got = [tuple(r.values()) for b in L._finder(sorted(words))(iter([batch])) for r in b.to_pylist()]
+        assert len(got) == len(set(got)) and set(got) == want
