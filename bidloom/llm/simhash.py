@@ -24,7 +24,7 @@ of the least id; an empty table gives no rows; further columns of the input are
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import Any
 
 import numpy as np
@@ -50,6 +50,8 @@ BAND_ROWS = 4
 #: Bands of at most so many texts give all their pairs; larger ones give each text's pairs with two times ``HUBS`` of them.
 MAX_BAND = 32
 HUBS = 2
+#: Rows of one side that meet in a task where texts of large bands are compared whole.
+CELL = 256
 #: Up to so many candidate rows are broadcast to find their texts; beyond that the texts are shuffled.
 BROADCAST_ROWS = 100_000
 #: Bit ranges [low, high) of the five blocks.
@@ -252,17 +254,22 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(near)
 
 
-def candidates(reps: DataFrame) -> DataFrame:
-    """``(x, y)``: rows of ``reps (row, n, bands)`` that share a band and whose sizes allow the similarity, x < y.
+def shared_bands(reps: DataFrame) -> DataFrame:
+    """``(key, row, n, m)``: the bands of ``reps (row, n, bands)`` that several rows hold, with the number of these."""
+    dealt = common.cut(reps.select("row", "n", F.explode("bands").alias("key")), "bands")
+    sizes = dealt.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
+    return common.cut(dealt.join(sizes, "key"), "shared")
+
+
+def candidates(shared: DataFrame) -> DataFrame:
+    """``(x, y)``: rows that share a band of ``shared_bands`` and whose sizes allow the similarity, x < y.
 
     A band of over ``MAX_BAND`` rows is a large cluster of copies, or a line that many texts hold. It gives
     each row's pairs with ``HUBS`` rows by fixed hashes and with the ``HUBS`` rows that have most neighbours in large bands, so that
     pairs grow with the rows: copies of one text, each edited elsewhere, are further from each other than from the text between
-    them, which has most neighbours; and copies that merely share a frequent line meet in their other bands.
+    them, which has most neighbours; and copies that merely share a frequent line meet in their other bands. What these
+    pairs leave apart is compared whole by ``rest``.
     """
-    dealt = common.cut(reps.select("row", "n", F.explode("bands").alias("key")), "bands")
-    sizes = dealt.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
-    shared = common.cut(dealt.join(sizes, "key"), "shared")
     small, large = shared.where(F.col("m") <= MAX_BAND), shared.where(F.col("m") > MAX_BAND)
     pairs = small.select("key", F.col("row").alias("x"), F.col("n").alias("nx")).join(small.select("key", F.col("row").alias("y"), F.col("n").alias("ny")), "key").where("x < y")
     neighbours = common.cut(large.groupBy("row").agg(F.sum("m").alias("near")), "neighbours")
@@ -276,17 +283,91 @@ def candidates(reps: DataFrame) -> DataFrame:
     return both.where(F.least("nx", "ny") >= F.greatest("nx", "ny") * COPY_JACCARD - 1e-6).select("x", "y").distinct()
 
 
-def copies(held: DataFrame, profiles: DataFrame, row_col: str, text_col: str, most: int = BROADCAST_ROWS) -> DataFrame:
-    """``(a, b)``: fingerprints of texts in ``held`` that are edited copies of each other."""
-    reps = profiles.where("n > 0").groupBy("fp", "same", "n").agg(F.min("row").alias("row"), F.first("bands").alias("bands"))
-    pairs = common.cut(candidates(reps.select("row", "n", "bands")), "pairs")
-    rows = common.cut(pairs.select(F.explode(F.array("x", "y")).alias("row")).distinct(), "rows")
-    wanted = rows.select(F.col("row").alias(row_col))
-    texts = held.select(row_col, text_col).join(F.broadcast(wanted) if rows.count() <= most else wanted, row_col)
-    sets = common.cut(texts.mapInArrow(_sets, "row long, fp long, own binary"), "sets")
+def _apart(key: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
+    """The links of a cell's texts that hang together by no link so far: for each two roots one. A pair counts in the first band that it shares."""
+    none = pd.DataFrame({"a": np.empty(0, np.int64), "b": np.empty(0, np.int64)})
+    fp, root, side, n = (pdf[c].to_numpy() for c in ("fp", "root", "side", "n"))
+    held = np.array(pdf["bands"].tolist(), dtype=np.int64)
+    low, high = np.minimum(n[:, None], n[None, :]), np.maximum(n[:, None], n[None, :])
+    wanted = (root[:, None] < root[None, :]) & (low >= high * COPY_JACCARD - 1e-6)
+    if not pdf["whole"].iloc[0]:
+        wanted &= side[:, None] != side[None, :]
+    first = np.zeros(wanted.shape, dtype=bool)  # pairs that share an earlier band
+    for k in range(held.shape[1]):
+        same = held[:, None, k] == held[None, :, k]
+        now = held[:, k] == key[0]
+        if now.any():
+            wanted &= same & ~first & now[:, None]
+            break
+        first |= same
+    if not wanted.any():
+        return none
+    sets = [np.frombuffer(x, dtype=np.uint64) for x in pdf["own"]]
+    every, of = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    order = np.argsort(every, kind="stable")
+    every, of = every[order], of[order]
+    out = []
+    for i in np.nonzero(wanted.any(axis=1))[0]:
+        lo, hi = np.searchsorted(every, sets[i], "left"), np.searchsorted(every, sets[i], "right")
+        count = hi - lo
+        at = np.repeat(lo - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
+        both = np.bincount(of[at], minlength=len(sets))
+        near = wanted[i] & (both / np.maximum(1, n[i] + n - both) >= COPY_JACCARD)
+        out += [(root[i], root[j], fp[i], fp[j]) for j in np.nonzero(near)[0]]
+    if not out:
+        return none
+    links = pd.DataFrame(out, columns=["x", "y", "a", "b"]).drop_duplicates(["x", "y"])
+    return links[["a", "b"]].astype("int64")
+
+
+def rest(shared: DataFrame, reps: DataFrame, edges: DataFrame, sets_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``(a, b)``: the links within large bands between texts that ``edges`` leave apart, so that no such link is lost.
+
+    Of each band with several components the texts outside its largest are compared with those of the largest and with each other, on whole sets, dealt to a grid
+    of cells of ``CELL`` rows a side. Bands of one component need nothing. ``sets_of`` gives ``(row, own)`` for rows. The work is quadratic only in what stays apart.
+    """
+    large = shared.where(F.col("m") > MAX_BAND).select("key", "row", "n").join(reps.select("row", "fp"), "row")
+    roots = common.components(edges)
+    own = common.cut(large.join(roots, large["fp"] == roots["node"], "left").select("key", "row", "n", "fp", F.coalesce("root", "fp").alias("root")), "rooted")
+    counts = own.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key").agg(F.max(F.struct("c", "root")).alias("top"), F.sum("c").alias("held"), F.count("*").alias("kinds"))
+    blocks = lambda c: F.ceil(c / CELL).cast("int")
+    mixed = counts.where("kinds > 1").select("key", F.col("top.root").alias("main"), F.col("held"), blocks(F.col("top.c")).alias("mains"), blocks(F.col("held") - F.col("top.c")).alias("rests"))
+    mixed = common.cut(mixed, "mixed")
+    met = common.join_counted(own, mixed, "key", "held").withColumn("is_main", F.col("root") == F.col("main"))
+    block = F.pmod(F.xxhash64("row"), F.when(F.col("is_main"), F.col("mains")).otherwise(F.col("rests"))).cast("int")
+    upto = lambda c: F.sequence(F.lit(0), c - 1)
+    cell = lambda kind, i, j, side: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), side.alias("side"))
+    own_block = F.col("block")
+    to_main = F.transform(upto(F.col("mains")), lambda i: cell("main", i, own_block, F.lit(-1)))
+    to_rest = F.transform(upto(F.col("rests")), lambda j: cell("rest", F.least(own_block, j), F.greatest(own_block, j), own_block))
+    from_main = F.transform(upto(F.col("rests")), lambda j: cell("main", own_block, j, F.lit(-2)))
+    dealt = met.withColumn("block", block).withColumn("c", F.explode(F.when(F.col("is_main"), from_main).otherwise(F.concat(to_main, to_rest))))
+    dealt = dealt.select("key", "row", "n", "fp", "root", "c.kind", "c.i", "c.j", "c.side", ((F.col("c.kind") == "rest") & (F.col("c.i") == F.col("c.j"))).alias("whole"))
+    sets = sets_of(met.select("row").distinct())
+    full = dealt.join(reps.select("row", "bands").join(sets.select("row", "own"), "row"), "row")
+    return full.groupBy("key", "kind", "i", "j").applyInPandas(_apart, "a long, b long").distinct()
+
+
+def copies(held: DataFrame, profiles: DataFrame, row_col: str, text_col: str, most: int = BROADCAST_ROWS, known: DataFrame | None = None) -> DataFrame:
+    """``(a, b)``: fingerprints of texts in ``held`` that are edited copies of each other, enough to give every component together with the links ``known``."""
+    reps = common.cut(profiles.where("n > 0").groupBy("fp", "same", "n").agg(F.min("row").alias("row"), F.first("bands").alias("bands")), "reps")
+
+    def sets_of(rows: DataFrame) -> DataFrame:
+        rows = common.cut(rows, "rows")
+        wanted = rows.select(F.col("row").alias(row_col))
+        texts = held.select(row_col, text_col).join(F.broadcast(wanted) if rows.count() <= most else wanted, row_col)
+        return common.cut(texts.mapInArrow(_sets, "row long, fp long, own binary"), "sets")
+
+    shared = shared_bands(reps)
+    pairs = common.cut(candidates(shared), "pairs")
+    sets = sets_of(pairs.select(F.explode(F.array("x", "y")).alias("row")).distinct())
     side = [sets.select(F.col("row").alias(r), F.col("fp").alias(f), F.col("own").alias(o)) for r, f, o in (("x", "a", "p"), ("y", "b", "q"))]
     met = pairs.join(side[0], "x").join(side[1], "y").where("a <> b").select("a", "b", "p", "q")
-    return met.mapInArrow(_verified, "a long, b long")
+    met = met.mapInArrow(_verified, "a long, b long")
+    if shared.where(F.col("m") > MAX_BAND).isEmpty():
+        return met
+    met = common.cut(met, "met")
+    return met.union(rest(shared, reps, met if known is None else met.union(known), sets_of))
 
 
 def _lowest(per_doc: DataFrame, least: DataFrame, edges: DataFrame) -> DataFrame:
@@ -315,7 +396,8 @@ def edited_duplicates(docs: DataFrame, id_col: str, text_col: str, row_col: str)
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(row_col).cast("long").alias("row"), F.col(text_col).alias("text"))
     profiles = common.cut(own.mapInArrow(_profiles, "doc_id long, row long, fp long, same long, n int, bands array<long>"), "profiles")
     least = common.cut(profiles.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")), "least")
-    return _lowest(profiles, least, links(least.select("fp")).union(copies(docs, profiles, row_col, text_col)))
+    near = common.cut(links(least.select("fp")), "links")
+    return _lowest(profiles, least, near.union(copies(docs, profiles, row_col, text_col, known=near)))
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -144,3 +144,38 @@ def test_edited_copies_without_a_broadcast(spark):
     profiles = df.select("doc_id", "row", "text").mapInArrow(simhash._profiles, "doc_id long, row long, fp long, same long, n int, bands array<long>")
     want = {tuple(r) for r in simhash.copies(df, common.cut(profiles, "p"), "row", "text").collect()}
     assert len(want) == 1 and want == {tuple(r) for r in simhash.copies(df, common.cut(profiles, "p"), "row", "text", most=0).collect()}
+
+
+def test_links_inside_large_bands_are_not_lost(spark, monkeypatch):
+    """Texts of one large cluster whose links no hub sees: pairs of twins that are near each other and far from all others, in bands of the whole cluster."""
+    monkeypatch.setattr(simhash, "CELL", 16)
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(200)]
+    texts = []
+    for i in range(300):
+        own = list(words)
+        for k in range(12):
+            own[15 * k + rng.randrange(14)] = f"twin{i}"
+        other = list(own)
+        for k in (20, 120):
+            other[k + rng.randrange(40)] = f"own{i}"
+        texts += [own, other]
+    texts = [" ".join(t) for t in texts]
+    sets, fps = [simhash.shingle_set(t) for t in texts], [slow_fingerprint(t) for t in texts]
+    near = [(i, j) for i in range(600) for j in range(i) if simhash.jaccard(sets[i], sets[j]) >= 0.8 or bin(fps[i] ^ fps[j]).count("1") <= 3]
+    root = list(range(600))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    mul, add = simhash._multipliers()
+    keys = [set(simhash.bands(s, mul, add)) for s in sets]
+    for i, j in near:
+        if keys[i] & keys[j] or bin(fps[i] ^ fps[j]).count("1") <= 3:
+            root[max(top(i), top(j))] = min(top(i), top(j))
+    want = [i for i in range(600) if top(i) == i]
+    assert 200 < len(want) < 550
+    got = [r.doc_id for r in simhash.deduplicate(spark.createDataFrame([(i, t, "x", 1) for i, t in enumerate(texts)], SCHEMA)).collect()]
+    assert sorted(got) == want
