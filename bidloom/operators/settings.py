@@ -96,7 +96,9 @@ def registry(known: DataFrame, given: DataFrame) -> DataFrame:
     Names of platforms are read in any spelling; settings under several spellings of one are taken in the order of their names. A platform of either side
     appears (full outer join). A home page stands in for a login page, ``search_url_template`` for ``search_url``; a field that is
     empty leaves the known one. ``requires_config`` tells platforms that still lack a page. Null settings count as none."""
-    users = given.select("user").distinct()
+    # Users are few bytes, but each becomes all rows of its platforms' settings: dealt out, so that no task gets those of many.
+    given = shared.dealt(given, "user")
+    users = shared.dealt(given.select("user").distinct(), "user")
     spelled = leaves(given.select(F.col("user").alias("key"), "doc")).where(F.size("path") > 1)
     own = spelled.select(F.struct(F.col("key").alias("user"), N.platform_id(F.col("path")[0]).alias("platform")).alias("key"), F.col("path")[0].alias("as"), F.slice("path", 2, 1000).alias("path"), "leaf")
     own = own.groupBy("key", "path").agg(F.max_by("leaf", "as").alias("leaf"))
