@@ -30,7 +30,7 @@ def clusters(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     own = pairs.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null")
     names = own.select(F.explode(F.array("a", "b")).alias("name")).distinct()
     found = shared.components(own).select(F.col("node").alias("name"), F.col("root").alias("cluster"))
-    return names.join(found, "name", "left").select("name", F.coalesce("cluster", "name").alias("cluster"))
+    return names.join(found.hint("merge"), "name", "left").select("name", F.coalesce("cluster", "name").alias("cluster"))
 
 
 def kept_hits(hits: Column, most: int = 5) -> Column:

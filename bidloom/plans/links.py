@@ -95,7 +95,7 @@ def alias_denials(spark, d):
     now = shared.cut(A.updated(shared.cut(H.clusters(stored), "held"), stored, added, removed), "now")
     found = A.contradictions(now, denied)
     steps = A.between(A.changed(stored, added, removed), shared.cut(found.select("a", "b"), "found"), 4)
-    return found.join(steps, ["a", "b"]).select("a", "b", "cluster", "steps")
+    return found.join(steps.hint("merge"), ["a", "b"]).select("a", "b", "cluster", "steps")
 
 
 def platform_registry(spark, d):

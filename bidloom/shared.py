@@ -9,6 +9,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows of a table up to which ``join_counted`` lets Spark send it to all tasks.
+SENT = 100_000
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; a local one only where the session names none and runs on one machine."""
@@ -70,14 +73,16 @@ def join_counted(rows: DataFrame, table: DataFrame, key: str, n: str, how: str =
     """``rows`` joined to ``table``, which has one row a ``key`` and in ``n`` how many of ``rows`` hold it.
 
     Keys that hold over a thousandth of all counted rows are fewer than a thousand: they are broadcast, and their rows are not shuffled.
-    All others go through a shuffle, in which no key has more than a thousandth of the rows. ``how``: inner or left.
+    All others go through a shuffle, in which no key has more than a thousandth of the rows; only a table of up to ``SENT`` rows may be sent
+    whole, as its files weigh a small part of what its rows take in memory and the driver. ``how``: inner or left.
     """
-    total = int(table.agg(F.sum(n)).first()[0] or 0)
+    total, size = table.agg(F.coalesce(F.sum(n), F.lit(0)).cast("long"), F.count("*")).first()
     hot, mark = F.col(n) * 1000 > total, unused([*rows.columns, *table.columns], "hot")
     keys = table.where(hot).select(key, F.lit(True).alias(mark))
     rows = rows.join(F.broadcast(keys), key, "left")
     near = rows.where(mark).drop(mark).join(F.broadcast(table.where(hot)), key)
-    return near.unionByName(rows.where(F.col(mark).isNull()).drop(mark).join(table.where(~hot), key, how))
+    far = table.where(~hot) if size <= SENT else table.where(~hot).hint("merge")
+    return near.unionByName(rows.where(F.col(mark).isNull()).drop(mark).join(far, key, how))
 
 
 def dealt(rows: DataFrame, *columns: str) -> DataFrame:

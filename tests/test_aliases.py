@@ -66,3 +66,16 @@ def test_contradicted_denials(spark):
     assert {tuple(r) for r in found.collect()} == {("a", "c", "a"), ("a", "f", "a"), ("x", "y", "x")}
     assert {tuple(r) for r in A.between(frame(spark, pairs), found.select("a", "b"), 4).collect()} == {("a", "c", 2), ("a", "f", None), ("x", "y", 1)}
     assert {tuple(r) for r in A.between(frame(spark, pairs), found.select("a", "b"), 6).collect()} == {("a", "c", 2), ("a", "f", 5), ("x", "y", 1)}
+
+
+def test_growing_tables_are_not_sent_whole(spark, monkeypatch):
+    monkeypatch.setattr(shared, "SENT", 2, raising=False)
+    pairs = frame(spark, [("a", "b"), ("b", "c"), ("x", "y")])
+    held, denied = shared.cut(H.clusters(pairs), "held"), frame(spark, [("c", "a"), ("x", "y")])
+    for df in (A.contradictions(held, denied), A.between(pairs, denied, 2), A.changed(pairs, None, denied)):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+        assert df.count()
+    table = shared.cut(held.groupBy("cluster").count(), "table").union(spark.createDataFrame([("k", 1), ("l", 1)], "cluster string, count long"))
+    joined = shared.join_counted(held, table, "cluster", "count")
+    assert "SortMergeJoin" in joined._jdf.queryExecution().executedPlan().toString()
+    assert sorted(tuple(r) for r in joined.collect()) == [("a", "a", 3), ("a", "b", 3), ("a", "c", 3), ("x", "x", 2), ("x", "y", 2)]
