@@ -113,7 +113,7 @@ def arrived_items(spark, d):
         named = body.unionByName(heads).withColumns({"sheet_no": F.lit(1), "sheet": F.lit("安装")})
         sink.write(sink.clustered(named.select("file", "sheet_no", "sheet", "ord", "cells")), f"{at}/in")
         arrived = arrivals.stream(spark, f"{at}/in", f"{at}/log")
-        query = arrived.writeStream.foreachBatch(lambda df, n: store.merge(arrivals.items(df), n)).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
+        query = arrived.writeStream.foreachBatch(lambda df, n: arrivals.merge(store, df, n)).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
         query.awaitTermination()
     return arrivals.current(store.read())
 

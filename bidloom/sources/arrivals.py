@@ -6,7 +6,7 @@ An offset is the number of a listing. Whenever Spark asks for the latest offset
 another size or time of change than when it was last listed, is written under the next number in ``log``, which must outlive the query
 as its checkpoint does. A batch reads the files of the listings between two offsets and nothing else, so a second run parses what has
 come since, and a repeated batch reads the same files. Every tenth listing is followed by a summary of all before, from which a
-restart goes on. A file that is removed leaves what it gave. Files are dealt to tasks by size.
+restart goes on. A file that is removed leaves what it gave. Files are dealt to tasks by size, workbooks fewer to a task, as they are packed.
 
 Rows are ``(file, version, sheet, row, cells, sheet_no, error)`` with option ``rows`` = ``cells`` (workbooks; the default), and
 ``(file, version, modified, content)`` with ``content``. ``version`` is the number of the listing: of a file that came again,
@@ -25,12 +25,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
+from bidloom import shared
 from bidloom.sources import sink, xlsx
+from bidloom.streaming.store import Store
 
 CELLS = "file string, version long, sheet string, row int, cells array<string>, sheet_no int, error string"
 CONTENT = "file string, version long, modified timestamp, content binary"
 #: Bytes of files for one task, and the least that a file counts.
 TASK_BYTES, FILE_BYTES = 64 << 20, 256 << 10
+#: Bytes of workbooks for one task: a megabyte holds some fifty thousand rows, and parsing them takes seconds.
+BOOK_BYTES = 1 << 20
 SUMMARY = 10
 
 
@@ -101,12 +105,12 @@ class Arrivals(DataSourceStreamReader):
 
     def partitions(self, start: dict, end: dict) -> Sequence[InputPartition]:
         tasks: list[list[tuple]] = []
-        room = 0
+        room, most = 0, TASK_BYTES if self.kind == "content" else min(TASK_BYTES, BOOK_BYTES)
         for x in self.listings.between(start["listing"], end["listing"]):
             size = max(x[1], FILE_BYTES)
             if size > room or not tasks:
                 tasks.append([])
-                room = TASK_BYTES
+                room = most
             tasks[-1].append(x)
             room -= size
         return [InputPartition(t) for t in tasks]
@@ -154,6 +158,14 @@ def items(arrived: DataFrame) -> DataFrame:
     return xlsx.items(good.drop("version", "error")).join(versions, "file")
 
 
+def merge(store: Store, arrived: DataFrame, batch: int) -> bool:
+    """Merges the items of one batch in ``store``, for ``foreachBatch``. Rows, versions and schemas are each read from the batch, so it is written first: workbooks are parsed once."""
+    held = shared.cut(arrived, "batch")
+    done = store.merge(items(held), batch)
+    shared.drop(held)
+    return done
+
+
 def current(held: DataFrame) -> DataFrame:
     """Of rows kept by file and version, those of each file's last version: what an earlier version had and the last has not goes."""
     last = held.groupBy("file").agg(F.max("version").alias("version"))

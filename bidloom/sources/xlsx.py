@@ -125,12 +125,12 @@ def read_binary(spark: SparkSession, path: str) -> DataFrame:
 def items(sheet_rows: DataFrame) -> DataFrame:
     """Items of the rows below each sheet's header that have a name: ``item_id`` is ``sheet|row``.
 
-    A schema is one row a sheet and meets the sheet's rows by the trimmed name, in whatever join their sizes allow.
+    A schema is one row a sheet and meets the sheet's rows by the trimmed name, in a shuffle: the rows may lie in small files and be too many to send.
     """
     found = schema.sheet_schemas(sheet_rows)
     roles = F.map_from_entries(F.transform(F.filter("columns", lambda c: ~c["role"].isin("unknown", "ignore", "sum_price")), lambda c: F.struct(c["role"], c["col"])))
     held = sheet_rows.withColumn("sheet", F.trim("sheet"))
-    j = held.join(found.select("file", "sheet", "header_row", roles.alias("cols")), ["file", "sheet"]).where("row > header_row")
+    j = held.join(found.select("file", "sheet", "header_row", roles.alias("cols")).hint("merge"), ["file", "sheet"]).where("row > header_row")
     cell = lambda role: F.trim(F.coalesce(F.try_element_at("cells", F.try_element_at("cols", F.lit(role))), F.lit("")))
     number = lambda c: F.regexp_extract(F.regexp_replace(c, "[,，¥￥]", ""), r"-?\d+(?:\.\d+)?", 0).try_cast("double")
     out = j.select(

@@ -103,3 +103,17 @@ def test_files_are_dealt_to_tasks_by_size(tmp_path, monkeypatch):
     source = arrivals.Arrivals({"path": str(tmp_path), "log": str(tmp_path / "log")})
     tasks = [[f for f, *_ in p.value] for p in source.partitions(source.initialOffset(), source.latestOffset())]
     assert sum(map(len, tasks)) == 25 and max(map(len, tasks)) == 10 and all(len(t) <= 10 for t in tasks) and sink
+
+
+def test_workbooks_of_a_batch_are_parsed_once_and_by_several_tasks(spark, tmp_path, monkeypatch):
+    for n in range(8):
+        (tmp_path / f"{n}.xlsx").write_bytes(b"x" * 400_000)
+    source = arrivals.Arrivals({"path": str(tmp_path), "log": str(tmp_path / "log")})
+    assert [len(p.value) for p in source.partitions(source.initialOffset(), source.latestOffset())] == [2, 2, 2, 2]
+    read, own = [], arrivals.items
+    monkeypatch.setattr(arrivals, "items", lambda held: read.append(held.inputFiles()) or own(held))
+    cells = [("材料名称", "规格型号", "单位", "数量"), ("钢管", "DN100", "m", "2")]
+    batch = spark.createDataFrame([("a.xlsx", 1, "安装", k, list(c), 1, None) for k, c in enumerate(cells, 1)], arrivals.CELLS)
+    store = Store(spark, str(tmp_path / "store"), SCHEMA, ("file", "item_id"), ("version",))
+    assert arrivals.merge(store, batch, 0) and not arrivals.merge(store, batch, 0)
+    assert read[0] and [(r.item_id, r.name) for r in store.read().collect()] == [("安装|2", "钢管")]
