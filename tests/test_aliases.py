@@ -79,3 +79,11 @@ def test_growing_tables_are_not_sent_whole(spark, monkeypatch):
     joined = shared.join_counted(held, table, "cluster", "count")
     assert "SortMergeJoin" in joined._jdf.queryExecution().executedPlan().toString()
     assert sorted(tuple(r) for r in joined.collect()) == [("a", "a", 3), ("a", "b", 3), ("a", "c", 3), ("x", "x", 2), ("x", "y", 2)]
+
+
+def test_an_update_sends_no_stored_pairs(spark, monkeypatch):
+    pairs, removed, plans, own = shared.cut(frame(spark, [("a", "b"), ("x", "y")]), "pairs"), shared.cut(frame(spark, [("a", "y")]), "gone"), [], shared.cut
+    held = spark.createDataFrame([("a", "a"), ("b", "a"), ("x", "x"), ("y", "x")], "name string, cluster string")
+    monkeypatch.setattr(shared, "cut", lambda df, *name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or own(df, *name))
+    assert clusters(A.updated(held, pairs, frame(spark, [("b", "a")]), removed)) == {"a": "a", "b": "a", "x": "x", "y": "x"}
+    assert len(plans) == 3 and not any("Broadcast" in p for p in plans)
