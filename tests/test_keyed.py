@@ -129,3 +129,20 @@ def test_folds_by_sessions(spark, gap, want):
 def test_empty_events(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert keyed.pool_batch(none).count() == 0 and keyed.breaker_batch(none).count() == 0
+
+
+@pytest.mark.parametrize("gap", [1, 40, 700])
+def test_breaker_holds_few_events_and_trips_alike(gap):
+    breaker, rng = keyed.Breaker(gap), random.Random(gap)
+    rows = [(rng.randrange(20_000), k, rng.choice(["ok", "Captcha", "empty", None, "rate_limited"])) for k in range(3000)]
+    rng.shuffle(rows)
+
+    def trips(events, batches=1):
+        held, state, emit = [x for k in range(batches) for x in breaker.thinned(events[k::batches])] if batches else events, None, []
+        for ts, ord_, status in sorted(held, key=lambda x: x[:2]):
+            state = None if state is not None and ts > breaker.ends(state) else state
+            state = breaker.step(("p",), state, ts, ord_, status, emit)
+        return emit, len(held)
+
+    want, n = trips(rows, 0)
+    assert trips(rows)[0] == trips(rows, 4)[0] == want and n == 3000 and trips(rows)[1] <= 3 * (20_000 // gap + 1)
