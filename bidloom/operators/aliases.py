@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from bidloom import shared
 
-#: Rows up to which a table of changed labels is sent to all tasks.
-SENT = 500_000
+#: Rows up to which a table of changed labels is sent to all tasks; it grows with the update.
+SENT = 100_000
 
 
 def undirected(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from bidloom import shared
 from bidloom.operators import aliases as A
@@ -87,3 +88,11 @@ def test_an_update_sends_no_stored_pairs(spark, monkeypatch):
     monkeypatch.setattr(shared, "cut", lambda df, *name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or own(df, *name))
     assert clusters(A.updated(held, pairs, frame(spark, [("b", "a")]), removed)) == {"a": "a", "b": "a", "x": "x", "y": "x"}
     assert len(plans) == 3 and not any("Broadcast" in p for p in plans)
+
+
+def test_many_changed_labels_are_shuffled(spark, monkeypatch):
+    labels = shared.cut(spark.range(120_000).select(F.col("id").cast("string").alias("old"), F.lit("0").alias("new")), "labels")
+    rows, plans, own = spark.createDataFrame([("a", "7"), ("b", "119999"), ("c", "120000")], "name string, cluster string"), [], shared.cut
+    monkeypatch.setattr(shared, "cut", lambda df, *name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or own(df, *name))
+    assert clusters(A.relabelled(rows, labels, "cluster")) == {"a": "0", "b": "0", "c": "120000"}
+    assert len(plans) == 1 and "SortMergeJoin" in plans[0] and "Broadcast" not in plans[0]
