@@ -67,21 +67,27 @@ def documents(rows: DataFrame) -> DataFrame:
 
 def merged(lower: DataFrame, upper: DataFrame) -> DataFrame:
     """``(key, doc)``: documents of ``upper`` laid over those of ``lower``; a full outer join by key, then by path."""
-    low, up = leaves(lower), leaves(upper)
+    return documents(laid_over(leaves(lower), leaves(upper)))
+
+
+def laid_over(low: DataFrame, up: DataFrame) -> DataFrame:
+    """Rows of ``leaves`` of upper documents laid over those of lower ones.
+
+    Both sides grow, and paths weigh far more in memory than in their files: they meet in shuffles, never sent whole."""
     inside = F.col("leaf") == "{}"
     # What an upper leaf replaces: its own place and what stands below it, but an empty object leaves an object as it is.
     above = lambda p: F.transform(F.sequence(F.lit(0), F.size(p)), lambda k: F.slice(p, 1, k))
     each = low.select("key", "path", "leaf", F.explode(above(F.col("path"))).alias("at"))
-    hit = each.join(up.select("key", F.col("path").alias("at"), inside.alias("empty")), ["key", "at"])
+    hit = each.join(up.select("key", F.col("path").alias("at"), inside.alias("empty")).hint("merge"), ["key", "at"])
     hit = hit.where(~F.col("empty") | ((F.size("at") == F.size("path")) & (F.col("leaf") != "{}"))).select("key", "path").distinct()
     # Lower leaves above an upper one give way to its object.
     below = up.select("key", F.explode(F.transform(F.sequence(F.lit(0), F.size("path")), lambda k: F.struct(F.slice("path", 1, k).alias("path"), (k < F.size("path")).alias("strict")))).alias("p"))
     below = below.where("p.strict").select("key", "p.path").distinct()
-    kept = low.join(hit, ["key", "path"], "left_anti").join(below, ["key", "path"], "left_anti")
+    kept = low.join(hit.hint("merge"), ["key", "path"], "left_anti").join(below.hint("merge"), ["key", "path"], "left_anti")
     # An empty upper object adds nothing where anything of an object is kept below it or it is there already.
     roots = kept.select("key", F.explode(above(F.col("path"))).alias("path")).distinct()
-    new = up.where(~inside).unionByName(up.where(inside).join(roots, ["key", "path"], "left_anti"))
-    return documents(shared.cut(kept.unionByName(new), "merged"))
+    new = up.where(~inside).unionByName(up.where(inside).join(roots.hint("merge"), ["key", "path"], "left_anti"))
+    return shared.cut(kept.unionByName(new), "merged")
 
 
 def defaults(spark) -> DataFrame:
@@ -101,13 +107,20 @@ def registry(known: DataFrame, given: DataFrame) -> DataFrame:
     own = spelled.select(F.struct(F.col("key").alias("user"), N.platform_id(F.col("path")[0]).alias("platform")).alias("key"), F.col("path")[0].alias("as"), F.slice("path", 2, 1000).alias("path"), "leaf")
     own = own.groupBy("key", "path").agg(F.max_by("leaf", "as").alias("leaf"))
     filled = own.where((F.size("path") > 1) | ~F.col("leaf").isin('""', "null"))
+    own = shared.cut(filled.select("key", "path", "leaf"), "own")
+    # A registry is a table of fixed size, sent to all tasks. Its documents are taken apart once, not once a user, and only those that a user has settings for are laid under them.
+    plain = leaves(known.select(F.col("platform").alias("key"), "doc")).withColumnRenamed("key", "platform")
+    keys = own.select("key").distinct()
+    low = keys.join(F.broadcast(plain), F.col("key.platform") == F.col("platform")).select("key", "path", "leaf")
+    laid = documents(laid_over(shared.cut(low, "lower"), own))
+    base = documents(plain.withColumnRenamed("platform", "key")).select(F.col("key").alias("platform"), "doc")
     ids = [r.platform for r in known.select("platform").collect()]  # a registry: as many as there are platforms
-    base = users.select("user", F.explode(F.lit(ids)).alias("platform")).join(F.broadcast(known), "platform")
-    lower = base.select(F.struct("user", "platform").alias("key"), "doc")
-    doc = merged(lower, documents(shared.cut(filled.select("key", "path", "leaf"), "own")))
+    rest = users.select(F.explode(F.lit(ids)).alias("platform"), "user").select(F.struct("user", "platform").alias("key")).join(keys.hint("merge"), "key", "left_anti")
+    rest = rest.join(F.broadcast(base), F.col("key.platform") == F.col("platform")).select("key", "doc")
+    doc = rest.unionByName(laid)
     get = lambda path: F.variant_get("doc", f"$.{path}", "string")
     known_url = lambda c: F.variant_get("known", f"$.{c}", "string")
-    out = doc.join(lower.select("key", F.col("doc").alias("known")), "key", "left")
+    out = doc.join(F.broadcast(known.select(F.col("platform").alias("id"), F.col("doc").alias("known"))), F.col("key.platform") == F.col("id"), "left")
     home = get("home_url")
     login = F.coalesce(F.when(F.coalesce(get("login_url") != known_url("login_url"), get("login_url").isNotNull()), get("login_url")), home, get("login_url"), F.lit(""))
     search = F.coalesce(F.when(F.coalesce(get("search_url") != known_url("search_url"), get("search_url").isNotNull()), get("search_url")), get("search_url_template"), get("search_url"), F.lit(""))

@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from bidloom import shared
 from bidloom.operators import settings as S
 
 
@@ -78,3 +79,27 @@ def test_registry(spark):
     assert (j.name, j.search_url, j.handler) == ("京东", "https://t/{query}", "generic")
     assert (f.login_url, f.search_url, f.requires_config) == ("https://h", "https://s", False)
     assert g.name == "广材网" and {u for u, _ in got} == {1, 2, 3}
+
+
+def test_no_settings_of_users_are_sent_whole(spark, monkeypatch):
+    given = {1: {"jd": {"a": {"b": 1}, "e": {}}}, 2: {"京东": {"a": 2}, "own": {"a": {"b": None}}}, 3: {}, None: {"jd": {"a": {"c": 3}}}, 4: None}
+    rows = spark.createDataFrame([(k, v and json.dumps(v, ensure_ascii=False)) for k, v in given.items()], "user int, t string").select("user", F.parse_json("t").alias("doc"))
+    known = spark.createDataFrame([("jd", '{"name":"JD","a":{"b":0,"c":[1]}}'), ("yize", '{"a":{"b":7},"e":{"f":null}}')], "platform string, t string").select("platform", F.parse_json("t").alias("doc"))
+    plans, own = [], shared.cut
+    monkeypatch.setattr(shared, "cut", lambda df, *name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or own(df, *name))
+    found = S.registry(shared.cut(known, "known"), shared.cut(rows, "given"))
+    plans.append(found._jdf.queryExecution().executedPlan().toString())
+    # Only the known platforms, found by their names, are sent.
+    sent = [line for p in plans for line in p.splitlines() if "BroadcastExchange" in line]
+    assert sent and all("HashedRelationBroadcastMode(List(input[0, string" in line for line in sent)
+    jd = {1: {"a": {"b": 1, "c": [1]}, "e": {}}, 2: {"a": 2}, None: {"a": {"b": 0, "c": 3}}}
+    want = {(u, "jd"): {"name": "JD", "a": {"b": 0, "c": [1]}} | jd.get(u, {}) for u in given} | {(u, "yize"): {"a": {"b": 7}, "e": {"f": None}} for u in given} | {(2, "own"): {"a": {"b": None}}}
+    got = found.select("user", "platform", F.to_json("doc").alias("t")).collect()
+    assert len(got) == len(want) and {(r.user, r.platform): json.loads(r.t) for r in got} == want
+
+
+def test_overlays_meet_in_shuffles(spark, monkeypatch):
+    plans, own = [], shared.cut
+    monkeypatch.setattr(shared, "cut", lambda df, *name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or own(df, *name))
+    assert S.merged(docs(spark, LOWER), docs(spark, UPPER)).count() == len(LOWER | UPPER)
+    assert "SortMergeJoin" in plans[-1] and not any("Broadcast" in p for p in plans)
