@@ -111,20 +111,22 @@ def registry(known: DataFrame, given: DataFrame) -> DataFrame:
     # A registry is a table of fixed size, sent to all tasks. Its documents are taken apart once, not once a user, and only those that a user has settings for are laid under them.
     plain = leaves(known.select(F.col("platform").alias("key"), "doc")).withColumnRenamed("key", "platform")
     keys = own.select("key").distinct()
-    low = keys.join(F.broadcast(plain), F.col("key.platform") == F.col("platform")).select("key", "path", "leaf")
+    low = keys.select("key", F.col("key.platform").alias("platform")).join(F.broadcast(plain), "platform").select("key", "path", "leaf")
     laid = documents(laid_over(shared.cut(low, "lower"), own))
     base = documents(plain.withColumnRenamed("platform", "key")).select(F.col("key").alias("platform"), "doc")
     ids = [r.platform for r in known.select("platform").collect()]  # a registry: as many as there are platforms
-    rest = users.select(F.explode(F.lit(ids)).alias("platform"), "user").select(F.struct("user", "platform").alias("key")).join(keys.hint("merge"), "key", "left_anti")
-    rest = rest.join(F.broadcast(base), F.col("key.platform") == F.col("platform")).select("key", "doc")
-    doc = rest.unionByName(laid)
+    # A missing user is one as any other.
+    had = keys.select(F.col("key.user").alias("its"), F.col("key.platform").alias("at"))
+    rest = users.select("user", F.explode(F.lit(ids)).alias("platform")).join(had.hint("merge"), F.col("user").eqNullSafe(F.col("its")) & (F.col("platform") == F.col("at")), "left_anti")
+    rest = rest.join(F.broadcast(base), "platform").select("user", "platform", "doc")
+    doc = rest.unionByName(laid.select("key.user", "key.platform", "doc"))
     get = lambda path: F.variant_get("doc", f"$.{path}", "string")
     known_url = lambda c: F.variant_get("known", f"$.{c}", "string")
-    out = doc.join(F.broadcast(known.select(F.col("platform").alias("id"), F.col("doc").alias("known"))), F.col("key.platform") == F.col("id"), "left")
+    out = doc.join(F.broadcast(known.select("platform", F.col("doc").alias("known"))), "platform", "left")
     home = get("home_url")
     login = F.coalesce(F.when(F.coalesce(get("login_url") != known_url("login_url"), get("login_url").isNotNull()), get("login_url")), home, get("login_url"), F.lit(""))
     search = F.coalesce(F.when(F.coalesce(get("search_url") != known_url("search_url"), get("search_url").isNotNull()), get("search_url")), get("search_url_template"), get("search_url"), F.lit(""))
     return out.select(
-        "key.user", "key.platform", F.coalesce(get("name"), F.col("key.platform")).alias("name"), login.alias("login_url"), search.alias("search_url"), F.coalesce(get("handler"), F.lit("generic")).alias("handler"),
+        "user", "platform", F.coalesce(get("name"), F.col("platform")).alias("name"), login.alias("login_url"), search.alias("search_url"), F.coalesce(get("handler"), F.lit("generic")).alias("handler"),
         ((login == "") | (search == "")).alias("requires_config"), "doc",
     )

@@ -96,6 +96,7 @@ def test_no_settings_of_users_are_sent_whole(spark, monkeypatch):
     want = {(u, "jd"): {"name": "JD", "a": {"b": 0, "c": [1]}} | jd.get(u, {}) for u in given} | {(u, "yize"): {"a": {"b": 7}, "e": {"f": None}} for u in given} | {(2, "own"): {"a": {"b": None}}}
     got = found.select("user", "platform", F.to_json("doc").alias("t")).collect()
     assert len(got) == len(want) and {(r.user, r.platform): json.loads(r.t) for r in got} == want
+    assert [json.loads(r.t) for r in found.where("platform = 'own'").select(F.to_json("doc").alias("t")).collect()] == [want[2, "own"]]
 
 
 def test_overlays_meet_in_shuffles(spark, monkeypatch):
